@@ -1,0 +1 @@
+"""The engine works on bounded tables only; it has no streaming operators."""
