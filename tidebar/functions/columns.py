@@ -138,9 +138,9 @@ def nearest_quantile(sorted_values: Column, q: float, mp: int) -> Column:
     return F.when(n >= mp, F.try_element_at(sorted_values, at))
 
 
-def add_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """One projection that adds or replaces all the given columns."""
-    return df.withColumns(columns) if columns else df
+def cols(names) -> list[Column]:
+    """Column references by exact name; feature names may hold dots."""
+    return [F.col(f"`{c}`") for c in names]
 
 
 def symbol_window(*keys: str, ts: str = "ts_event") -> WindowSpec:

@@ -14,11 +14,12 @@ ALIGNED = ("open", "high", "low", "close", "volume", "session_id")
 
 
 def asof_join(left: DataFrame, right: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol",),
-              ts: str = "ts_event", blocks: Blocks | None = None, direction: str = "backward") -> DataFrame:
+              ts: str = "ts_event", blocks: Blocks | None = None, direction: str = "backward", tie: str | None = None) -> DataFrame:
     """Each left row gets `columns` of the nearest right row at or before it (``forward``: strictly after).
 
     Both sides are stacked and the last right row is carried forward, so neither side is replicated and a
-    long key is split in blocks. A forward join runs the same scan on negated time.
+    long key is split in blocks. A forward join runs the same scan on negated time. Of right rows with equal
+    times the one with the largest `tie` column wins.
     """
     keys, columns = list(keys), list(columns)
     payload = F.struct(*columns)
@@ -26,13 +27,14 @@ def asof_join(left: DataFrame, right: DataFrame, columns: Sequence[str], keys: S
     # At equal times a backward match must be scanned before the left row, a forward match after it.
     right_side = 0 if direction == "backward" else 2
     both = (left.select(*keys, ts, F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"),
-                        F.lit(None).cast(shape).alias("_right"))
-            .unionByName(right.select(*keys, ts, F.lit(right_side).alias("_side"), payload.alias("_right")),
+                        F.lit(None).cast("string").alias("_tie"), F.lit(None).cast(shape).alias("_right"))
+            .unionByName(right.select(*keys, ts, F.lit(right_side).alias("_side"),
+                                      (F.col(tie).cast("string") if tie else F.lit(None).cast("string")).alias("_tie"), payload.alias("_right")),
                          allowMissingColumns=True))
     if direction == "forward":
         both = both.withColumn(ts, F.timestamp_micros(-F.unix_micros(ts)))
     scanned = carry(both, blocks or measure(both, keys, ts), {"_found": ("last", F.col("_right"))},
-                    order=(ts, "_side"), ts=ts)
+                    order=(ts, "_side", "_tie"), ts=ts)
     return (scanned.filter(F.col("_side") == 1)
             .select(*[F.col("_left")[c].alias(c) for c in left.columns],
                     *[F.col("_found")[c].alias(c) for c in columns]))
@@ -54,7 +56,8 @@ def align_htf(base: DataFrame, hourly: DataFrame | None, daily: DataFrame | None
         renamed = [f"daily_{c}" if c in ALIGNED else c for c in names]
         shifted = daily.select("symbol", (F.col("ts_event") + F.expr("INTERVAL 24 HOURS")).alias("ts_event"),
                                *[F.col(c).alias(r) for c, r in zip(names, renamed)])
-        out = asof_join(out, shifted, renamed)
+        # The evening bar of the next session starts at the same local midnight: the later session wins.
+        out = asof_join(out, shifted, renamed, tie="daily_session_id" if "daily_session_id" in renamed else None)
         within = (Window.partitionBy("symbol", "session_id").orderBy("ts_event")
                   .rowsBetween(Window.unboundedPreceding, 0))
         out = out.withColumns({c: F.last(c, ignorenulls=True).over(within) for c in renamed if c.startswith("daily_")})

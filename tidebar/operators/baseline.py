@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tidebar.functions.columns import clean, floor_at
+from tidebar.functions.columns import clean, cols, floor_at
 from tidebar.plans.blocks import Blocks, block_window, halo, measure, trim
 from tidebar.plans.frames import FrameAggs, add_ema, ema_lookback
 
@@ -93,7 +93,7 @@ def baseline_columns(df: DataFrame, window: WindowSpec, families=tuple(FAMILIES)
     for family in FAMILIES:
         if family in families:
             out.update(_FAMILY[family](aggs, c, o, h, lo, v, rng, body, upper, lower, safe_c))
-    return aggs.apply(df).select(*kept, *[clean(x).alias(name) for name, x in out.items()])
+    return aggs.apply(df).select(*cols(kept), *[clean(x).alias(name) for name, x in out.items()])
 
 
 def _returns(a, c, *_):

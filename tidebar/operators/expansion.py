@@ -9,7 +9,7 @@ from itertools import combinations, islice, product
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tidebar.functions.columns import EPS, clean, clip, floor_at, iso_weekday, local_ts, minute_of_day, nearest_quantile
+from tidebar.functions.columns import EPS, clean, clip, cols, floor_at, iso_weekday, local_ts, minute_of_day, nearest_quantile
 from tidebar.operators.sessions import TZ
 from tidebar.plans.blocks import Blocks, block_window, halo, measure, trim
 from tidebar.plans.frames import FrameAggs
@@ -39,7 +39,7 @@ def regime_columns(df: DataFrame, window: WindowSpec, median_window: int = 20, s
         value = aggs.get(agg, source, w, 5, lagged)
         df = aggs.apply(df).withColumn(name, value)
     regime = F.when(F.col("_smooth") >= high, 1.0).when(F.col("_smooth") <= low, 0.0).otherwise(F.lit(0.5))
-    return df.select(*[c for c in kept if c != "regime"], regime.alias("regime"))
+    return df.select(*cols(c for c in kept if c != "regime"), regime.alias("regime"))
 
 
 def zscore_columns(df: DataFrame, window: WindowSpec, features: Sequence[str], limit: int = 20) -> DataFrame:
@@ -48,7 +48,7 @@ def zscore_columns(df: DataFrame, window: WindowSpec, features: Sequence[str], l
     aggs = FrameAggs(window)
     out = [clip((F.col(c) - aggs.get("mean", c, 30, 30, True)) / floor_at(aggs.get("std", c, 30, 30, True)), -3.5, 3.5)
            .alias(f"{c}_zscore") for c in chosen]
-    return aggs.apply(df).select(*kept, *out)
+    return aggs.apply(df).select(*cols(kept), *out)
 
 
 def add_regime_conditioned(df: DataFrame, names: Sequence[str] = REGIME_INTERACTIONS) -> DataFrame:
@@ -82,7 +82,7 @@ def quantile_columns(df: DataFrame, window: WindowSpec, w: int = 20) -> DataFram
     kept = df.columns
     df = _with_return(df, window).withColumn(
         "_sorted", F.array_sort(F.collect_list("_r").over(window.rowsBetween(-w, -1))))
-    return df.select(*kept, *[clip(nearest_quantile(F.col("_sorted"), q, w), -10.0, 10.0)
+    return df.select(*cols(kept), *[clip(nearest_quantile(F.col("_sorted"), q, w), -10.0, 10.0)
                               .alias(f"feature_ret_quantile_{q}_{w}") for q in (0.2, 0.5, 0.8)])
 
 
@@ -110,14 +110,14 @@ def moment_columns(df: DataFrame, window: WindowSpec, w: int = 20, eps: float =
     skew = F.when(F.lit(w > 2) & (F.col("_sd") > eps),
                   third / (w - 1) / (F.pow("_sd", F.lit(3)) + eps) * (w / (w - 2) if w > 2 else 0.0)).otherwise(F.lit(0.0))
     kurt = F.when(F.lit(w > 3) & (F.abs(var) > eps), fourth / (w * (var * var + eps)) - 3.0).otherwise(F.lit(0.0))
-    return df.select(*kept, clean(skew).alias(f"feature_ret_skew_{w}"), clean(kurt).alias(f"feature_ret_kurt_{w}"))
+    return df.select(*cols(kept), clean(skew).alias(f"feature_ret_skew_{w}"), clean(kurt).alias(f"feature_ret_kurt_{w}"))
 
 
 def acceleration_columns(df: DataFrame, window: WindowSpec) -> DataFrame:
     kept = df.columns
     df = _with_return(df, window)
     change = F.col("_r") - F.lag("_r").over(window)
-    return df.withColumn("_a", change).select(*kept, clean(F.col("_a")).alias("feature_ret_acceleration"))
+    return df.withColumn("_a", change).select(*cols(kept), clean(F.col("_a")).alias("feature_ret_acceleration"))
 
 
 def vwap_columns(df: DataFrame, window: WindowSpec, w: int = 20) -> DataFrame:
@@ -127,7 +127,7 @@ def vwap_columns(df: DataFrame, window: WindowSpec, w: int = 20) -> DataFrame:
     aggs = FrameAggs(window)
     vwap = aggs.get("sum", "_pv", w, w, True) / floor_at(aggs.get("sum", "volume", w, w, True).cast("double"))
     df = aggs.apply(df).withColumn("_vwap", vwap)
-    return df.select(*kept, clean((F.col("close") - F.col("_vwap")) / floor_at(F.col("_vwap"))).alias("feature_vwap_deviation"))
+    return df.select(*cols(kept), clean((F.col("close") - F.col("_vwap")) / floor_at(F.col("_vwap"))).alias("feature_vwap_deviation"))
 
 
 def expansion_columns(df: DataFrame, window: WindowSpec, features: Sequence[str], tz: str = TZ,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidebar.functions.columns import EPS, clip, floor_at
+from tidebar.functions.columns import clip, cols, floor_at
 from tidebar.plans.blocks import Blocks, block_window, halo, measure, trim
 from tidebar.plans.frames import FrameAggs
 
@@ -61,7 +61,7 @@ def trend_columns(df: DataFrame, window: WindowSpec, slope_bars: int = SLOPE_BAR
     out = {"htf_daily_trend_slope_10": slope, "htf_daily_vol_5": vol,
            "htf_hourly_trend_alignment": F.col("_hr1") * F.signum(slope) if hourly else F.lit(0.0),
            "htf_volatility_ratio": hourly_vol / floor_at(vol) if hourly else F.lit(1.0)}
-    return df.select(*[F.col(f"`{c}`") for c in kept], *[clip(x, -10.0, 10.0).alias(name) for name, x in out.items()])
+    return df.select(*cols(kept), *[clip(x, -10.0, 10.0).alias(name) for name, x in out.items()])
 
 
 def add_htf_context(df: DataFrame, slope_bars: int = SLOPE_BARS, vol_bars: int = VOL_BARS,

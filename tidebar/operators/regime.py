@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebar.functions.columns import clip
+from tidebar.functions.columns import clip, cols
 from tidebar.operators.align import attach_regime
 from tidebar.operators.execution import ExecutionSettings, recompute_pnl
 from tidebar.plans.blocks import Blocks, block_window, halo, measure, trim
@@ -54,7 +54,7 @@ def regime_feature_columns(df: DataFrame, window: WindowSpec, z_window: int = 60
         sd = F.when(F.col(f"_s_{n}") < _EPS, F.lit(1.0)).otherwise(F.col(f"_s_{n}"))
         value = (F.col(f"_f_{n}") - F.col(f"_m_{n}")) / sd
         scaled.append(F.when(F.col("_k") >= min_samples, value).otherwise(F.lit(0.0)).alias(n))
-    return df.select(*kept, *scaled)
+    return df.select(*cols(kept), *scaled)
 
 
 def add_regime_features(hourly: DataFrame, keys: Sequence[str] = ("symbol",), blocks: Blocks | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidebar.functions.columns import EPS, floor_at
+from tidebar.functions.columns import EPS, cols, floor_at
 from tidebar.plans.blocks import Blocks, block_window, halo, islands, measure, trim
 from tidebar.plans.frames import FrameAggs
 
@@ -24,7 +24,7 @@ def target_columns(df: DataFrame, window: WindowSpec, horizon: int = 15, tx_cost
                          "_cost": F.lit(tx_cost) + (2.0 * commission) / floor_at(F.col("_entry") * multiplier)})
     fwd, cost = F.col("_fwd"), F.col("_cost")
     cls = F.when(fwd > cost, 1).when(fwd < -cost, -1).otherwise(F.lit(0)).cast("tinyint")
-    return df.select(*[F.col(f"`{c}`") for c in kept], fwd.alias("target_15m_ret"),
+    return df.select(*cols(kept), fwd.alias("target_15m_ret"),
                      (fwd > 0).cast("tinyint").alias("target_15m_dir"), cls.alias("target_15m_trade_class"))
 
 
@@ -92,7 +92,7 @@ def triple_barrier(df: DataFrame, horizon: int = 64, price_bands: bool = True, b
     label = F.when((F.col("_u") <= horizon) & (F.col("_u") <= F.col("_d")), 1.0).when(
         (F.col("_d") <= horizon) & (F.col("_d") < F.col("_u")), -1.0).otherwise(F.lit(0.0))
     valid = (F.col("_end") == F.col("_segment")) & (F.col("close") > 0)
-    return trim(framed.withColumn("target_tb", F.when(valid, label))).select(*kept, "target_tb")
+    return trim(framed.withColumn("target_tb", F.when(valid, label))).select(*cols(kept), "target_tb")
 
 
 def add_meta_label(df: DataFrame, prediction: str = "primary_prediction", target: str = "target_tb") -> DataFrame:

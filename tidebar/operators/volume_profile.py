@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tidebar.functions.columns import EPS, clean, clip, floor_at, nearest_quantile
+from tidebar.functions.columns import EPS, clean, clip, cols, floor_at, nearest_quantile
 from tidebar.plans.blocks import Blocks, block_window, halo, measure, trim
 from tidebar.plans.frames import FrameAggs
 
@@ -41,7 +41,7 @@ def profile_columns(df: DataFrame, window: WindowSpec, w: int = 260, poc_roll: i
     steady, in_va = aggs.get("std", "_poc", poc_roll, 2), aggs.get("sum", "_in_va", w, mp)
     df = aggs.apply(df)
     level = (lambda c: clean(c)) if clip_levels else (lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)))
-    return df.select(*kept, level(F.col("_poc")).alias("feature_volume_poc"), level(F.col("_val")).alias("feature_volume_val"),
+    return df.select(*cols(kept), level(F.col("_poc")).alias("feature_volume_poc"), level(F.col("_val")).alias("feature_volume_val"),
                      level(F.col("_vah")).alias("feature_volume_vah"),
                      clean((F.col("close") - F.col("_poc")) / floor_at(F.col("_poc"))).alias("feature_distance_to_poc"),
                      clean(_inside(F.col("close"))).alias("feature_inside_value_area"),
@@ -53,7 +53,7 @@ def short_profile_columns(df: DataFrame, window: WindowSpec, w: int = 48, clip_l
     kept = df.columns
     df = _profile(df, window, w, 5)
     level = (lambda c: clean(c)) if clip_levels else (lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)))
-    return df.select(*kept, level(F.col("_poc")).alias("feature_volume_poc_4h"), level(F.col("_val")).alias("feature_volume_val_4h"),
+    return df.select(*cols(kept), level(F.col("_poc")).alias("feature_volume_poc_4h"), level(F.col("_val")).alias("feature_volume_val_4h"),
                      level(F.col("_vah")).alias("feature_volume_vah_4h"),
                      clean((F.col("close") - F.col("_poc")) / floor_at(F.col("_poc"))).alias("feature_distance_to_poc_4h"),
                      clean(_inside(F.col("close"))).alias("feature_inside_va_4h"))
@@ -72,7 +72,7 @@ def spread_columns(df: DataFrame, window: WindowSpec, w: int = 20) -> DataFrame:
                          "_tight": (F.col("_spread") < 0.5 * F.col("_ms")).cast("double"),
                          "_wide": (F.col("_spread") > 2.0 * F.col("_ms")).cast("double"),
                          "_br": F.abs(F.col("close") - F.col("open")) / floor_at(F.col("high") - F.col("low") + EPS)})
-    return df.select(*kept, clean(F.col("_sr") / floor_at(F.col("_vr"))).alias("feature_vol_to_spread_eff"),
+    return df.select(*cols(kept), clean(F.col("_sr") / floor_at(F.col("_vr"))).alias("feature_vol_to_spread_eff"),
                      clean(F.col("_vr")).alias("feature_vol_ratio_vs_med"), clean(F.col("_sr")).alias("feature_spread_ratio_vs_med"),
                      clean(F.col("_spike")).alias("feature_vol_spike"),
                      clean((F.col("_vol") < 0.5 * F.col("_mv")).cast("double")).alias("feature_vol_drought"),
