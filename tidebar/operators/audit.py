@@ -89,11 +89,9 @@ def outliers(df: DataFrame, ret_limit: float = 0.02, range_limit: float = 0.02,
     rows = rows.withColumn("_dollar", F.col("close") * F.col("volume"))
     rows = mad_z(mad_z(rows, "volume", keys, "_vz", **limits), "_dollar", keys, "_dz", **limits)
     spread = F.try_divide(F.col("high") - F.col("low"), F.col("close"))
-    found = F.array(
-        F.struct(F.lit("abs_close_return_gt_2pct").alias("check"), F.col("_ret").alias("value"), (F.abs("_ret") > ret_limit).alias("hit")),
-        F.struct(F.lit("hl_range_gt_2pct"), spread, spread > range_limit),
-        F.struct(F.lit("volume_mad_z_gt_25"), F.col("_vz"), F.abs("_vz") > z_limit),
-        F.struct(F.lit("dollar_volume_mad_z_gt_25"), F.col("_dz"), F.abs("_dz") > z_limit))
+    tests = (("abs_close_return_gt_2pct", F.col("_ret"), ret_limit), ("hl_range_gt_2pct", spread, range_limit),
+             ("volume_mad_z_gt_25", F.col("_vz"), z_limit), ("dollar_volume_mad_z_gt_25", F.col("_dz"), z_limit))
+    found = F.array(*[F.struct(F.lit(n).alias("check"), x.alias("value"), (F.abs(x) > limit).alias("hit")) for n, x, limit in tests])
     return rows.select(*keys, "ts_event", *NUMBERS, F.explode(F.filter(found, lambda x: x["hit"])).alias("_o")).select(
         *keys, "ts_event", *NUMBERS, F.col("_o.check").alias("check"), F.col("_o.value").alias("value"))
 

@@ -84,19 +84,26 @@ def holiday_calendar(spans: DataFrame, sessions: DataFrame | None = None, overri
     days = us_futures_holidays(distinct_years).groupBy("year", "local_date").agg(
         F.max("closed").alias("closed"), F.max("early_close").alias("_early"), F.max("late_open").alias("_late"))
     generated = years.join(F.broadcast(days), "year").select(
-        "symbol", F.date_format("local_date", "yyyy-MM-dd").alias("local_date"), "closed",
+        "symbol", "local_date", "closed",
         F.when(F.col("_early") & ~F.col("closed"), F.col("early_close")).alias("_generated"),
         F.when(F.col("_late"), F.lit(LATE_OPEN)).alias("reopen_minute"))
-    configured = overrides.join(F.broadcast(spans.select("symbol")), "symbol", "left_semi")
+    configured = (overrides.withColumn("local_date", F.to_date("local_date"))
+                  .join(F.broadcast(spans.select("symbol")), "symbol", "left_semi"))
     return (generated.join(F.broadcast(configured), ["symbol", "local_date"], "full")
             .select("symbol", "local_date", F.coalesce("closed", F.lit(False)).alias("closed"),
                     F.coalesce("close_minute", "_generated").alias("close_minute"), "reopen_minute"))
 
 
 def with_local_clock(df: DataFrame, sessions: DataFrame, ts: str = "ts_event") -> DataFrame:
-    """Attach the market's session row plus ts_local, local_date, _minute and _weekday."""
-    df = df.join(F.broadcast(sessions), "symbol").withColumn("ts_local", F.from_utc_timestamp(F.col(ts), F.col("timezone")))
-    return df.withColumns({"local_date": F.date_format("ts_local", "yyyy-MM-dd"), "_weekday": F.weekday("ts_local"),
+    """Attach the market's session row plus ts_local, local_date, _minute and _weekday.
+
+    Spark resolves a literal zone once but a zone column on every row, so the few zones become literals.
+    """
+    zones = [row[0] for row in sessions.select("timezone").distinct().limit(64).collect()]
+    local = F.coalesce(*[F.when(F.col("timezone") == z, F.from_utc_timestamp(F.col(ts), z)) for z in zones],
+                       F.from_utc_timestamp(F.col(ts), F.col("timezone")))
+    df = df.join(F.broadcast(sessions), "symbol").withColumn("ts_local", local)
+    return df.withColumns({"local_date": F.to_date("ts_local"), "_weekday": F.weekday("ts_local"),
                            "_minute": F.hour("ts_local") * 60 + F.minute("ts_local")})
 
 
@@ -146,7 +153,9 @@ def expected_minutes(spans: DataFrame, sessions: DataFrame, holidays: DataFrame,
     """Active minutes between `first_ts` and `last_ts` per key: first the days, then the minutes of each day,
     so a long span is spread over tasks before it grows."""
     day = F.explode(F.sequence(F.date_trunc("day", "first_ts"), F.date_trunc("day", "last_ts"), F.expr("INTERVAL 1 DAY"))).alias("_day")
-    days = spans.select(*keys, "first_ts", "last_ts", day).repartition(*keys, "_day")
+    # The few days look tiny to adaptive coalescing, but each grows to 1,440 rows: keep the partition count.
+    tasks = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    days = spans.select(*keys, "first_ts", "last_ts", day).repartition(tasks, *keys, "_day")
     minute = F.explode(F.sequence(F.lit(0), F.lit(24 * 60 - step_minutes), F.lit(step_minutes)))
     minutes = days.withColumn("_m", minute).withColumn(
         "ts_event", F.timestamp_micros(F.unix_micros("_day") + F.col("_m").cast("long") * 60_000_000))

@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from tidebar.functions.columns import clip, expit
 from tidebar.operators.execution import ExecutionSettings, add_benchmark, recompute_pnl, simulate_execution
-from tidebar.operators.splits import exclude_warmup, label_minutes
+from tidebar.operators.splits import assign_folds, bar_folds, exclude_warmup, label_minutes
 from tidebar.operators.targets import add_meta_label
-from tidebar.plans.blocks import Blocks
+from tidebar.plans.blocks import Blocks, measure, positions
+from tidebar.plans.checkpoints import checkpointed
 from tidebar.plans.order_stats import exact_quantiles
 
 SALTS = 16
@@ -252,7 +253,6 @@ def meta_probabilities(train: DataFrame, result: DataFrame, features: Sequence[s
     direction. Keys without enough rows get NULL and are left ungated.
     """
     keys = list(keys)
-    from tidebar.plans.blocks import measure, positions
     sizes = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     numbered = positions(train, measure(train, keys)).join(sizes, keys).withColumn(
         "_cut", F.greatest(F.floor(F.col("_rows") / 3), F.lit(20)))
@@ -281,9 +281,13 @@ def outer_evaluation(assigned: DataFrame, features: Sequence[str], target: str,
                      settings: ExecutionSettings = ExecutionSettings(), keys: Sequence[str] = ("symbol", "split_id"),
                      smoothing: float = 0.0, burn_in: int = 50, meta_threshold: float | None = None, alpha: float = 1.0,
                      purge: bool = True, blocks: Blocks | None = None) -> DataFrame:
-    """Purge, fit, predict, simulate and cut the warm-up for every (symbol, split) of a frame with `role`."""
+    """Purge, fit, predict, simulate and cut the warm-up for every (symbol, split) of a frame with `role`.
+
+    The block plan is measured once, on the test rows before any model, and every later step reuses it.
+    """
     keys = list(keys)
     train, test = assigned.filter(F.col("role") == "train"), assigned.filter(F.col("role") == "test").drop("role")
+    blocks = blocks or measure(test, keys)
     starts = test.groupBy(*keys).agg(F.min("ts_event").alias("_start"))
     cutoff = F.timestamp_micros(F.unix_micros("_start") - F.lit(label_minutes() * 60_000_000))
     purged = train.join(starts, keys).filter((F.col("ts_event") < cutoff) | F.lit(not purge)).drop("_start", "role")
@@ -308,10 +312,10 @@ def walk_forward(df: DataFrame, features: Sequence[str], target: str, markets: D
                  settings: ExecutionSettings = ExecutionSettings(), burn_in: int = 500, correlation: float = 0.9,
                  fold_options: dict | None = None, **options) -> DataFrame:
     """Bar folds: prune features on the first train window, then fit and evaluate all folds together."""
-    from tidebar.operators.splits import assign_folds, bar_folds
-
-    assigned = assign_folds(df, bar_folds(df, **(fold_options or {})))
+    # Several jobs read the folds (pruning, statistics, fit, test), so their lineage is cut once.
+    assigned = checkpointed(assign_folds(df, bar_folds(df, **(fold_options or {}))))
     first = assigned.filter((F.col("split_id") == 0) & (F.col("role") == "train"))
     kept = correlation_prune(first, features, min(correlation, 0.9))
     result = outer_evaluation(assigned, kept, target, markets, settings, burn_in=burn_in, purge=False, **options)
-    return exclude_warmup(result, burn_in, ("symbol",))
+    plan = measure(assigned.filter(F.col("role") == "test"), ("symbol",))
+    return exclude_warmup(result, burn_in, ("symbol",), plan)
