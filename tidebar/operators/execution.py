@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tidebar.functions.columns import EPS, clip, count_if, floor_at, is_finite, local_ts, minute_of_day
+from tidebar.functions.columns import EPS, clip, cols, count_if, floor_at, is_finite, local_ts, minute_of_day
 from tidebar.operators.sessions import BREAK, SESSION_END, SESSION_START, TZ
 from tidebar.plans.blocks import Blocks, carry, block_window, halo, measure, trim
 from tidebar.plans.frames import FrameAggs
@@ -121,8 +121,7 @@ def with_target_columns(df: DataFrame, window: WindowSpec, s: ExecutionSettings)
     target = F.col("_t")
     if s.trend_threshold is not None and "htf_daily_trend_slope_10" in kept:
         target = trend_gate(target, F.col("htf_daily_trend_slope_10"), s.trend_threshold)
-    return df.withColumns({"target_exec": target, "spread": clip(spread, 0.0, 0.05)}).drop(
-        "_t", "_r", "_range", "_atr", *aggs.scratch)
+    return df.select(*cols(kept), "raw_signal", "vol", target.alias("target_exec"), clip(spread, 0.0, 0.05).alias("spread"))
 
 
 def pnl_columns(df: DataFrame, window: WindowSpec, s: ExecutionSettings) -> DataFrame:
@@ -220,14 +219,14 @@ def check_execution(df: DataFrame, keys=("symbol",)) -> DataFrame:
 
 def benchmark_columns(df: DataFrame, window: WindowSpec) -> DataFrame:
     """Long when the previous close is above its 20-row mean, entered one bar later, open-to-close return."""
+    kept = df.columns
     df = df.withColumn("_c1", F.lag("close").over(window))
     aggs = FrameAggs(window)
     mean = aggs.get("mean", "_c1", 20, 20)
     df = aggs.apply(df).withColumn("_sig", F.when(F.col("_c1") > mean, 1.0).otherwise(F.lit(0.0)))
     held = F.coalesce(F.lag("_sig").over(window), F.lit(0.0))
     ret = F.coalesce(F.nanvl((F.col("close") - F.col("open")) / floor_at(F.col("open")), F.lit(0.0)), F.lit(0.0))
-    return df.withColumn("_held", held).withColumn("benchmark_pnl", F.col("_held") * ret).drop(
-        "_c1", "_sig", "_held", *aggs.scratch)
+    return df.withColumn("_held", held).select(*cols(kept), (F.col("_held") * ret).alias("benchmark_pnl"))
 
 
 def add_benchmark(df: DataFrame, keys=("symbol",), blocks: Blocks | None = None) -> DataFrame:
