@@ -2,7 +2,7 @@
 
     BENCH_SF_DIR   table folder (default /root/testdata/sf0.1)
     BENCH_CPUS     local cores (default 8)
-    BENCH_RUNS     timed runs per query after one warm-up; the median counts (default 2)
+    BENCH_RUNS     timed runs per query after one warm-up; the median counts (default 1)
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ HEADLINE = ["ohlcv_bars", "resample_hourly", "asof_hourly", "gap_filter", "conti
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus)
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
              .config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())

@@ -119,24 +119,26 @@ def stale_runs(df: DataFrame, blocks: Blocks | None = None) -> DataFrame:
 def core_issues(df: DataFrame, ticks: DataFrame | None = None, stale_limit: int = STALE_RUN, blocks: Blocks | None = None) -> DataFrame:
     """Issue rows (symbol, file_year, severity, check, n, sample) of every violated rule.
 
-    Row rules are tested in one pass and only offending rows are shuffled. The sample holds the first five rows of
+    All row rules are counted in one aggregate, so no row is shuffled for its count. The sample holds the first five rows of
     a check; Spark applies that row-number limit before the shuffle.
     """
     keys = list(FILE_KEYS)
-    rows = with_ticks(coerce_bars(df), ticks).withColumn("_ts_ok", F.col("ts_event").isNotNull())
-    usable = F.col("_ts_ok") & valid_numbers()
+    # Shared predicates become columns once, so the rules below stay small expressions.
+    rows = with_ticks(coerce_bars(df), ticks)
+    rows = rows.withColumns({"_ts_ok": F.col("ts_event").isNotNull(), "_numbers": valid_numbers(), "_off": _any_off_tick()})
+    usable = F.col("_ts_ok") & F.col("_numbers")
     o, h, lo, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
     minute = F.unix_micros("ts_event") % 60_000_000
     tests = [("FAIL", "bad_ts_parse", ~F.col("_ts_ok")), ("FAIL", "timestamp_not_minute_aligned", F.col("_ts_ok") & (minute != 0)),
              *[("FAIL", f"bad_numeric_{x}", F.col(x).isNull() | F.isnan(x)) for x in NUMBERS],
-             ("FAIL", "non_finite_numeric", ~valid_numbers()),
+             ("FAIL", "non_finite_numeric", ~F.col("_numbers")),
              ("WARN", "non_integer_volume", usable & (v % 1 != 0)),
              ("FAIL", "timestamp_outside_file_year", usable & (F.year("ts_event") != F.col("file_year"))),
              *[("FAIL", n, usable & t) for n, t in (
                  ("high_lt_low", h < lo), ("high_lt_open", h < o), ("high_lt_close", h < c), ("low_gt_open", lo > o), ("low_gt_close", lo > c),
                  ("nonpositive_open", o <= 0), ("nonpositive_high", h <= 0), ("nonpositive_low", lo <= 0), ("nonpositive_close", c <= 0),
                  ("negative_volume", v < 0))],
-             ("WARN", "price_off_tick_grid", usable & _any_off_tick()), ("WARN", "zero_volume", usable & (v == 0)), ("WARN", "zero_range", usable & (h == lo))]
+             ("WARN", "price_off_tick_grid", usable & F.col("_off")), ("WARN", "zero_volume", usable & (v == 0)), ("WARN", "zero_range", usable & (h == lo))]
     checks = F.array(*[F.when(t, F.struct(F.lit(s).alias("severity"), F.lit(n).alias("check"))) for s, n, t in tests])
     bar = F.struct("ts_event", *NUMBERS)
     hits = rows.select(*keys, bar.alias("_bar"), F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("_c")).select(*keys, "_c.*", "_bar")
@@ -144,17 +146,21 @@ def core_issues(df: DataFrame, ticks: DataFrame | None = None, stale_limit: int
     dup = (good.groupBy(*keys, "ts_event").agg(F.count(F.lit(1)).alias("_n"), F.first(bar).alias("_bar")).filter("_n > 1"))
     gaps = gap_rows(good, blocks=blocks)
 
-    def counted(frame, weight):
-        by = [*keys, "severity", "check"]
+    by = [*keys, "severity", "check"]
+
+    def sampled(frame):
         first = Window.partitionBy(*by).orderBy(F.col("_bar.ts_event").asc_nulls_first())
-        sample = (frame.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= SAMPLE).groupBy(*by)
-                  .agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_bar"))), lambda x: x["_bar"])).alias("sample")))
-        return frame.groupBy(*by).agg(F.sum(weight).alias("n")).join(sample, by)
-
-    row_issues = counted(hits.withColumn("_w", F.lit(1).cast("long")), "_w")
-    dup_issues = counted(dup.withColumns({"severity": F.lit("FAIL"), "check": F.lit("duplicate_ts")}), "_n")
-    gap_issues = counted(gaps.withColumns({"severity": F.lit("WARN"), "check": F.lit("timestamp_gaps_gt_1min"), "_w": F.lit(1).cast("long"),
-                                           "_bar": F.struct("ts_event", "prev_ts", "gap_minutes")}), "_w")
+        return (frame.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= SAMPLE).groupBy(*by)
+                .agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_bar"))), lambda x: x["_bar"])).alias("sample")))
+
+    totals = rows.groupBy(*keys).agg(*[count_if(t).alias(n) for _, n, t in tests])
+    per_rule = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(n).alias("check"), F.col(n).alias("n")) for s, n, _ in tests])
+    row_issues = totals.select(*keys, F.inline(per_rule)).filter(F.col("n") > 0).join(sampled(hits), by)
+    dup = dup.withColumns({"severity": F.lit("FAIL"), "check": F.lit("duplicate_ts")})
+    dup_issues = dup.groupBy(*by).agg(F.sum("_n").alias("n")).join(sampled(dup), by)
+    gaps = gaps.withColumns({"severity": F.lit("WARN"), "check": F.lit("timestamp_gaps_gt_1min"),
+                             "_bar": F.struct("ts_event", "prev_ts", "gap_minutes")})
+    gap_issues = gaps.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(sampled(gaps), by)
     stale = (stale_runs(good, blocks).filter(F.col("stale_close_run_max") >= stale_limit)
              .select(*keys, F.lit("WARN").alias("severity"), F.lit("stale_close_run").alias("check"), F.col("stale_close_run_max").alias("n"),
                      F.lit("").alias("sample")))
