@@ -33,26 +33,25 @@ def day_splits(bounds: DataFrame, train_days: int = 180, test_days: int = 30, st
     When the range is shorter than one window there is a single split with open dates over all years.
     """
     window = train_days + test_days
-    span = bounds.agg(F.min("first_date").alias("_start"), F.max("last_date").alias("_end"))
+    # One row per calendar year is left before the array is collected, so it stays tiny.
+    per_year = bounds.groupBy("file_year").agg(F.min("first_date").alias("f"), F.max("last_date").alias("l"))
+    span = per_year.agg(F.min("f").alias("_start"), F.max("l").alias("_end"),
+                        F.array_sort(F.collect_list(F.struct("file_year", "f", "l"))).alias("_years"))
     span = span.withColumn("_days", F.datediff("_end", "_start") + 1)
     offsets = F.when(F.col("_days") >= window, F.sequence(F.lit(0), F.col("_days") - window, F.lit(step_days))).otherwise(
         F.array(F.lit(None).cast("int")))
-    splits = (span.select("_start", "_end", F.posexplode(offsets).alias("split_id", "_offset")).filter(F.col("split_id") < max_splits)
-              .select("split_id", F.date_add("_start", F.col("_offset")).alias("train_start"),
+    splits = (span.select("_start", "_years", F.posexplode(offsets).alias("split_id", "_offset")).filter(F.col("split_id") < max_splits)
+              .select("split_id", "_years", F.date_add("_start", F.col("_offset")).alias("train_start"),
                       F.date_add("_start", F.col("_offset") + train_days).alias("train_end"),
                       F.date_add("_start", F.col("_offset") + train_days).alias("test_start"),
                       F.date_add("_start", F.col("_offset") + window).alias("test_end")))
-    # One row per calendar year, so collecting the years into an array stays tiny.
-    years = (bounds.groupBy("file_year").agg(F.min("first_date").alias("f"), F.max("last_date").alias("l"))
-             .agg(F.array_sort(F.collect_list(F.struct("file_year", "f", "l"))).alias("_years")))
 
     def touching(start, end):
         hit = F.filter("_years", lambda y: (y["l"] >= F.col(start)) & (y["f"] < F.col(end)))
         return F.when(F.col(start).isNull(), F.col("_years.file_year")).otherwise(F.transform(hit, lambda y: y["file_year"]))
 
-    return (splits.withColumn("_one", F.lit(1)).join(F.broadcast(years.withColumn("_one", F.lit(1))), "_one")
-            .withColumns({"train_years": touching("train_start", "train_end"), "test_years": touching("test_start", "test_end")})
-            .filter((F.size("train_years") > 0) & (F.size("test_years") > 0)).drop("_one", "_years"))
+    return (splits.withColumns({"train_years": touching("train_start", "train_end"), "test_years": touching("test_start", "test_end")})
+            .filter((F.size("train_years") > 0) & (F.size("test_years") > 0)).drop("_years"))
 
 
 def year_splits(years: Sequence[int], train_years: int, test_years: int) -> list[tuple[list[int], list[int]]]:
