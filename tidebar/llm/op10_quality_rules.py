@@ -47,6 +47,7 @@ RULES = (
 BASE_WORDS, BASE_REPEAT_PERCENT = 50, 50
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_shouts", "n_stop_words", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_repeat_words")
 #: Positions take the low bits of a sort key, the hash of the window the rest.
 POSITION_BITS = 21
 
@@ -88,7 +89,9 @@ def _spots(w: Column, keys: Column, exact: Column) -> Column:
 
 
 def measures(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """Add the counts that the rules refer to."""
+    """Add the counts that the rules refer to. They pass a generator of one row each, below which the optimizer moves no
+    filter: a filter on a verdict would otherwise be rewritten in terms of the text, once per mention."""
+    own = df.columns
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     w, lines, h = F.col("_words"), F.col("_lines"), F.col("_hashes")
     df = df.withColumns({"_words": F.filter(F.split(body, SPACE + "+"), lambda x: x != ""), "_lines": F.split(body, "\n")})
@@ -117,7 +120,7 @@ def measures(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] = ST
     p = F.col("_spots")
     reach = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
     df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(reach, F.lit(0), lambda t, x: t + x), F.lit(0)).cast("long"))
-    return df.drop("_words", "_lines", "_hashes", "_twice", "_keys", "_exact", "_spots")
+    return df.select(*own, F.inline_outer(F.array(F.struct(*MEASURES))))
 
 
 def holds(rule: Rule) -> Column:
