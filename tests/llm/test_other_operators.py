@@ -135,11 +135,12 @@ def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline
     from tidebar.llm import op06_simhash as simhash, op10_quality_rules as rules
 
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
         path = new_path(spark, name)
-        stage(spark, docs, SMALL).write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         before, docs = docs, spark.read.parquet(path)
         seen[name] = (before, docs)
         if name != "packing":
@@ -147,7 +148,7 @@ def test_pipeline_stage_by_stage(spark):
     before, after = seen["quality_rules"]
     assert after.count() == rules.quality_report(before).filter("kept").count()
     before, after = seen["quality_classifier"]
-    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     assert before.join(labels.filter("quality = 1"), "doc_id", "left_semi").subtract(after).count() == 0
     before, after = seen["near_duplicates"]
     groups = simhash.near_duplicates(before)

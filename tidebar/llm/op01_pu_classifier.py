@@ -140,12 +140,12 @@ def _fit(rows: DataFrame, mean, scale, prior: float, steps: int, ridge: float =
         return sums
 
     size = 5 + 3 * d + 2 * d * d
-    candidates, best = np.zeros((1, d)), None
+    candidates, best, chosen = np.zeros((1, d)), None, np.zeros(d)
     for _ in range(steps):
         got = _summed(rows, size * len(candidates), passes(candidates)).reshape(len(candidates), size)
         trial = None
         for w, v in zip(candidates, got):
-            n_u, n_p = v[:2]
+            n_u, n_p = np.maximum(v[:2], 1)
             negative = v[2] / n_u - prior * v[3] / n_p
             risk = prior * v[4] / n_p + max(0.0, negative) + ridge * w @ w / 2
             if np.isfinite(risk) and (trial is None or risk < trial[0]):
@@ -153,7 +153,7 @@ def _fit(rows: DataFrame, mean, scale, prior: float, steps: int, ridge: float =
         if trial is None or best is not None and trial[0] > best - 1e-7:
             break
         best, w, v, negative = trial
-        n_u, n_p = v[:2]
+        n_u, n_p = np.maximum(v[:2], 1)
         su, sp, xp = v[5:5 + d] / n_u, v[5 + d:5 + 2 * d] / n_p, v[5 + 2 * d:5 + 3 * d] / n_p
         hu, hp = (v[5 + 3 * d + k * d * d:5 + 3 * d + (k + 1) * d * d].reshape(d, d) / n for k, n in ((0, n_u), (1, n_p)))
         if negative >= 0:
@@ -166,10 +166,12 @@ def _fit(rows: DataFrame, mean, scale, prior: float, steps: int, ridge: float =
     return chosen
 
 
-def class_prior(rows: DataFrame, model: Model, slack: float = -1.0) -> float:
-    """Share of positives among all rows: least ratio of the upper tails of unlabelled and positive scores, over every row.
+def class_prior(rows: DataFrame, model: Model, sure: float = 4.0) -> float:
+    """Share of positives among all rows, from the upper tails of unlabelled and positive scores over every row.
 
-    A negative `slack` gives a lower bound (in standard errors): a prior that is too high makes bad texts look good.
+    Above any score the unlabelled tail is at least prior times the positives' tail, so the least ratio bounds the prior. The
+    tail is chosen by its upper bound (`sure` standard errors). Where even that reaches 1, the rows show no negatives and
+    none are assumed; else one standard error is taken off, as a prior that is too high makes bad texts look good.
     """
 
     def sums(x: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -179,10 +181,16 @@ def class_prior(rows: DataFrame, model: Model, slack: float = -1.0) -> float:
     got = _summed(rows, 2 * BINS, sums)
     every, good = (np.cumsum(h[::-1]) for h in (got[:BINS], got[BINS:]))
     n, n_p = max(every[-1], 1), max(good[-1], 1)
-    enough = good >= 0.1 * n_p
-    error = slack * (np.sqrt(every) / n + np.sqrt(good) / n_p)
-    ratio = (every / n + error)[enough] / np.maximum((good / n_p)[enough], 1e-9)
-    return float(np.clip(ratio.min(), 0.05, 0.99)) if len(ratio) else 0.5
+    enough = good >= max(0.1 * n_p, 1)
+    if not enough.any():
+        return 0.5
+    u, p = (every / n)[enough], (good / n_p)[enough]
+    ratio = u / p
+    error = (np.sqrt(u * (1 - u) / n) + ratio * np.sqrt(p * (1 - p) / n_p)) / p
+    best = int(np.argmin(ratio + sure * error))
+    if ratio[best] + sure * error[best] >= 0.995:
+        return 0.999
+    return float(np.clip(ratio[best] - error[best], 0.05, 0.99))
 
 
 def fit(features_of: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, steps: int = 16) -> Model:
@@ -196,8 +204,10 @@ def fit(features_of: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, ste
         return Model(np.zeros(SIZE + 1), mean, scale, 0.5)
     share = int(min(1.0, fit_rows / n) * (1 << 30))
     drawn = rows if share == 1 << 30 else rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-    first = Model(_fit(drawn, mean, scale, 0.5, steps), mean, scale, 0.5)
-    prior = class_prior(rows, first)
+    # the prior is read off rows that its scores were not fitted on
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
+    first = Model(_fit(drawn.filter(half), mean, scale, 0.5, steps), mean, scale, 0.5)
+    prior = class_prior(rows.filter(~half), first)
     return Model(_fit(drawn, mean, scale, prior, steps), mean, scale, prior)
 
 
