@@ -428,3 +428,10 @@ def test_verification_helpers(spark, bars):
     delta = metrics.metric_delta(df.groupBy("symbol", "split_id").agg(F.sum("pnl").alias("total_pnl")), flat.groupBy("symbol", "split_id").agg(F.sum("pnl").alias("total_pnl")))
     assert delta.count() == 2
     assert metrics.prediction_correlation(df.withColumn("prediction_prob", F.col("close")), "close").filter("pearson_ic > 0.999").count() == 2
+
+
+def test_range_shorter_than_a_window_is_one_whole_split(bars):
+    found = splits.day_splits(splits.year_bounds(bars))
+    rows = splits.assign_splits(bars, found)
+    assert found.count() == 1 and rows.count() == 2 * bars.count()
+    assert splits.purge_train_tail(rows, found).count() == 2 * bars.count()

@@ -88,9 +88,6 @@ def walk_forward(spark, sf):
     return res.select("symbol", "split_id", stamp(), r("prediction_prob").alias("prediction_prob"), r("pnl", 4).alias("pnl"))
 
 
-SELECTION = [("a", 0, .4, 1.), ("a", 1, .5, 1.), ("b", 0, .3, 1.), ("b", 1, .2, -1.)]
-
-
 @query("feature_selection", with_("f AS (SELECT p_brand AS feature, p_size % 3 AS fold, avg(p_retailprice) / 1000 AS importance, CASE WHEN (count(*) % 2) = 0 THEN 1.0 ELSE -1.0 END AS sign FROM part GROUP BY ALL)",
                                   "g AS (SELECT feature, avg((importance > 0)::INT) AS freq, avg(importance) AS imp, avg((sign > 0)::INT) AS pos, avg((sign < 0)::INT) AS neg FROM f GROUP BY feature)",
                                   "h AS (SELECT *, CASE WHEN pos > 0.5 THEN pos ELSE neg END AS cons FROM g)", "i AS (SELECT *, freq >= 0.5 AND cons >= 0.6 AS stable FROM h)",

@@ -123,9 +123,12 @@ def manifest(selection: DataFrame, seed: int = 42, start: str | None = None, end
                     F.lit(end).cast("string").alias("window_end")))
 
 
-def discover(df: DataFrame, start: str | None, end: str | None, target: str = "target_15m_ret", window_days: int = 30,
-             max_rows: int = 200_000, folds: int = 3, selection: dict | None = None, **forest) -> DataFrame:
-    """Discovery on the train window only: recent days, sampled rows, fold importances, selection, manifest row."""
+def discover(df: DataFrame, start: str | None, end: str | None, target: str = "target_15m_ret", window_days: int | None = None,
+             max_rows: int | None = None, folds: int = 3, selection: dict | None = None, **forest) -> DataFrame:
+    """Discovery on the train window only: fold importances, selection, manifest row.
+
+    All rows of the window count unless `window_days` (recent days) or `max_rows` (a time-stratified sample) is given.
+    """
     if not start or not end:
         raise ValueError("train-only discovery needs both window bounds")
     if target not in df.columns:
@@ -133,7 +136,11 @@ def discover(df: DataFrame, start: str | None, end: str | None, target: str = "t
     features = selectable_features(df)
     if not features:
         raise ValueError("no selectable feature columns")
-    rows = stratified_sample(recent_days(train_window(df, start, end), window_days), max_rows)
+    rows = train_window(df, start, end)
+    if window_days is not None:
+        rows = recent_days(rows, window_days)
+    if max_rows is not None:
+        rows = stratified_sample(rows, max_rows)
     importances = fold_importances(rows, features, target, folds, **forest)
     return manifest(select_features(importances, **(selection or {})), start=start, end=end)
 

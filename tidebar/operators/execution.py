@@ -172,7 +172,7 @@ def simulate_execution(df: DataFrame, markets: DataFrame, settings: ExecutionSet
     if "prediction_prob" not in df.columns:
         raise ValueError("prediction_prob missing before execution")
     plan = blocks or measure(df, keys)
-    priced = df.join(F.broadcast(markets.select("symbol", "multiplier", "max_position")), "symbol")
+    priced = df.join(markets.select("symbol", "multiplier", "max_position"), "symbol")
     window = block_window(keys)
     framed = with_target_columns(halo(priced, plan, lookback=EXECUTION_LOOKBACK), window, settings)
     return add_equity(trim(pnl_columns(framed, window, settings)), plan, settings)

@@ -315,7 +315,7 @@ def walk_forward(df: DataFrame, features: Sequence[str], target: str, markets: D
     # Several jobs read the folds (pruning, statistics, fit, test), so their lineage is cut once.
     assigned = checkpointed(assign_folds(df, bar_folds(df, **(fold_options or {}))))
     first = assigned.filter((F.col("split_id") == 0) & (F.col("role") == "train"))
-    kept = correlation_prune(first, features, min(correlation, 0.9))
+    kept = correlation_prune(first, features, correlation)
     result = outer_evaluation(assigned, kept, target, markets, settings, burn_in=burn_in, purge=False, **options)
     plan = measure(assigned.filter(F.col("role") == "test"), ("symbol",))
     return exclude_warmup(result, burn_in, ("symbol",), plan)

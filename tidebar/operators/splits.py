@@ -26,8 +26,7 @@ def year_bounds(df: DataFrame) -> DataFrame:
                                           F.max(F.to_date("ts_event")).alias("last_date"))
 
 
-def day_splits(bounds: DataFrame, train_days: int = 180, test_days: int = 30, step_days: int = 30,
-               max_splits: int = 10_000) -> DataFrame:
+def day_splits(bounds: DataFrame, train_days: int = 180, test_days: int = 30, step_days: int = 30) -> DataFrame:
     """Rolling train/test windows over the whole date range of `bounds` (file_year, first_date, last_date).
 
     When the range is shorter than one window there is a single split with open dates over all years.
@@ -40,7 +39,7 @@ def day_splits(bounds: DataFrame, train_days: int = 180, test_days: int = 30, st
     span = span.withColumn("_days", F.datediff("_end", "_start") + 1)
     offsets = F.when(F.col("_days") >= window, F.sequence(F.lit(0), F.col("_days") - window, F.lit(step_days))).otherwise(
         F.array(F.lit(None).cast("int")))
-    splits = (span.select("_start", "_years", F.posexplode(offsets).alias("split_id", "_offset")).filter(F.col("split_id") < max_splits)
+    splits = (span.select("_start", "_years", F.posexplode(offsets).alias("split_id", "_offset"))
               .select("split_id", "_years", F.date_add("_start", F.col("_offset")).alias("train_start"),
                       F.date_add("_start", F.col("_offset") + train_days).alias("train_end"),
                       F.date_add("_start", F.col("_offset") + train_days).alias("test_start"),
@@ -74,6 +73,9 @@ def assign_splits(df: DataFrame, splits: DataFrame, max_lookup_rows: int = BROAD
     Split borders are dates, so splits expand to a (date, split, role) lookup and the range join becomes an
     equi join; the lookup is broadcast only below a counted size.
     """
+    whole = splits.filter(F.col("train_start").isNull()).select("split_id").first()
+    if whole is not None:  # a range shorter than one window: the only split has open dates and all rows are in both roles
+        return df.withColumn("split_id", F.lit(whole["split_id"])).withColumn("role", F.explode(F.array(F.lit("train"), F.lit("test"))))
     days = []
     for role in ("train", "test"):
         day = F.explode(F.sequence(F.col(f"{role}_start"), F.date_sub(f"{role}_end", 1)))
@@ -88,7 +90,7 @@ def purge_train_tail(df: DataFrame, splits: DataFrame, minutes: int = label_minu
     """Train rows must end before test start minus the label horizon; test rows stay. One row per split joins."""
     starts = splits.select("split_id", F.col("test_start").cast("timestamp").alias("_test_start"))
     limit = F.timestamp_micros(F.unix_micros("_test_start") - F.lit(minutes * 60_000_000))
-    return (df.join(starts, "split_id").filter((F.col("role") == "test") | (F.col("ts_event") < limit)).drop("_test_start"))
+    return (df.join(starts, "split_id").filter((F.col("role") == "test") | F.col("_test_start").isNull() | (F.col("ts_event") < limit)).drop("_test_start"))
 
 
 def slice_window(df: DataFrame, start: str, end: str, label: str = "", target: str | None = None,
