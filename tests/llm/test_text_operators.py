@@ -117,7 +117,8 @@ def test_simhash_against_all_pairs(name, request):
     assert sorted((r["doc_id"] or -1, r["fingerprint"], r["component_id"]) for r in rows(simhash.near_duplicates(df))) == want
 
 
-def test_simhash_tree_finds_every_pair(spark):
+@pytest.mark.parametrize("blocks", [{}, {"home_rows": 6, "guest_rows": 5}])
+def test_simhash_tree_finds_every_pair(spark, blocks):
     """Clusters of close fingerprints, small leaves and small blocks: same components as all pairs."""
     rng = random.Random(5)
     fps = set()
@@ -129,7 +130,7 @@ def test_simhash_tree_finds_every_pair(spark):
                 base ^= 1 << rng.randrange(64)
     fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
     df = written(spark.createDataFrame([(f,) for f in fps], "fp long"), "fps")
-    got = [(r["a"], r["b"]) for r in rows(simhash.near_links(df, leaf_rows=16, sample=256))]
+    got = [(r["a"], r["b"]) for r in rows(simhash.near_links(df, leaf_rows=16, sample=256, **blocks))]
     at = {f: i for i, f in enumerate(fps)}
     mine = roots(len(fps), np.array([at[a] for a, _ in got]), np.array([at[b] for _, b in got]))
     bits = np.array(fps, np.int64).view(np.uint64)

@@ -1,9 +1,10 @@
-"""SimHash near-duplicates through a vantage-point tree.
+"""SimHash near-duplicates through vantage-point trees.
 
-Fingerprints are taken from whole texts. A tree of vantage points, built on a bounded sample, cuts Hamming space in
-shards; every distinct fingerprint lives in the shard it falls in and visits those shards beyond a boundary that the
-triangle inequality cannot rule out. Each pair within the radius therefore meets in exactly one shard, where it is
-compared exactly. The sample only shapes the tree: any tree gives the same links.
+Fingerprints are taken from whole texts. Two trees of vantage points, one for each half of the bits, built on a bounded
+sample, cut Hamming space in shards; every distinct fingerprint lives in the shard it falls in and visits those shards
+beyond a boundary that the triangle inequality cannot rule out. A pair within the radius is within half of it on one half
+of the bits, and meets in exactly one shard of that half's tree, where it is compared exactly. The sample only shapes the
+trees: any trees give the same links.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; equal fingerprints link; very long
 texts are hashed whole, in pieces; repeated rows keep one row each; a null doc_id is kept and never names a component
@@ -22,12 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import block_pairs, components, keep_rows, roots, runs, text_of, written
+from tidebar.llm.common import BLOCK_ROWS, components, keep_rows, roots, runs, text_of, written
 
 SEED, SHINGLE_WORDS, RADIUS = 42, 3, 3
 PIECE_SHINGLES = 1 << 15
 SAMPLE = 1 << 14
 LEAF_ROWS = 2048
+GUEST_ROWS = 1 << 16
+LINKS = 1 << 21
+HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 
 
 def _bit_sums(hashes: np.ndarray) -> np.ndarray:
@@ -117,55 +121,85 @@ class VantageTree:
         return tuple(np.concatenate(x) for x in zip(*done))
 
 
-def _links(fps: np.ndarray, first: np.ndarray, second: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (first x second) within reach, by rows of bounded size."""
-    left, right = [], []
-    for start in range(0, len(first), 512):
-        part = first[start:start + 512]
-        a, b = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[second][None, :]) <= reach)
-        left.append(part[a])
-        right.append(second[b])
-    return np.concatenate(left or [first[:0]]), np.concatenate(right or [first[:0]])
-
-
-def near_links(fps: DataFrame, reach: int = RADIUS, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def _spanning(fps: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], reach: int) -> np.ndarray:
+    """Least index that each row reaches over links within reach between `pairs` of index sets (first x second). Rows are
+    compared in bounded blocks, and links found so far shrink to one per row before they grow beyond LINKS."""
+    at = np.arange(len(fps))
+    root = at
+    left, right, size = [], [], 0
+
+    def merged() -> np.ndarray:
+        return roots(len(fps), np.concatenate([at, *left]), np.concatenate([root, *right]))
+
+    for first, second in pairs:
+        for start in range(0, len(first), 512):
+            part = first[start:start + 512]
+            a, b = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[second][None, :]) <= reach)
+            left.append(part[a])
+            right.append(second[b])
+            size += len(a)
+            if size > LINKS:
+                root, left, right, size = merged(), [], [], 0
+    return merged()
+
+
+def _dealt(visits: DataFrame, home_rows: int, guest_rows: int) -> DataFrame:
+    """Rows of every shard dealt over tasks (shard, _lo, _hi) in which each home meets all homes and all guests once.
+
+    Homes and guests of a shard are cut by hash in blocks of about `home_rows` and `guest_rows`. Task (x, y) holds home
+    blocks x and y; the first block of guests visits the tasks (x, x), any further one has tasks of its own with each home
+    block. Guests never meet guests, so a shard with one home block holds every guest once.
+    """
+    blocks = lambda n, rows: F.greatest(F.ceil(n / F.lit(rows)), F.lit(1)).cast("int")
+    counts = visits.groupBy("shard").agg(F.count_if(~F.col("guest")).alias("_homes"), F.count_if("guest").alias("_guests"))
+    big = (counts.filter((F.col("_homes") > home_rows) | (F.col("_guests") > guest_rows))
+           .select("shard", blocks(F.col("_homes"), home_rows).alias("_hb"), blocks(F.col("_guests"), guest_rows).alias("_gb")))
+    guest, block, other, homes = F.col("guest"), F.col("_block"), F.col("_other"), F.col("_hb")
+    return (visits.join(big, "shard", "left").fillna(1, ["_hb", "_gb"])
+            .withColumn("_block", F.pmod(F.xxhash64("fp"), F.when(guest, F.col("_gb")).otherwise(homes)).cast("int"))
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), homes - 1 + F.when(guest, 0).otherwise(F.col("_gb") - 1))))
+            .withColumns({"_lo": F.when(guest, other).otherwise(F.least(block, other)),
+                          "_hi": F.when(guest, F.when(block == 0, other).otherwise(homes + block - 1)).otherwise(F.greatest(block, other))})
+            .select("shard", "_lo", "_hi", "_block", "fp", "guest")
+            .repartition("shard", "_lo", "_hi").sortWithinPartitions("shard", "_lo", "_hi"))
+
+
+def near_links(fps: DataFrame, reach: int = RADIUS, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, home_rows: int = BLOCK_ROWS,
+               guest_rows: int = GUEST_ROWS) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints of column `fp` within `reach` bits: per shard task a spanning
-    set, not every pair, so a group of n near copies yields about n rows."""
+    set, not every pair, so a group of n near copies yields about n rows.
+
+    Two fingerprints within `reach` bits are within half of it on one half of the bits, so there is a tree for each half,
+    searched with half the reach: far fewer branches stay open than with all bits. Shards compare all 64 bits.
+    """
     spark = fps.sparkSession
     n = fps.count()
     share = min(1.0, sample / max(n, 1))
     drawn = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * sample).toPandas()["fp"]
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf_rows))))
-    tree = VantageTree(drawn.to_numpy(np.int64).view(np.uint64), depth)
+    seen = drawn.to_numpy(np.int64).view(np.uint64)
+    trees = [VantageTree(seen & half, depth) for half in HALVES]
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for start in range(0, len(frame), 2048):
                 own = frame["fp"].to_numpy()[start:start + 2048]
-                row, leaf, guest = tree.visits(own.view(np.uint64), reach)
-                yield pd.DataFrame({"shard": leaf, "fp": own[row], "guest": guest})
+                for k, (half, tree) in enumerate(zip(HALVES, trees)):
+                    row, leaf, guest = tree.visits(own.view(np.uint64) & half, reach // 2)
+                    yield pd.DataFrame({"shard": 2 * leaf + k, "fp": own[row], "guest": guest})
 
     visits = written(fps.select("fp").mapInPandas(route, "shard long, fp long, guest boolean"), "simhash-visits")
-    counts = visits.groupBy("shard").agg(F.count(F.lit(1)).alias("_n"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["shard", "_lo", "_hi"]):
             own, guest, block = (group[c].to_numpy() for c in ("fp", "guest", "_block"))
-            bits, at = own.view(np.uint64), np.arange(len(own))
-            low = block == group["_lo"][0].as_py()
-            home = ~guest
-            if group["_lo"][0].as_py() == group["_hi"][0].as_py():
-                pairs = [(at[home], at[home]), (at[guest], at[home])]
-            else:
-                pairs = [(at[home & low], at[home & ~low]), (at[guest & low], at[home & ~low]), (at[home & low], at[guest & ~low])]
-            found = [_links(bits, x, y, reach) for x, y in pairs]
-            left, right = (np.concatenate(x) for x in zip(*found))
-            root = roots(len(own), left, right)
+            at, lo, hi = np.arange(len(own)), group["_lo"][0].as_py(), group["_hi"][0].as_py()
+            first, visitors = at[~guest & (block == lo)], at[guest]
+            root = _spanning(own.view(np.uint64), [(first, first if lo == hi else at[~guest & (block == hi)]), (visitors, first)], reach)
             kept = root != at
             yield pa.RecordBatch.from_arrays([pa.array(own[kept]), pa.array(own[root[kept]])], ["a", "b"])
 
-    dealt = block_pairs(visits, "shard", "fp", counts)
-    return dealt.mapInArrow(compare, "a long, b long").filter(F.col("a") != F.col("b")).distinct()
+    return _dealt(visits, home_rows, guest_rows).mapInArrow(compare, "a long, b long").filter(F.col("a") != F.col("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, reach: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
