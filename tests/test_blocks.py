@@ -143,3 +143,27 @@ def test_quantiles_and_ranks_of_split_groups(bars):
     a = average_ranks(skewed, ["symbol"], "volume", "rk", group_rows=10, buckets=8)
     b = average_ranks(skewed, ["symbol"], "volume", "rk")
     assert records(a, "symbol", "ts_event", "volume") == records(b.select(*a.columns), "symbol", "ts_event", "volume")
+
+
+def test_nulls_rank_alike_at_every_group_size(spark):
+    rows = [(k, v, i) for i, (k, v) in enumerate([("a", 1.0), ("a", None), ("a", 3.0), ("a", None), ("a", 1.0), (None, 2.0), (None, None),
+                                                  (None, 5.0), ("b", None), ("b", None)] * 3)]
+    df = spark.createDataFrame(rows, "symbol string, v double, i int")
+    small, large = (average_ranks(df, ["symbol"], "v", "rk", group_rows=n, buckets=4) for n in (1000, 5))
+    assert records(small.select("i", "rk"), "i") == records(large.select("i", "rk"), "i") and large.count() == len(rows)
+    small, large = (exact_quantiles(df, ["symbol"], "v", (0.0, 0.5, 1.0), group_rows=n, buckets=4) for n in (1000, 5))
+    assert {r["symbol"]: r["quantiles"] for r in small.collect()} == {r["symbol"]: r["quantiles"] for r in large.collect()}
+
+
+def test_correlation_and_ridge_far_from_zero(spark):
+    from tidebar.operators import modelling
+
+    rows = [("ES" if i % 2 else "NQ", float(i % 7), float((i * 5 + i // 7) % 7), i) for i in range(600)]
+    near = spark.createDataFrame(rows, "symbol string, x double, y double, ts_event int").withColumn("z", F.col("x") + 0.05 * F.col("y"))
+    far = near.withColumns({c: F.col(c) + 1e8 for c in "xyz"})
+    a, b = (modelling.correlation_matrix(d, ["x", "y", "z"]) for d in (near, far))
+    assert b.ravel() == pytest.approx(a.ravel(), abs=1e-6)
+    kept = {r["symbol"]: r["kept"] for r in modelling.correlation_kept(far, ["x", "y", "z"], ["symbol"]).collect()}
+    assert kept == {"ES": ["x", "y"], "NQ": ["x", "y"]}
+    fits = [{r["symbol"]: r["coefficients"] for r in modelling.ridge_fit(d, ["x", "y"], "z", ["symbol"]).collect()} for d in (near, far)]
+    assert all(fits[1][k] == pytest.approx(fits[0][k], abs=1e-6) for k in ("ES", "NQ"))

@@ -42,8 +42,8 @@ def regime_columns(df: DataFrame, window: WindowSpec, median_window: int = 20, s
     return df.select(*cols(c for c in kept if c != "regime"), regime.alias("regime"))
 
 
-def zscore_columns(df: DataFrame, window: WindowSpec, features: Sequence[str], limit: int = 20) -> DataFrame:
-    """`{col}_zscore` of the first `limit` features against their previous 30 rows, bounded to 3.5."""
+def zscore_columns(df: DataFrame, window: WindowSpec, features: Sequence[str], limit: int | None = None) -> DataFrame:
+    """`{col}_zscore` of the features (with a `limit`, of the first ones) against their previous 30 rows, bounded to 3.5."""
     kept, chosen = df.columns, [c for c in features[:limit] if c in df.columns]
     aggs = FrameAggs(window)
     out = [clip((F.col(c) - aggs.get("mean", c, 30, 30, True)) / floor_at(aggs.get("std", c, 30, 30, True)), -3.5, 3.5)
@@ -65,13 +65,13 @@ def _products(df: DataFrame, prefix: str, pairs) -> DataFrame:
                             for a, b in pairs])
 
 
-def add_pairwise_interactions(df: DataFrame, features: Sequence[str], limit: int = 500) -> DataFrame:
-    """Products of sorted feature pairs, at most `limit` columns."""
+def add_pairwise_interactions(df: DataFrame, features: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Products of all sorted feature pairs; with a `limit`, of the first ones."""
     return _products(df, "pair", islice(combinations(sorted(features), 2), limit))
 
 
-def add_cross_timeframe_interactions(df: DataFrame, low: Sequence[str], high: Sequence[str], limit: int = 200) -> DataFrame:
-    """Products of base-timeframe and higher-timeframe numeric features, at most `limit` columns."""
+def add_cross_timeframe_interactions(df: DataFrame, low: Sequence[str], high: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Products of base-timeframe and higher-timeframe numeric features; with a `limit`, the first ones."""
     types = dict(df.dtypes)
     usable = [[c for c in sorted(side) if types.get(c) in NUMERIC] for side in (low, high)]
     return _products(df, "cross", islice(product(*usable), limit))

@@ -18,8 +18,6 @@ from tidebar.plans.blocks import Blocks, measure, positions
 from tidebar.plans.checkpoints import checkpointed
 from tidebar.plans.order_stats import exact_quantiles
 
-SALTS = 16
-
 
 def variance_filter(df: DataFrame, features: Sequence[str], threshold: float = 1e-9) -> list[str]:
     """Features whose population variance exceeds the threshold; all of them if none does or rows <= 1."""
@@ -31,11 +29,12 @@ def variance_filter(df: DataFrame, features: Sequence[str], threshold: float = 1
     return kept or features
 
 
-def gram(df: DataFrame, columns: Sequence[str], keys: Sequence[str], order_by: str = "ts_event", salts: int = SALTS) -> DataFrame:
-    """Per key the upper triangle of [1, x]'[1, x] as one array, summed from per-task partial products.
+def gram(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Per key the upper triangle of [1, x - c]'[1, x - c] as one array, and the means c as another.
 
-    Rows are spread over `salts` tasks per key, each task multiplies its Arrow batches, and Spark adds the
-    k*k partial sums, so a key with most of the rows is still split. The result is k*k numbers per key.
+    A first aggregate gives each key's means, so that sums of squares stay exact for values far from zero. Tasks multiply
+    the Arrow batches of the partitions as they lie, and Spark adds the k*k partial sums, so a key with most of the rows is
+    split like its input. The result is k*k numbers per key; rows with a null key belong to no model.
     """
     keys, columns = list(keys), list(columns)
     k = len(columns) + 1
@@ -52,20 +51,23 @@ def gram(df: DataFrame, columns: Sequence[str], keys: Sequence[str], order_by: s
 
         for batch in batches:
             for key, group in batch.groupby(keys, sort=False):
-                x = np.column_stack([np.ones(len(group)), group[columns].to_numpy(dtype=np.float64)])
+                x = np.column_stack([np.ones(len(group)), group[names].to_numpy(dtype=np.float64)])
                 sums[key] = sums.get(key, 0.0) + x.T @ x
             if len(sums) > 256:
                 yield flush()
         if sums:
             yield flush()
 
-    spread = (df.select(*keys, order_by, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in columns])
-              .repartition(*keys, F.pmod(F.xxhash64(order_by), F.lit(salts))).drop(order_by))
-    return (spread.mapInPandas(partial, schema)
+    names = [f"_v{i}" for i in range(len(columns))]
+    values = df.filter(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))).select(
+        *keys, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(n) for c, n in zip(columns, names)])
+    means = values.groupBy(*keys).agg(F.array(*[F.avg(n) for n in names]).alias("centre"))
+    centred = values.join(means, keys).select(*keys, *[(F.col(n) - F.col("centre")[i]).alias(n) for i, n in enumerate(names)])
+    return (centred.mapInPandas(partial, schema)
             .select(*keys, F.posexplode("_part").alias("_pos", "_value"))
             .groupBy(*keys, "_pos").agg(F.sum("_value").alias("_value"))
             .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_cells"))
-            .select(*keys, F.col("_cells._value").alias("gram")))
+            .select(*keys, F.col("_cells._value").alias("gram")).join(means, keys))
 
 
 def _square(cells, k: int) -> np.ndarray:
@@ -74,28 +76,48 @@ def _square(cells, k: int) -> np.ndarray:
     return m + np.triu(m, 1).T
 
 
-def correlation_matrix(df: DataFrame, features: Sequence[str]) -> np.ndarray:
-    """k x k Pearson matrix; only k*k sums reach the driver."""
-    one = gram(df.withColumn("_all", F.lit(1)), features, ["_all"]).first()
-    m = _square(one["gram"], len(features) + 1)
+def _correlations(cells, centre) -> np.ndarray:
+    """NaN for a column whose spread is within rounding of its mean."""
+    m = _square(cells, len(centre) + 1)
     n, mean = m[0, 0], m[0, 1:] / m[0, 0]
     cov = m[1:, 1:] / n - np.outer(mean, mean)
     sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
+    sd[sd <= 1e-14 * np.abs(np.asarray(centre, dtype=np.float64))] = 0.0
     with np.errstate(divide="ignore", invalid="ignore"):
         return cov / np.outer(sd, sd)
 
 
+def _kept_in_order(corr: np.ndarray, threshold: float) -> list[int]:
+    kept: list[int] = []
+    for i in range(len(corr)):
+        if not any(abs(corr[j, i]) > threshold for j in kept):
+            kept.append(i)
+    return kept
+
+
+def correlation_matrix(df: DataFrame, features: Sequence[str]) -> np.ndarray:
+    """k x k Pearson matrix; only k*k sums reach the driver."""
+    one = gram(df.withColumn("_all", F.lit(1)), features, ["_all"]).first()
+    return _correlations(one["gram"], one["centre"])
+
+
+def correlation_kept(df: DataFrame, features: Sequence[str], keys: Sequence[str], threshold: float = 0.9) -> DataFrame:
+    """(keys, kept): per key the features that the greedy pruning keeps, as in `correlation_prune`."""
+    features = list(features)
+
+    @F.pandas_udf("array<string>")
+    def chosen(grams: pd.Series, centres: pd.Series) -> pd.Series:
+        return pd.Series([[features[i] for i in _kept_in_order(_correlations(*x), threshold)] for x in zip(grams, centres)])
+
+    return gram(df, features, keys).select(*keys, chosen("gram", "centre").alias("kept"))
+
+
 def correlation_prune(df: DataFrame, features: Sequence[str], threshold: float = 0.9) -> list[str]:
     """Keep features in order; each kept one drops later features correlated beyond the threshold."""
     features = list(features)
     if not features:
         return []
-    corr = np.abs(correlation_matrix(df, features))
-    kept: list[int] = []
-    for i in range(len(features)):
-        if not any(corr[j, i] > threshold for j in kept):
-            kept.append(i)
-    return [features[i] for i in kept]
+    return [features[i] for i in _kept_in_order(correlation_matrix(df, features), threshold)]
 
 
 def robust_stats(train: DataFrame, features: Sequence[str], keys: Sequence[str], min_variance: float = 1e-8, **limits) -> DataFrame:
@@ -143,19 +165,20 @@ def ridge_fit(train: DataFrame, features: Sequence[str], target: str, keys: Sequ
     k = len(features) + 2
 
     @F.pandas_udf("coefficients array<double>, intercept double")
-    def solve(grams: pd.Series) -> pd.DataFrame:
+    def solve(grams: pd.Series, centres: pd.Series) -> pd.DataFrame:
         rows = []
-        for cells in grams:
+        for cells, centre in zip(grams, centres):
             m = _square(cells, k)
             mean = m[0, 1:] / m[0, 0]
+            at = mean + centre
             centred = m[1:, 1:] - m[0, 0] * np.outer(mean, mean)
             a = centred[:-1, :-1] + alpha * np.eye(k - 2)
             beta = np.linalg.solve(a, centred[:-1, -1])
-            rows.append((beta, mean[-1] - mean[:-1] @ beta))
+            rows.append((beta, at[-1] - at[:-1] @ beta))
         return pd.DataFrame(rows, columns=["coefficients", "intercept"])
 
     sums = gram(train, [*features, target], keys)
-    return sums.withColumn("_fit", solve("gram")).select(*keys, "_fit.coefficients", "_fit.intercept")
+    return sums.withColumn("_fit", solve("gram", "centre")).select(*keys, "_fit.coefficients", "_fit.intercept")
 
 
 def linear_predict(df: DataFrame, model: DataFrame, features: Sequence[str], keys: Sequence[str], name: str) -> DataFrame:
@@ -311,11 +334,16 @@ def row_retention(result: DataFrame, test: DataFrame, keys: Sequence[str] = ("sy
 def walk_forward(df: DataFrame, features: Sequence[str], target: str, markets: DataFrame,
                  settings: ExecutionSettings = ExecutionSettings(), burn_in: int = 500, correlation: float = 0.9,
                  fold_options: dict | None = None, **options) -> DataFrame:
-    """Bar folds: prune features on the first train window, then fit and evaluate all folds together."""
+    """Bar folds: prune features on each symbol's first train window, then fit and evaluate all folds together.
+
+    A feature that a symbol does without is zero in all its rows, which leaves ridge without a weight for it.
+    """
     # Several jobs read the folds (pruning, statistics, fit, test), so their lineage is cut once.
     assigned = checkpointed(assign_folds(df, bar_folds(df, **(fold_options or {}))))
     first = assigned.filter((F.col("split_id") == 0) & (F.col("role") == "train"))
-    kept = correlation_prune(first, features, correlation)
-    result = outer_evaluation(assigned, kept, target, markets, settings, burn_in=burn_in, purge=False, **options)
+    kept = correlation_kept(first, features, ["symbol"], correlation)
+    pruned = assigned.join(kept, "symbol").withColumns(
+        {c: F.when(F.array_contains("kept", c), F.col(c)).otherwise(F.lit(0.0)) for c in features}).drop("kept")
+    result = outer_evaluation(pruned, list(features), target, markets, settings, burn_in=burn_in, purge=False, **options)
     plan = measure(assigned.filter(F.col("role") == "test"), ("symbol",))
     return exclude_warmup(result, burn_in, ("symbol",), plan)

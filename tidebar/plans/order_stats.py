@@ -3,7 +3,8 @@
 Spark's exact ``percentile`` and a rank window both hold one group in one task. That is used only while a
 counted group is at most `group_rows`; larger groups are cut by value into buckets: equal values collapse
 into one counted row, approximate quantiles give bucket edges, counts per bucket are prefix-summed, and only
-rows inside a bucket are sorted together. The edges only balance the load; results are exact.
+rows inside a bucket are sorted together. The edges only balance the load; results are exact. Null keys are a
+group of their own at every size; null values have no quantiles and rank first.
 """
 
 from __future__ import annotations
@@ -22,13 +23,25 @@ def _largest(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which nulls are equal; the columns of `on` come from the left."""
+    named = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`_on_{c}`")) for c in on]
+    return left.join(named, same, how).drop(*[f"_on_{c}" for c in on])
+
+
+def _bucket_count(largest: int, group_rows: int, least: int) -> int:
+    return max(least, 2 * -(-largest // group_rows))
+
+
 def _bucketed(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
     """(keys, value, _n, _bucket): one row per distinct value; bucket order follows value order."""
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = checkpointed(counted.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_edges")))
-    return (counted.join(edges, keys)
-            .withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges"))
+    edges = checkpointed(counted.groupBy(*keys).agg(F.percentile_approx(value, cuts, max(1000, 4 * buckets)).alias("_edges")))
+    return (_join(counted, edges, keys)
+            .withColumn("_bucket", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0)))
+            .withColumn("_bucket", F.greatest("_bucket", F.lit(0))).drop("_edges"))
 
 
 def _bucket_offsets(bucketed: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,10 +57,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     """Linear-interpolated quantiles of the non-null values: (keys, `name` array<double> in the order of qs)."""
     keys = list(keys)
     df = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if _largest(df, keys) <= group_rows:
+    largest = _largest(df, keys)
+    if largest <= group_rows:
         return df.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(q) for q in qs])).alias(name))
 
-    bucketed = _bucketed(df, keys, "_v", buckets)
+    bucketed = _bucketed(df, keys, "_v", _bucket_count(largest, group_rows, buckets))
     offsets = _bucket_offsets(bucketed, keys)
     wanted = (offsets
               .withColumn("_q", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"))
@@ -58,9 +72,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
               .filter((F.col("_rank") >= F.col("_offset")) & (F.col("_rank") < F.col("_offset") + F.col("_size")))
               .select(*keys, "_bucket", "_offset", "_rank", F.col("_q.i").alias("_i"), "_at"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (bucketed.join(wanted.select(*keys, "_bucket").distinct(), [*keys, "_bucket"], "left_semi")
+    ranked = (_join(bucketed, wanted.select(*keys, "_bucket").distinct(), [*keys, "_bucket"], "left_semi")
               .withColumn("_to", F.sum("_n").over(inside)))
-    picked = (ranked.join(wanted, [*keys, "_bucket"])
+    picked = (_join(ranked, wanted, [*keys, "_bucket"])
               .filter((F.col("_rank") - F.col("_offset") < F.col("_to"))
                       & (F.col("_rank") - F.col("_offset") >= F.col("_to") - F.col("_n"))))
     low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
@@ -74,13 +88,14 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str,
                   group_rows: int = GROUP_ROWS, buckets: int = 256) -> DataFrame:
     """Add the 1-based rank of `value` inside each key; ties share their mean rank."""
     keys = list(keys)
-    if _largest(df, keys) <= group_rows:
+    largest = _largest(df, keys)
+    if largest <= group_rows:
         ties = Window.partitionBy(*keys, value)
         return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(value))
                              + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0))
-    bucketed = _bucketed(df, keys, value, buckets)
+    bucketed = _bucketed(df, keys, value, _bucket_count(largest, group_rows, buckets))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = (bucketed.join(_bucket_offsets(bucketed, keys), [*keys, "_bucket"])
+    ranks = (_join(bucketed, _bucket_offsets(bucketed, keys), [*keys, "_bucket"])
              .withColumn(name, F.col("_offset") + F.sum("_n").over(inside) - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0))
              .select(*keys, value, name))
-    return df.join(ranks, [*keys, value])
+    return _join(df, ranks, [*keys, value])
