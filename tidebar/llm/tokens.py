@@ -3,10 +3,14 @@
 Both vocabularies split a text at spaces before any merge, so a text's ids are those of its words in turn. Words are cut
 and counted by Arrow, new ones go to the library, and ids are gathered back with NumPy. A worker keeps the ids of a bounded
 number of words.
+
+The library pays per call result, so most new words go to it in joined texts. The ids are cut again where a token begins
+with a space or bears the vocabulary's mark for the end of a piece, whose number in such words is known.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -19,6 +23,10 @@ SLICE_BYTES = 8 << 20
 #: A space before something that is not white space always begins a new piece; other spaces may join their neighbours.
 _PLAIN = " (?=\\S)"
 _LOOSE = " [\\s\\v\\x1c-\\x1f\\x{85}\\pZ]"
+JOINED_WORDS = 256
+#: Pieces of the pattern of words whose characters no normaliser changes (an apostrophe may begin a longer piece).
+_PIECE = re.compile("[a-z\xe0-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@[-`{-~]+")
+_STEADY = re.compile("[!-&(-@[-~\xe0-\xf6\xf8-\xff]+")
 _encoders: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
@@ -26,12 +34,19 @@ class WordEncoder:
     """`lead`: words carry the space before them (byte-level files); else white space is dropped and case ignored."""
 
     def __init__(self, path: str, lead: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.lead, self.known = lead, {}
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.library.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
+        #: ids that begin a word with its space, or that end a piece
+        self.border = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        suffix = self.library.model.end_of_word_suffix if not lead else None
+        for token, i in vocabulary.items():
+            self.border[i] = token.startswith("\u0120") if lead else bool(suffix) and token.endswith(suffix)
 
     @staticmethod
     def get(path: str, lead: bool) -> "WordEncoder":
@@ -61,12 +76,36 @@ class WordEncoder:
         if len(known) > CACHED_WORDS:
             known.clear()
         new = [w for w in words if w not in known]
+        plain = [(w, n) for w in new if (n := self._borders(w))]
+        for start in range(0, len(plain), JOINED_WORDS):
+            self._joined(plain[start:start + JOINED_WORDS])
+        new = [w for w in new if w not in known]
         for start in range(0, len(new), 4096):
             part = new[start:start + 4096]
             for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
                 known[w] = np.array(e.ids, self.dtype).tobytes()
         return [known[w] for w in words]
 
+    def _borders(self, word: str) -> int:
+        """How many borders the word has wherever it stands; 0 where that is not certain."""
+        if self.lead:
+            return int(word[:1] == " " and len(word) > 1 and not word[1].isspace() and " " not in word[1:])
+        return len(_PIECE.findall(word)) if _STEADY.fullmatch(word) else 0
+
+    def _joined(self, words: list[tuple[str, int]]) -> None:
+        """Keep the ids of words with known numbers of borders; of none where these do not come out."""
+        text = ("" if self.lead else " ").join(w for w, _ in words)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        at = np.flatnonzero(self.border[ids])
+        last = np.cumsum([n for _, n in words])
+        if len(at) != last[-1]:
+            return
+        ends = (np.append(at[1:], len(ids)) if self.lead else at[last - 1] + 1) * self.dtype.itemsize
+        raw, start = ids.tobytes(), 0
+        for (w, _), end in zip(words, ends.tolist()):
+            self.known[w] = raw[start:end]
+            start = end
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
         sizes, words = self._words(texts)
