@@ -1,4 +1,5 @@
 """Operators on texts against brute force and the tokenizer libraries."""
+import functools
 import hashlib
 import random
 import re
@@ -147,12 +148,34 @@ def test_one_of_each(odd, none):
 
 # ---- tokens
 
-def ids_of(path, text, end):
+@functools.cache
+def library_of(path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
-    return np.array(library.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
+    return library
+
+
+def ids_of(path, text, end):
+    return np.array(library_of(path).encode(text or "", add_special_tokens=False).ids + [end], "<u4")
+
+
+@pytest.mark.parametrize("path,lead", [(GPT, True), (CLIP, False)])
+def test_joined_words_have_the_ids_of_whole_texts(path, lead):
+    import pyarrow as pa
+
+    from tidebar.llm.tokens import WordEncoder
+
+    rng = random.Random(7)
+    pool = ["a", "The", "don't", "'s", "x'll", "(so)", "é", "e\u0301", "İ", "ß", "12", "3a4", "</w>", "<|endoftext|>", "Ġ", "日本", "🎉", "a-b.", "ﬁ",
+            " ", "\t", "\n", "\u00a0", "\x1c", "\u2003", "\x7f"]
+    texts = ["", " ", " a", "a  b"] + [" ".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(400)]
+    encoder = WordEncoder(path, lead)
+    ids, n = encoder.encode(pa.array(texts))
+    ends = np.cumsum(n)
+    for text, start, end in zip(texts, ends - n, ends):
+        assert ids[start:end].tolist() == ids_of(path, text, 0)[:-1].tolist(), text
 
 
 @pytest.mark.parametrize("name,weights", [("docs", None), ("odd", None), ("docs", {"src0": 0.5, "src1": 0.1})])
