@@ -43,6 +43,25 @@ def test_reputation_shrinks_and_blocks(spark):
     assert hosts.judge(df.limit(0), labels).count() == 0 and hosts.judge(df, labels.limit(0)).count() == len(pages)
 
 
+def test_repeated_and_null_page_ids_count_as_in_sql(spark, tmp_path):
+    """The query against its SQL in DuckDB: repeated rows, one page_id on two hosts, null page_ids, repeated and null labels."""
+    import duckdb
+    from tidebar.llm.queries import QUERIES
+
+    pages = [(1, f"http://a.x.net/{i % 3}") for i in range(12)] + [(1, f"http://b.x.net/{7 + i % 2}") for i in range(8)]
+    pages += [(None, f"http://c.y.com/{i % 2}") for i in range(9)] + [(2, "http://d.y.com/7")] * 5 + [(3, None), (4, "http://e.z/x")]
+    labels = [(0, 1), (1, 1), (1, 1), (2, 0), (7, 0), (7, 0), (8, 1), (8, None), (None, 1)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(hosts.ORACLE_SQL).fetchall()
+    got = [tuple(r) for r in QUERIES["op2_host_reputation"](spark, str(tmp_path)).collect()]
+    order = lambda rows: sorted((tuple(round(v, 8) if isinstance(v, float) else v for v in r) for r in rows), key=str)
+    assert len(got) == len(pages) and order(got) == order(want)
+
+
 def test_perspectives(spark):
     data = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, "ann", "bye"), (None, 0, None, "x"), (2, 0, "system", "s")]
     df = spark.createDataFrame([(*d, "extra") for d in data], "conv_id long, turn long, role string, text string, part string")

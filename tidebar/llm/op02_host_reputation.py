@@ -6,8 +6,9 @@ children's rates around their parents beyond binomial noise. A host is blocked w
 surely low: its upper bound is under `least_good`. A url rule overrides it.
 
 Defined results: a null url, or one without `://`, has empty host and path, matches no rule, and is judged by the prior of all
-pages; hosts without labels take their domain's estimate; repeated rows are judged one by one, each labelled row counts as an
-outcome; texts of any length are read whole; other columns are ignored, whatever their names; an empty table gives an empty
+pages; hosts without labels take their domain's estimate; repeated rows are judged one by one, and each counts every label of its
+page_id (or of the document it shows) once, for its own host only; a row with a null page_id has the labels of its document and
+none by page_id; texts of any length are read whole; other columns are ignored, whatever their names; an empty table gives an empty
 result.
 """
 
@@ -80,10 +81,10 @@ def _level(children: DataFrame, child: str, parent: str | None, parents: DataFra
             .select(child, ((F.col("k") + w * m) / (n + w)).alias("rate"), (n + w).alias("weight")))
 
 
-def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Posteriors (name, rate, weight) of hosts, domains, suffixes and all pages from (host, good) rows. A row whose `good` is
-    null names a host without counting. Pages are summed per host before anything else, so a hot host is one row."""
-    hosts = (outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("k"))
+def reputation(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Posteriors (name, rate, weight) of hosts, domains, suffixes and all pages from rows (host, n, k): k of n outcomes are good.
+    A row with n = 0 names a host without counting. Rows are summed per host before anything else, so a hot host is one row."""
+    hosts = (counts.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
              .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("all", F.lit(1))
@@ -98,15 +99,37 @@ def upper_bound(rate: Column, weight: Column, z: float = Z) -> Column:
     return F.least(rate + z * F.sqrt(rate * (1 - rate) / (weight + 1)), F.lit(1.0))
 
 
+def _counted(shown: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """(host, n, k) from rows (host, key) and labels (key, good). Both sides are counted per key first, so neither a repeated
+    row nor a repeated label is paired one by one; a null key has no label."""
+    known = (labels.filter(F.col(key).isNotNull()).groupBy(key)
+             .agg(F.count("good").alias("_n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("_k")))
+    times = shown.groupBy("host", key).agg(F.count(F.lit(1)).alias("_rows"))
+    return (times.join(known, key, "left").fillna(0, ["_n", "_k"])
+            .select("host", (F.col("_rows") * F.col("_n")).alias("n"), (F.col("_rows") * F.col("_k")).alias("k")))
+
+
+def _rows(pages: DataFrame) -> DataFrame:
+    host, path = host_and_path(F.col("url").cast("string"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[UrlRule, ...] = RULES, z: float = Z, least_good: float = LEAST_GOOD) -> DataFrame:
     """(page_id, host, path, rule, verdict, good_rate, good_upper) of every page; `labels`: (page_id, good boolean)."""
-    host, path = host_and_path(F.col("url").cast("string"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    per_page = (labels.filter(F.col("page_id").isNotNull()).groupBy("page_id")
-                .agg(F.array_sort(F.collect_list("good")).alias("outcomes")))
-    seen = (rows.select("page_id", "host").join(per_page, "page_id", "left")
-            .select("host", F.explode_outer("outcomes").alias("good")))
-    hosts = reputation(seen)[0]
+    rows = _rows(pages)
+    return _judged(rows, _counted(rows, labels, "page_id"), rules, z, least_good)
+
+
+def judge_documents(pages: DataFrame, labels: DataFrame, rules: tuple[UrlRule, ...] = RULES, z: float = Z, least_good: float = LEAST_GOOD) -> DataFrame:
+    """As `judge`, with `labels` (doc_id, quality): the first number in a page's path names the document that it shows."""
+    rows = _rows(pages)
+    shown = rows.select("host", F.regexp_extract("path", "([0-9]+)", 1).try_cast("long").alias("doc_id"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"))
+    return _judged(rows, _counted(shown, known, "doc_id"), rules, z, least_good)
+
+
+def _judged(rows: DataFrame, counts: DataFrame, rules: tuple[UrlRule, ...], z: float, least_good: float) -> DataFrame:
+    hosts = reputation(counts)[0]
     rule, ruled = matched_rule(F.col("host"), F.col("path"), rules)
     upper = upper_bound(F.col("rate"), F.col("weight"), z)
     own = F.when(upper < least_good, F.lit("block")).otherwise(F.lit("allow"))
@@ -153,11 +176,3 @@ v AS (SELECT page_id, host, path, rate, least(rate + {Z} * sqrt(rate * (1 - rate
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN up < {LEAST_GOOD} THEN 'block' ELSE 'allow' END) AS verdict,
   round(rate, 9) AS good_rate, round(up, 9) AS good_upper FROM v
 """
-
-
-def outcomes_of_documents(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(page_id, good): the first number in a page's path names the document that it shows, and documents are labelled."""
-    _, path = host_and_path(F.col("url").cast("string"))
-    shown = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_extract(path, "([0-9]+)", 1).try_cast("long").alias("doc_id"))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"))
-    return shown.filter(F.col("doc_id").isNotNull()).join(known, "doc_id").select("page_id", "good")

@@ -25,9 +25,7 @@ def op1_pu_classifier(spark, sf_dir):
 
 
 def op2_host_reputation(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    outcomes = op02_host_reputation.outcomes_of_documents(pages, table(spark, sf_dir, "labels"))
-    return op02_host_reputation.judge(pages, outcomes)
+    return op02_host_reputation.judge_documents(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
 def op3_perspectives(spark, sf_dir):
