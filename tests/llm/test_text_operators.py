@@ -90,6 +90,37 @@ def test_classifier_on_odd_rows(odd, none, labels):
     assert all(r["score"] == 0.5 for r in rows(pu.scored_documents(odd, labels.limit(0))))
 
 
+def test_prior_of_one_mixture_at_every_size(spark):
+    """Separated bad rows, 5% of all, one positive in four rows: the prior does not jump where rows are few."""
+    weights = np.zeros(pu.SIZE + 1)
+    weights[0] = 4.0
+    model = pu.Model(weights, np.zeros(pu.SIZE), np.ones(pu.SIZE), 0.5)
+
+    def prior(n):
+        bad = n // 20
+        x = [[-1.0 if i < bad else (i * 7919 % 1000) / 1000, *[0.0] * (pu.SIZE - 1)] for i in range(n)]
+        return pu.class_prior(spark.createDataFrame([(v, i >= bad and i % 4 == 0) for i, v in enumerate(x)], "x array<float>, good boolean"), model)
+
+    priors = [prior(n) for n in (200, 400, 4000)]
+    assert all(abs(p - 0.95) < 0.03 for p in priors), priors
+
+
+def test_small_and_large_draws_reject_the_same_texts(spark):
+    """The first 40 documents, 4 of them planted bad, are in both draws of one mixture."""
+    def text(i):
+        rng = random.Random(i)
+        if i % 10 == 0:
+            return " ".join("".join(rng.choices("#$%&*{}|~0123456789", k=rng.randint(1, 30))) for _ in range(rng.randint(5, 60)))
+        return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(rng.randint(20, 200))) + "."
+
+    def rejected(n):
+        docs = spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string")
+        known = spark.createDataFrame([(i, 1) for i in range(n) if i % 10 in (1, 4, 7)], "doc_id long, quality int")
+        return {r["doc_id"] for r in rows(pu.scored_documents(docs, known)) if r["doc_id"] < 40 and not r["predicted"]}
+
+    assert rejected(400) == rejected(3000) == {0, 10, 20, 30}
+
+
 # ---- simhash
 
 def reference_fingerprint(text):

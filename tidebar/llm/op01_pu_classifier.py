@@ -2,7 +2,7 @@
 
 Trusted positives are labelled good; every text counts as unlabelled, whatever its label, so no negative label is read.
 With class prior p the risk of a score g is  p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)])  (l: logistic loss). The prior
-is estimated from score histograms of all positives and all unlabelled rows: the least ratio of their upper tails. Each
+is estimated from score histograms of all positives and all unlabelled rows: the ratios of their upper tails. Each
 Newton step sums gradients and curvatures in the tasks; the driver only sees numbers of the size of the feature vector.
 
 Features are byte and word statistics of whole texts. Defined results: a null text counts as empty; an empty text is
@@ -166,12 +166,13 @@ def _fit(rows: DataFrame, mean, scale, prior: float, steps: int, ridge: float =
     return chosen
 
 
-def class_prior(rows: DataFrame, model: Model, sure: float = 4.0) -> float:
+def class_prior(rows: DataFrame, model: Model, doubt: float = 2.0) -> float:
     """Share of positives among all rows, from the upper tails of unlabelled and positive scores over every row.
 
-    Above any score the unlabelled tail is at least prior times the positives' tail, so the least ratio bounds the prior. The
-    tail is chosen by its upper bound (`sure` standard errors). Where even that reaches 1, the rows show no negatives and
-    none are assumed; else one standard error is taken off, as a prior that is too high makes bad texts look good.
+    Above any score the unlabelled tail is at least prior times the positives' tail, so every ratio of the two bounds the prior
+    and shows a share of negatives. One standard error is added to it, as a prior that is too high makes bad texts look good, and
+    it is weighed by how many errors it is away from none (a half at `doubt` errors). The largest weighed share counts. The rule
+    has no threshold: few rows weaken a share bit by bit, and many leave it whole.
     """
 
     def sums(x: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -187,10 +188,10 @@ def class_prior(rows: DataFrame, model: Model, sure: float = 4.0) -> float:
     u, p = (every / n)[enough], (good / n_p)[enough]
     ratio = u / p
     error = (np.sqrt(u * (1 - u) / n) + ratio * np.sqrt(p * (1 - p) / n_p)) / p
-    best = int(np.argmin(ratio + sure * error))
-    if ratio[best] + sure * error[best] >= 0.995:
-        return 0.999
-    return float(np.clip(ratio[best] - error[best], 0.05, 0.99))
+    negatives = np.maximum(1 - ratio, 0)
+    weight = (negatives / np.maximum(error, 1e-9)) ** 4
+    shares = (negatives + error) * weight / (weight + doubt ** 4)
+    return float(np.clip(1 - shares.max(), 0.05, 0.999))
 
 
 def fit(features_of: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, steps: int = 16) -> Model:
