@@ -435,3 +435,15 @@ def test_range_shorter_than_a_window_is_one_whole_split(bars):
     rows = splits.assign_splits(bars, found)
     assert found.count() == 1 and rows.count() == 2 * bars.count()
     assert splits.purge_train_tail(rows, found).count() == 2 * bars.count()
+
+
+def test_regime_splits_cover_the_whole_range(spark):
+    """Every hour after the first training window is tested, and none is trained on in a split that tests it."""
+    from tidebar.catalog import models
+    from tidebar.catalog.views import hourly
+
+    sf = "/root/testdata/sf0.001"
+    train, test, *_ = models._hours(spark, sf)
+    late = hourly(spark, sf).filter("ts_event >= '2024-01-16'").select("symbol", "ts_event")
+    assert late.exceptAll(test.select("symbol", "ts_event")).count() == 0
+    assert train.join(test, ["symbol", "split_id", "ts_event"]).count() == 0

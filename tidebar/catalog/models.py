@@ -123,39 +123,34 @@ def regime_features(spark, sf):
 
 
 def _hours(spark, sf):
-    """Hourly bars with two walk-forward splits: train on the first days, test on the following ones."""
+    """Train and test hours of rolling splits (15 days, then 5, every 5 days) over the whole date range, and the splits."""
     bars = hourly(spark, sf)
-    first = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
-    day = F.floor((F.unix_micros("ts_event") - first) / F.lit(86_400_000_000))
-    both = bars.withColumn("split_id", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_d", day - F.col("split_id") * 5)
-    train = both.filter((F.col("_d") >= 0) & (F.col("_d") < 15)).drop("_d")
-    test = both.filter((F.col("_d") >= 15) & (F.col("_d") < 20)).drop("_d")
-    return train, test
+    rolling = splits.day_splits(splits.year_bounds(bars), train_days=15, test_days=5, step_days=5).select("split_id", "train_start", "train_end", "test_start", "test_end")
+    rows = splits.assign_splits(bars, rolling)
+    return rows.filter("role = 'train'").drop("role"), rows.filter("role = 'test'").drop("role"), rolling
 
 
 @query("regime_probabilities", None)
 def regime_probabilities(spark, sf):
-    train, test = _hours(spark, sf)
+    train, test, _ = _hours(spark, sf)
     keys = ("symbol", "split_id")
-    models = regime.fit_regimes(regime.add_regime_features(train, keys), keys, min_hours=60, iterations=10)
+    models = regime.fit_regimes(regime.add_regime_features(train, keys), keys)
     p = regime.filter_regimes(regime.add_regime_features(test, keys), models, keys)
     return p.select(*keys, stamp(), *[r(c).alias(c) for c in regime.REGIME_COLUMNS])
 
 
 @query("regime_path", None)
 def regime_path(spark, sf):
-    train, _ = _hours(spark, sf)
+    train, _, _ = _hours(spark, sf)
     keys = ("symbol", "split_id")
     f = regime.add_regime_features(train, keys)
-    return regime.decode_regimes(f, regime.fit_regimes(f, keys, min_hours=60, iterations=5), keys).select(*keys, stamp(), "state")
+    return regime.decode_regimes(f, regime.fit_regimes(f, keys), keys).select(*keys, stamp(), "state")
 
 
 @query("regime_gated_backtest", None)
 def regime_gated_backtest(spark, sf):
-    train, test = _hours(spark, sf)
-    first = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
-    bt = backtest(spark, sf).join(F.broadcast(markets(spark).select("symbol")), "symbol").withColumn("split_id", F.explode(F.array(F.lit(0), F.lit(1))))
-    day = F.floor((F.unix_micros("ts_event") - first) / F.lit(86_400_000_000)) - F.col("split_id") * 5
-    bt = bt.filter((day >= 15) & (day < 20))
-    res = regime.gate_backtest(bt, train, test, SETTINGS, min_hours=60, iterations=5)
+    train, test, rolling = _hours(spark, sf)
+    bt = backtest(spark, sf).join(F.broadcast(markets(spark).select("symbol")), "symbol")
+    bt = splits.assign_splits(bt, rolling).filter("role = 'test'").drop("role")
+    res = regime.gate_backtest(bt, train, test, SETTINGS)
     return res.select("symbol", "split_id", stamp(), "hmm_trade_gate", r("target_exec").alias("target_exec"), r("pnl", 4).alias("pnl"))
