@@ -1,0 +1,103 @@
+"""Merkle manifest, periodic runs and guess costs against brute force."""
+import hashlib
+import zlib
+
+import pytest
+
+from tidebar.llm import op11_merkle_manifest as merkle
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def key(r):
+    return tuple(str(r[k]) for k in sorted(r))
+
+
+# ---- Merkle manifest
+
+def sha(text):
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
+def leaf_of(r, more=0):
+    values = [r["doc_id"], r["source"], r["lang"], None if r["n_chars"] is None else r["n_chars"] + more, r["text"]]
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def grown(nodes, fanout):
+    """Levels of the tree over the nodes."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([sha("".join(last[i:i + fanout])) for i in range(0, len(last), fanout)])
+    return levels
+
+
+def path(levels, i, fanout):
+    """(siblings before, siblings after) per level."""
+    out = []
+    for level in levels[:-1]:
+        start = i - i % fanout
+        run = level[start:start + fanout]
+        out.append(("".join(run[:i - start]), "".join(run[i - start + 1:])))
+        i //= fanout
+    return out
+
+
+def brute_manifest(table, fanout=2):
+    groups = {}
+    for r in table:
+        groups.setdefault(r["lang"], []).append(r)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {}
+    for g in order:
+        groups[g].sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, leaf_of(r)))
+        trees[g] = grown([leaf_of(r) for r in groups[g]], fanout)
+    upper = grown([trees[g][-1][0] for g in order], fanout) if order else []
+    out = []
+    for at, g in enumerate(order):
+        for i, r in enumerate(groups[g]):
+            proof = path(trees[g], i, fanout) + path(upper, at, fanout)
+            tampered = r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 0
+            h = leaf_of(r, int(tampered))
+            for before, after in proof:
+                h = sha(before + h + after)
+            out.append({"doc_id": r["doc_id"], "leaf": leaf_of(r), "subroot": trees[g][-1][0], "root": upper[-1][0],
+                        "proof_sha256": sha("".join(b + a for b, a in proof)), "folded_root": h, "verified": h == upper[-1][0]})
+    return out
+
+
+@pytest.mark.parametrize("name", ["docs", "odd", "none"])
+def test_manifest_against_brute_force(name, request):
+    df = request.getfixturevalue(name)
+    table = rows(df.select("doc_id", "text", "lang", "source", "n_chars"))
+    got, expected = rows(merkle.audit_digest(df)), brute_manifest(table)
+    assert sorted(got, key=key) == sorted(expected, key=key)
+    if name == "docs":
+        assert 0 < sum(not r["verified"] for r in got) < len(got)
+
+
+@pytest.mark.parametrize("fanout,height,n", [(2, 1, 2), (2, 3, 65), (3, 2, 100), (4, 1, 65)])
+def test_manifest_trees_of_other_shapes(spark, fanout, height, n):
+    """Several tiers, full and partial runs; a third of the rows bear one doc_id, half of these are equal."""
+    table = [{"doc_id": 5 if i % 3 == 0 else i, "text": f"t{i}" if i % 2 else "same", "lang": None if i % 7 == 3 else "ab"[i % 5 == 0], "source": "s", "n_chars": None}
+             for i in range(n)]
+    df = spark.createDataFrame([tuple(r.values()) for r in table], "doc_id long, text string, lang string, source string, n_chars long")
+    got = rows(merkle.manifest(df, fanout=fanout, height=height))
+    expected = brute_manifest(table, fanout)
+    got = [{"doc_id": r["doc_id"], "leaf": r["leaf"], "subroot": r["subroot"], "root": r["root"],
+            "proof_sha256": sha("".join(s["before"] + s["after"] for s in r["proof"]))} for r in got]
+    expected = [{k: r[k] for k in got[0]} for r in expected]
+    assert sorted(got, key=key) == sorted(expected, key=key)
+
+
+def test_manifest_sees_every_change(spark, docs):
+    """A changed value, a lost row and swapped fields each give another root."""
+    root = merkle.manifest(docs).first()["root"]
+    swapped = docs.selectExpr("doc_id", "text", "source AS lang", "lang AS source", "n_chars")
+    spaced = docs.selectExpr("doc_id", "if(doc_id = 9, concat(text, ' '), text) AS text", "lang", "source", "n_chars")
+    for other in (docs.filter("doc_id <> 3"), swapped, spaced):
+        assert merkle.manifest(other).first()["root"] != root
+    assert merkle.manifest(docs.repartition(5)).first()["root"] == root
