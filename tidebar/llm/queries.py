@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebar.llm import (op01_pu_classifier, op02_host_reputation, op03_perspectives, op04_warc, op05_pivot_index, op06_simhash, op07_packing,
-                         op08_bpe_transducer, op09_token_store, op10_quality_rules, op11_merkle_manifest)
+                         op08_bpe_transducer, op09_token_store, op10_quality_rules, op11_merkle_manifest, op12_periodic_runs, op13_guess_cost)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +66,17 @@ def op11_merkle(spark, sf_dir):
     return op11_merkle_manifest.audit_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_runs(spark, sf_dir):
+    return op12_periodic_runs.runs_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_secrets(spark, sf_dir):
+    return op13_guess_cost.secrets_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pu_classifier, op2_host_reputation, op3_perspectives, op4_warc, op5_pivot_index, op6_simhash, op7_packing,
-                            op8_bpe_transducer, op9_token_store, op10_rules, op11_merkle)}
+                            op8_bpe_transducer, op9_token_store, op10_rules, op11_merkle, op12_runs, op13_secrets)}
 
 ORACLE: dict[str, str] = {"op2_host_reputation": op02_host_reputation.ORACLE_SQL, "op3_perspectives": op03_perspectives.ORACLE_SQL,
                           "op4_warc": op04_warc.ORACLE_SQL, "op10_rules": op10_quality_rules.ORACLE_SQL, "op11_merkle": op11_merkle_manifest.ORACLE_SQL}
