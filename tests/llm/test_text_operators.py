@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -18,6 +19,7 @@ from tidebar.llm import op08_bpe_transducer as bpe
 from tidebar.llm import op09_token_store as store
 from tidebar.llm import op10_quality_rules as rules
 from tidebar.llm.common import new_path, roots, written
+from tidebar.llm.tokens import WordEncoder
 
 GPT, CLIP, MULTI = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -183,9 +185,7 @@ def test_one_of_each(odd, none):
 def library_of(path):
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    return library
+    return Tokenizer.from_file(path)
 
 
 def ids_of(path, text, end):
@@ -193,11 +193,17 @@ def ids_of(path, text, end):
 
 
 @pytest.mark.parametrize("path,lead", [(GPT, True), (CLIP, False)])
-def test_joined_words_have_the_ids_of_whole_texts(path, lead):
-    import pyarrow as pa
+def test_special_tokens_have_the_ids_that_the_library_gives(path, lead):
+    """Inside, beside and across words, alone, twice, in other case; between texts without any."""
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext|>", " <|endoftext|>", "one two", "", "a <|startoftext|><|endoftext|> \n c",
+             "<|ENDOFTEXT|> d", "<|endof text|>", "the <|endoftext|", "three four <|endoftext|>"]
+    ids, sizes = WordEncoder.get(path, lead).encode(pa.array(texts))
+    for t, own in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert own.tolist() == library_of(path).encode(t, add_special_tokens=False).ids, t
 
-    from tidebar.llm.tokens import WordEncoder
 
+@pytest.mark.parametrize("path,lead", [(GPT, True), (CLIP, False)])
+def test_joined_words_have_the_ids_of_whole_texts(path, lead):
     rng = random.Random(7)
     pool = ["a", "The", "don't", "'s", "x'll", "(so)", "é", "e\u0301", "İ", "ß", "12", "3a4", "</w>", "<|endoftext|>", "Ġ", "日本", "🎉", "a-b.", "ﬁ",
             " ", "\t", "\n", "\u00a0", "\x1c", "\u2003", "\x7f"]
@@ -253,10 +259,10 @@ def test_transducer_equals_tiktoken(docs):
     pool = ["a", "the", " ", "  ", "\n", "é", "日", "🎉", "ing", "123", "'s", "\u00a0", "\x1c", "aaaa", "!!!", "Ω", "\t"]
     texts = [r["text"] or "" for r in rows(docs)] + ["".join(rng.choices(pool, k=rng.randint(0, 30))) for _ in range(1000)]
     texts += ["".join(rng.choices("abcdehilnorst", k=40)) for _ in range(500)]
-    for t in texts:
-        ids = np.frombuffer(codec.encode(t), "<u4").tolist()
-        assert ids == library.encode_ordinary(t)
-        assert "".join(codec.decode_text(ids)) == t
+    all_ids, lengths = codec.encode(pa.array(texts))
+    for t, own in zip(texts, np.split(all_ids, np.cumsum(lengths)[:-1])):
+        assert own.tolist() == library.encode_ordinary(t)
+        assert "".join(codec.decode_text(own, 3)) == t
 
 
 def test_utf8_stream_holds_back_unfinished_characters():

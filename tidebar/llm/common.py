@@ -36,6 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """The table, to be broadcast where it counts no more than `rows` (narrow) rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import text_of, written
+from tidebar.llm.common import small, text_of, written
 from tidebar.llm.tokens import WordEncoder, binary_array, slices, with_end
 
 LENGTH = 1024
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, path: str, weights: dict[str, float] | None = None, le
             if rows:
                 yield _batch(rows)
 
-    placed = table.join(ahead, ["source", "part"]).select("source", "doc_id", (F.col("start") + F.col("ahead")).alias("start"), "ids")
+    placed = table.join(small(ahead), ["source", "part"]).select("source", "doc_id", (F.col("start") + F.col("ahead")).alias("start"), "ids")
     return (placed.mapInArrow(task, PIECES)
             .withColumn("source", F.when(F.col("source").startswith("="), F.col("source").substr(F.lit(2), F.length("source")))))
 

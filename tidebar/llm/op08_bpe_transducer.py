@@ -4,10 +4,12 @@ A sequence of tokens is the BPE encoding of its bytes exactly when every two nei
 bytes. So each prefix of a piece has one last token, found from the last tokens of shorter prefixes. While bytes arrive,
 only those earlier places matter from which a token could still reach beyond the end read so far; where all their chains
 agree, tokens are final and are put out. What remains, the last token put out and the bytes since, is the state; the
-distance is bounded by the longest token. States and their transitions are made when first met and kept up to a bound.
+distance is bounded by the longest token. A transition and its state are made when met for the second time and kept up to a
+bound; before, the prefixes of the rest of the piece are followed side by side.
 
-A piece that is itself a vocabulary entry gives that entry, as in the tiktoken library. Decoding joins token bytes in
-blocks; a state machine over UTF-8 lead and continuation bytes holds back the incomplete character at a block's end.
+A piece that is itself a vocabulary entry gives that entry, as in the tiktoken library. Words are cut by Arrow and go to the
+transducer when a worker meets them first; ids of texts are gathered from those of their words. Decoding gathers token bytes
+in blocks; a state machine over UTF-8 lead and continuation bytes holds back the incomplete character at a block's end.
 
 Defined results: a null text is empty: no ids, empty digests; texts of any length are streamed; repeated rows are encoded
 one by one; other columns are ignored, whatever their names; an empty table gives an empty result.
@@ -18,8 +20,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import text_of
+from tidebar.llm.tokens import binary_array, cut_words, gathered, slices
 
 MAX_STATES = 400_000
 CACHED_WORDS = 400_000
-SPLIT = re.compile(" (?=\\S)")
+BLOCK = 1 << 16
+
+
+@contextmanager
+def collector_off() -> Iterator[None]:
+    """Without walks of the tables for cycles, which they do not hold; afterwards the collector leaves them out."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.freeze()
+        if was:
+            gc.enable()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,7 +55,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Reads bytes and puts out tokens as they become final; `finish` gives those left at a piece's end."""
+    """Reads bytes and puts out tokens as they become final; a piece's end gives those left."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -56,7 +72,7 @@ class Transducer:
         self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = [(-1, b"", (), (), (0,))]
         self.numbers: dict[tuple[int, bytes], int] = {(-1, b""): 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
+        self.met: set[int] = set()
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; itself twice for a byte, None if merges never make it."""
@@ -93,12 +109,13 @@ class Transducer:
             else:
                 before, b = b + 1, self._halves(b)[0]
 
-    def _last(self, done: int, raw: bytes, last: tuple[int, ...]) -> int:
-        """The last token of the encoding of `raw` after `done`: the longest that follows what is before it."""
-        ranks, pairs = self.ranks, self.pairs
-        for start in range(len(raw)):
+    def _last(self, done: int, raw: bytes, last: Sequence[int], live: Sequence[int]) -> int:
+        """The last token of the encoding of `raw` after `done`: the longest that follows what is before it. It begins where a
+        token could still reach beyond the last byte but one."""
+        ranks, pairs, halves = self.ranks, self.pairs, self.halves
+        for start in live:
             token = ranks.get(raw[start:])
-            if token is None or self._halves(token) is None:
+            if token is None or (halves[token] if token in halves else self._halves(token)) is None:
                 continue
             before = last[start - 1] if start else done
             if before < 0:
@@ -114,7 +131,7 @@ class Transducer:
         done, raw, last, first, live = self.states[state]
         raw += bytes((byte,))
         n = len(raw)
-        token = self._last(done, raw, last)
+        token = self._last(done, raw, last, live)
         start = n - self.size[token]
         last += (token,)
         first += (first[start - 1] if start else token,)
@@ -148,30 +165,42 @@ class Transducer:
         move = self.moves[state << 8 | byte] = (number, tuple(out))
         return move
 
-    def finish(self, state: int) -> tuple[int, ...]:
-        if state not in self.ends:
-            last = self.states[state][2]
-            out, end = [], len(last)
-            while end > 0:
-                out.append(last[end - 1])
-                end -= self.size[out[-1]]
-            self.ends[state] = tuple(out[::-1])
-        return self.ends[state]
+    def _simulated(self, state: int, rest: bytes) -> list[int]:
+        """What the rest of a piece puts out, all prefixes followed at once; no states are made."""
+        done, raw, last, _, live = self.states[state]
+        last, live, prefixes = list(last), list(live), self.prefixes
+        for i in range(len(rest)):
+            raw += rest[i:i + 1]
+            last.append(self._last(done, raw, last, live))
+            live = [e for e in live if raw[e:] in prefixes]
+            live.append(len(raw))
+        out, end = [], len(raw)
+        while end > 0:
+            out.append(last[end - 1])
+            end -= self.size[out[-1]]
+        return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > MAX_STATES or len(self.met) > 4 * MAX_STATES:
             self.reset()
         if len(self.pairs) > 4 * MAX_STATES:
             self.pairs.clear()
-        state, out, moves = 0, [], self.moves
-        for byte in piece:
-            state, got = moves.get(state << 8 | byte) or self._extend(state, byte)
+        state, out, moves, met = 0, [], self.moves, self.met
+        end = len(piece) - 1
+        for at, byte in enumerate(piece):
+            key = state << 8 | byte
+            move = moves.get(key)
+            if move is None:
+                if at == end or key not in met:  # a piece's last byte needs no state
+                    met.add(key)
+                    return out + self._simulated(state, piece[at:])
+                move = self._extend(state, byte)
+            state, got = move
             if got:
                 out += got
-        out += self.finish(state)
-        return out
+        return out + self._simulated(state, b"")
 
 
 class Utf8Stream:
@@ -191,77 +220,78 @@ class Utf8Stream:
             return back if need > back else 0
         return 0
 
-    def feed(self, raw: bytes) -> str:
-        raw = self.held + raw
+    def whole(self, raw: bytes) -> bytes:
+        """The bytes of complete characters so far."""
+        raw = self.held + raw if self.held else raw
         keep = self.unfinished(raw[-3:])
         self.held = raw[len(raw) - keep:]
-        return raw[:len(raw) - keep].decode("utf-8", "replace")
+        return raw[:len(raw) - keep]
 
-    def close(self) -> str:
-        left, self.held = self.held.decode("utf-8", "replace"), b""
+    def rest(self) -> bytes:
+        left, self.held = self.held, b""
         return left
 
+    def feed(self, raw: bytes) -> str:
+        return self.whole(raw).decode("utf-8", "replace")
+
+    def close(self) -> str:
+        return self.rest().decode("utf-8", "replace")
+
 
 class Codec:
     """Texts to ids and back. A worker keeps the ids of a bounded number of words."""
 
     kept: dict[tuple[str, str], "Codec"] = {}
+    dtype = np.dtype("<u4")
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.transducer, self.pattern, self.known = Transducer(read_ranks(path)), regex.compile(pattern), {}
-        self.pieces: dict[str, list[int]] = {}
-        self.table = self.transducer.bytes_of
+        self.pieces: dict[str, bytes] = {}
+        raw = self.transducer.bytes_of
+        self.table = pa.array([raw.get(i) for i in range(max(raw) + 1)], pa.binary())
 
     @classmethod
     def get(cls, path: str, pattern: str) -> "Codec":
         if (path, pattern) not in cls.kept:
-            gc.disable()  # the tables hold no cycles, and walking them costs more than all else
             cls.kept[path, pattern] = cls(path, pattern)
         return cls.kept[path, pattern]
 
-    def _word(self, word: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pattern.findall(word):
-            got = self.pieces.get(piece)
-            if got is None:
-                got = self.pieces[piece] = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-            ids += got
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers. A space before something else always begins a new piece of the pattern,
-        so words are encoded one by one."""
-        known = self.known
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces[piece] = np.array(self.transducer.encode(piece.encode("utf-8", "surrogatepass")), self.dtype).tobytes()
+        return got
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        known, pieces = self.known, self.pieces
         if len(known) > CACHED_WORDS:
             known.clear()
-            self.pieces.clear()
-        words = SPLIT.split(text)
-        words[1:] = [" " + w for w in words[1:]]
+            pieces.clear()
         out = list(map(known.get, words))
         if None in out:
             for i, got in enumerate(out):
                 if got is None:
-                    got = known.get(words[i])
-                    if got is None:
-                        got = known[words[i]] = self._word(words[i])
-                    out[i] = got
-        return b"".join(out)
+                    word = words[i]
+                    out[i] = known[word] = b"".join([pieces.get(p) or self._piece(p) for p in self.pattern.findall(word)])
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of ids of each. A space before something else always begins a new piece
+        of the pattern, so words are encoded one by one."""
+        with collector_off():
+            return gathered(*cut_words(texts, True), self._ids, self.dtype)
 
-    def decode(self, ids: Iterable[int], block: int = 1 << 14) -> Iterator[bytes]:
+    def decode(self, ids: Iterable[int], block: int = BLOCK) -> Iterator[bytes]:
         """Token bytes in blocks."""
-        held: list[int] = []
-        for i in ids:
-            held.append(i)
-            if len(held) == block:
-                yield b"".join(map(self.table.__getitem__, held))
-                held = []
-        yield b"".join(map(self.table.__getitem__, held))
-
-    def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
+        ids = np.asarray(ids if isinstance(ids, np.ndarray) else list(ids), np.int64)
+        for start in range(0, len(ids), block):
+            raw = self.table.take(pa.array(ids[start:start + block]))
+            first, last = np.frombuffer(raw.buffers()[1], np.int32)[[raw.offset, raw.offset + len(raw)]]
+            yield raw.buffers()[2][int(first):int(last)].to_pybytes()
+
+    def decode_text(self, ids: Iterable[int], block: int = BLOCK) -> Iterator[str]:
         stream = Utf8Stream()
-        for raw in self.decode(ids):
+        for raw in self.decode(ids, block):
             yield stream.feed(raw)
         yield stream.close()
 
@@ -272,33 +302,31 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.get(path, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids = [codec.encode(t) for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([part["doc_id"], binary_array(*codec.encode(part["text"]))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(task, "doc_id long, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_chars): encoded, then decoded again as a stream."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, then decoded again as a stream of whole characters."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.get(path, pattern)
         for batch in batches:
-            rows = []
-            for text in batch["text"].to_pylist():
-                ids = codec.encode(text)
-                digest, stream, chars = hashlib.sha256(), Utf8Stream(), 0
-                for raw in codec.decode(np.frombuffer(ids, "<u4").tolist()):
-                    digest.update(raw)
-                    chars += len(stream.feed(raw))
-                chars += len(stream.close())
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), digest.hexdigest(), chars))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64()))] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns],
-                                                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
+            for part in slices(batch):
+                ids, lengths = codec.encode(part["text"])
+                coded, decoded, start = [], [], 0
+                for n in lengths.tolist():
+                    own, digest, stream = ids[start:start + n], hashlib.sha256(), Utf8Stream()
+                    for raw in codec.decode(own):
+                        digest.update(stream.whole(raw))
+                    digest.update(stream.rest())
+                    coded.append(hashlib.sha256(own.tobytes()).hexdigest())
+                    decoded.append(digest.hexdigest())
+                    start += n
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(lengths), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
+                                                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(
-        task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
+        task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,13 +6,16 @@ number of words.
 
 The library pays per call result, so most new words go to it in joined texts. The ids are cut again where a token begins
 with a space or bears the vocabulary's mark for the end of a piece, whose number in such words is known.
+
+A text that holds the string of one of the file's special tokens goes to the library whole, which gives that token its own id
+there, as it does by default; `add_special_tokens=False` only keeps it from adding such tokens of its own.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.lead, self.known = lead, {}
         vocabulary = self.library.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
@@ -54,23 +57,6 @@ class WordEncoder:
             _encoders[path, lead] = WordEncoder(path, lead)
         return _encoders[path, lead]
 
-    def _words(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-        """Words per text, and all words."""
-        if not self.lead:
-            cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        elif pc.any(pc.match_substring_regex(texts, _LOOSE)).as_py():
-            cut = pa.array([re.split(_PLAIN, t) for t in texts.to_pylist()], pa.list_(pa.string()))
-        else:
-            cut = pc.split_pattern(texts, " ")
-        sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
-        words = cut.flatten()
-        if self.lead and len(words):
-            first = np.zeros(len(words), bool)
-            first[np.cumsum(sizes)[:-1]] = True
-            first[0] = True
-            words = pc.if_else(pa.array(first), words, pc.binary_join_element_wise("", words, " "))
-        return sizes, words
-
     def _ids(self, words: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > CACHED_WORDS:
@@ -106,20 +92,60 @@ class WordEncoder:
             self.known[w] = raw[start:end]
             start = end
 
+    def _whole(self, texts: pa.Array) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
-        sizes, words = self._words(texts)
-        coded = words.dictionary_encode()
-        table = self._ids(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(table), self.dtype)
-        starts = np.cumsum(lengths) - lengths
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        n = lengths[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)] if len(flat) else flat
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        return ids, np.diff(bounds)
+        special = np.zeros(len(texts), bool)
+        for token in self.specials:
+            special |= pc.match_substring(texts, token, ignore_case=not self.lead).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return gathered(*cut_words(texts, self.lead), self._ids, self.dtype)
+        ids, sizes = gathered(*cut_words(texts.filter(pa.array(~special)), self.lead), self._ids, self.dtype)
+        whole = self._whole(texts.filter(pa.array(special)))
+        lengths = np.zeros(len(texts), np.int64)
+        lengths[~special], lengths[special] = sizes, list(map(len, whole))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out, done = [], 0
+        for at, own in zip(np.flatnonzero(special), whole):
+            plain = int((~special[:at]).sum())
+            out += [ids[ends[done]:ends[plain]], own]
+            done = plain
+        return np.concatenate([*out, ids[ends[done]:]]), lengths
+
+
+def cut_words(texts: pa.Array, lead: bool) -> tuple[np.ndarray, pa.Array]:
+    """Words per text, and all words; with `lead` a word carries the space before it, else white space and case go."""
+    if not lead:
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    elif pc.any(pc.match_substring_regex(texts, _LOOSE)).as_py():
+        cut = pa.array([re.split(_PLAIN, t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        cut = pc.split_pattern(texts, " ")
+    sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+    words = cut.flatten()
+    if lead and len(words):
+        first = np.zeros(len(words), bool)
+        first[np.cumsum(sizes)[:-1]] = True
+        first[0] = True
+        words = pc.if_else(pa.array(first), words, pc.binary_join_element_wise("", words, " "))
+    return sizes, words
+
+
+def gathered(sizes: np.ndarray, words: pa.Array, ids_of: Callable[[list[str]], list[bytes]], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in a row, and the number of ids of each text; `ids_of` gets each distinct word once."""
+    coded = words.dictionary_encode()
+    table = ids_of(coded.dictionary.to_pylist())
+    lengths = np.fromiter(map(len, table), np.int64, len(table)) // dtype.itemsize
+    flat = np.frombuffer(b"".join(table), dtype)
+    starts = np.cumsum(lengths) - lengths
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    n = lengths[at]
+    ends = np.cumsum(n)
+    ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)] if len(flat) else flat
+    bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+    return ids, np.diff(bounds)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
