@@ -1,6 +1,6 @@
 import math
 import random
-from datetime import timedelta
+from datetime import timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -447,3 +447,54 @@ def test_regime_splits_cover_the_whole_range(spark):
     late = hourly(spark, sf).filter("ts_event >= '2024-01-16'").select("symbol", "ts_event")
     assert late.exceptAll(test.select("symbol", "ts_event")).count() == 0
     assert train.join(test, ["symbol", "split_id", "ts_event"]).count() == 0
+
+
+def test_gaps_and_runs_over_block_borders(spark):
+    """Counts of gaps, the longest run of unchanged closes and the first gaps are those of the whole file, however it is cut."""
+    from tidebar.plans.blocks import measure
+
+    rng, rows = random.Random(5), []
+    for year in (2023, 2024):
+        at, close = utc(f"{year}-03-01T00:00:00"), 1.0
+        for i in range(900):
+            at += timedelta(minutes=rng.choice([1, 1, 1, 7, 600]))
+            close = close if 200 < i < 700 or rng.random() < 0.6 else rng.random()
+            rows.append(("ES", year, at, close))
+    df = spark.createDataFrame(rows, "symbol string, file_year int, ts_event timestamp, close double")
+    expected = {}
+    for year in (2023, 2024):
+        own = [r for r in rows if r[1] == year]
+        gaps = [(a[2], b[2]) for a, b in zip(own, own[1:]) if b[2] - a[2] > timedelta(minutes=1)]
+        best = run = 0
+        for a, b in zip(own, own[1:]):
+            run = run + 1 if a[3] == b[3] else 0
+            best = max(best, run)
+        expected[year] = (len(gaps), best, [b for _, b in gaps[:audit.SAMPLE]])
+    for block_rows in (10_000, 100, 30):
+        plan = measure(df, audit.FILE_KEYS, block_rows=block_rows, cell_seconds=3600)
+        stats, first = audit.gaps_and_runs(df, blocks=plan)
+        heads = first.collect()
+        got = {r["file_year"]: (r["gap_count_gt_1min"], r["stale_close_run_max"],
+                                sorted(h["ts_event"].replace(tzinfo=timezone.utc) for h in heads if h["file_year"] == r["file_year"])[:audit.SAMPLE]) for r in stats.collect()}
+        assert got == expected
+
+
+@pytest.mark.parametrize("step,change", [(1, {}), (5, {}), (1, {"week_start": 30, "week_end": 1430, "break_start": 90, "break_end": 150}), (15, {"week_start_day": 0, "week_end_day": 4})])
+def test_expected_counts_equal_listed_minutes(spark, step, change):
+    """Days counted in closed form against every minute listed: holidays, offset changes, spans that begin and end within a day."""
+    sessions_ = session_dim(spark).withColumns({k: F.lit(v) for k, v in change.items()})
+    spans = spark.createDataFrame([("ES", 1, utc("2023-10-30T05:17:00"), utc("2024-01-20T18:59:00")), ("CL", 1, utc("2024-03-06T23:58:00"), utc("2024-03-14T00:01:00")),
+                                   ("ZC", 2, utc("2024-07-03T12:00:00"), utc("2024-07-03T12:00:00")), ("GC", 1, utc("2024-02-02T00:00:00"), utc("2024-02-01T00:00:00"))],
+                                  "symbol string, part int, first_ts timestamp, last_ts timestamp")
+    holidays = calendars.holiday_calendar(calendars._year_spans(spans), sessions_).cache()
+    listed = calendars.expected_minutes(spans.filter("first_ts <= last_ts"), sessions_, holidays, ["symbol", "part"], step)
+    expected = {(r["symbol"], r["part"], r["d"]): r["n"] for r in listed.groupBy("symbol", "part", F.date_trunc("day", "ts_event").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {(r["symbol"], r["part"], r["_day"]): r["n"] for r in calendars.expected_counts(spans, sessions_, holidays, ["symbol", "part"], step).collect() if r["n"]}
+    assert got == expected and len(got) > 60
+
+
+def test_session_audit_plans_no_minute_grid_for_the_summary(spark, bars):
+    tables = calendars.session_audit(bars, ("symbol",))
+    assert "1439" not in tables["summary"]._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["symbol"]: r["missing_expected_minutes"] for r in tables["summary"].collect()} == {
+        r["symbol"]: r["count"] for r in tables["missing"].groupBy("symbol").count().collect()}

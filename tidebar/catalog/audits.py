@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidebar.catalog.registry import STAMP, lag, lead, over, query, r, roll, rs, show, stamp, with_
@@ -40,6 +41,52 @@ def core_audit(spark, sf):
     return audit.core_issues(raw_rows(spark, sf)).select("symbol", "file_year", "severity", "check", "n")
 
 
+#: Rows of `raw` spoiled by part number, so that every rule is broken: what is put in place of which column.
+SPOILED = {"ts": {3: None}, "file_year": {5: 1900}, "open": {7: None, 11: "nan", 13: -1.0}, "high": {17: "inf", 19: 0.5}, "low": {23: "-inf", 29: 0.0, 31: 1e9},
+           "close": {37: None, 41: -2.0, 43: 1e9}, "volume": {47: None, 53: -3.0, 59: 1.5, 61: 0.0, 67: "nan"}}
+SPOILED_SQL = ("spoiled AS (SELECT symbol, " + ", ".join(
+    f"CASE part % 211 {' '.join(f'WHEN {k} THEN ' + ('NULL' if v is None else repr(v) + ('::INT' if c == 'file_year' else '::DOUBLE')) for k, v in by.items())} ELSE {c} END AS {c}"
+    for c, by in SPOILED.items()) + " FROM (SELECT raw.*, (row_number() OVER (ORDER BY symbol, ts, open, high, low, close, volume)) AS part FROM raw))")
+NUMERIC = ("open", "high", "low", "close", "volume")
+FINITE = " AND ".join(f"coalesce(isfinite({c}), false)" for c in NUMERIC)
+ALL_RULES = [("FAIL", "bad_ts_parse", "ts IS NULL"), ("FAIL", "timestamp_not_minute_aligned", "date_trunc('minute', ts) <> ts"),
+             *[("FAIL", f"bad_numeric_{c}", f"{c} IS NULL OR isnan({c})") for c in NUMERIC], ("FAIL", "non_finite_numeric", "NOT ok"),
+             *[(s, n, f"use AND ({t})") for s, n, t in (
+                 *[x for x in ROW_RULES if x[1] != "timestamp_not_minute_aligned"], ("FAIL", "timestamp_outside_file_year", "year(ts) <> file_year"),
+                 *[("FAIL", f"nonpositive_{c}", f"{c} <= 0") for c in NUMERIC[:4]])]]
+
+
+def spoiled_rows(spark, sf):
+    """The raw bars with rows that break every rule, at places given by the rows' order."""
+    numbered = raw_rows(spark, sf)
+    place = Window.orderBy("symbol", "ts_event", "open", "high", "low", "close", "volume")
+    part = F.row_number().over(place) % 211
+    rows = numbered.withColumn("part", part)
+    for c, by in SPOILED.items():
+        name = "ts_event" if c == "ts" else c
+        value = F.col(name)
+        for k, v in by.items():
+            kind = dict(numbered.dtypes)[name]
+            value = F.when(F.col("part") == k, F.lit(v).cast(kind)).otherwise(value)
+        rows = rows.withColumn(name, value)
+    return rows.drop("part")
+
+
+@query("core_audit_rules", with_(RAW, TICKS_SQL, SPOILED_SQL, f"sp AS (SELECT spoiled.*, tick, {FINITE} AS ok, ts IS NOT NULL AND ({FINITE}) AS use FROM spoiled LEFT JOIN tk USING (symbol))",
+                                 f"dp AS (SELECT {KEY}, ts, count(*) AS n, first(close) AS close FROM sp WHERE use GROUP BY ALL)",
+                                 f"li AS (SELECT *, lag(ts) OVER w AS prev_ts, coalesce(close = lag(close) OVER w, false) AS same FROM dp WHERE n = 1 WINDOW w AS (PARTITION BY {KEY} ORDER BY ts))",
+                                 f"li2 AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY {KEY} ORDER BY ts) AS run FROM li)",
+                                 f"rn AS (SELECT {KEY}, max(n) AS n FROM (SELECT {KEY}, run, count(*) FILTER (same) AS n FROM li2 GROUP BY ALL) GROUP BY ALL)")
+       + " UNION ALL ".join(f"SELECT {KEY}, '{s}' AS severity, '{n}' AS \"check\", count(*) AS n FROM sp WHERE {t} GROUP BY {KEY}" for s, n, t in ALL_RULES)
+       + f" UNION ALL SELECT {KEY}, 'FAIL', 'duplicate_ts', sum(n)::BIGINT FROM dp WHERE n > 1 GROUP BY {KEY}"
+       f" UNION ALL SELECT {KEY}, 'WARN', 'timestamp_gaps_gt_1min', count(*) FROM li WHERE epoch_us(ts) - epoch_us(prev_ts) > 60000000 GROUP BY {KEY}"
+       f" UNION ALL SELECT {KEY}, 'WARN', 'stale_close_run', n FROM rn WHERE n >= 1"
+       f" UNION ALL SELECT {KEY}, 'FAIL', 'no_valid_numeric_rows', count(*) FROM sp GROUP BY {KEY} HAVING count(*) FILTER (use) = 0")
+def core_audit_rules(spark, sf):
+    """Every rule, each broken by some rows."""
+    return audit.core_issues(spoiled_rows(spark, sf), stale_limit=1).select("symbol", "file_year", "severity", "check", "n")
+
+
 @query("core_summary", with_(RAW, UNIQUE, GAPS, STALE, DUPES, f"dd AS (SELECT {KEY}, sum(n)::BIGINT AS dup FROM du GROUP BY ALL), gg AS (SELECT {KEY}, count(*) AS gaps FROM gp GROUP BY ALL)")
        + f"SELECT {KEY}, count(*) AS rows, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, any_value(coalesce(dup, 0)) AS duplicate_ts, "
        f"any_value(coalesce(gaps, 0)) AS gap_count_gt_1min, any_value(coalesce(stale, 0)) AS stale_close_run_max, count(*) FILTER (volume = 0) AS zero_volume, count(*) FILTER (high = low) AS zero_range, "
@@ -211,10 +258,10 @@ def missing_minutes(spark, sf):
     return m.select("symbol", stamp("missing_ts_event").alias("ts"))
 
 
-@query("session_file_audit", with_(MINUTELY, CALENDAR, "ex AS (SELECT symbol, TIMESTAMP '2024-01-01' + to_minutes(k) AS ts FROM (SELECT DISTINCT symbol FROM b), range(0, 366 * 1440) t(k))", _active("ex", "xa"),
-                                   "sp AS (SELECT symbol, min(ts) AS f, max(ts) AS l FROM b GROUP BY symbol)",
-                                   "e AS (SELECT symbol, count(*) AS n, count(*) FILTER (ts BETWEEN f AND l) AS inr, min(ts) AS ef, max(ts) AS el, any_value(f) AS f, any_value(l) AS l FROM xa JOIN sp USING (symbol) WHERE active GROUP BY symbol)")
-       + "SELECT symbol, 2024::INT AS file_year, n AS full_expected_minutes, inr AS expected_session_minutes, f > ef AS partial_start, l < el AS partial_end FROM e")
+@query("session_file_audit", with_(MINUTELY, CALENDAR, "ex AS (SELECT symbol, y AS file_year, make_timestamp(y, 1, 1, 0, 0, 0) + to_minutes(k) AS ts FROM (SELECT DISTINCT symbol, year(ts) AS y FROM b), range(0, 366 * 1440) t(k) WHERE year(make_timestamp(y, 1, 1, 0, 0, 0) + to_minutes(k)) = y)", _active("ex", "xa"),
+                                   "sp AS (SELECT symbol, year(ts) AS file_year, min(ts) AS f, max(ts) AS l FROM b GROUP BY ALL)",
+                                   "e AS (SELECT symbol, file_year, count(*) AS n, count(*) FILTER (ts BETWEEN f AND l) AS inr, min(ts) AS ef, max(ts) AS el, any_value(f) AS f, any_value(l) AS l FROM xa JOIN sp USING (symbol, file_year) WHERE active GROUP BY ALL)")
+       + "SELECT symbol, file_year::INT AS file_year, n AS full_expected_minutes, inr AS expected_session_minutes, f > ef AS partial_start, l < el AS partial_end FROM e")
 def session_file_audit(spark, sf):
     df = minutely(spark, sf).withColumn("file_year", F.year("ts_event"))
     s = calendars.session_audit(df)["summary"]

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.columns import count_if, is_finite, off_tick
-from tidebar.plans.blocks import Blocks, block_window, halo, islands, measure, trim
+from tidebar.plans.blocks import BROADCAST_ROWS, Blocks, block_window, counted, halo, islands, measure, trim
+from tidebar.plans.checkpoints import checkpointed
 from tidebar.plans.order_stats import exact_quantiles
 from tidebar.sources.dimensions import tick_dim
 
@@ -36,7 +37,7 @@ def valid_numbers() -> Column:
 
 def with_ticks(df: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
     ticks = ticks if ticks is not None else tick_dim(df.sparkSession)
-    return df.join(F.broadcast(ticks), "symbol", "left")
+    return df.join(counted(ticks), "symbol", "left")
 
 
 def _any_off_tick() -> Column:
@@ -116,58 +117,142 @@ def stale_runs(df: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     return longest_run(same, F.col("_same"), keys, "stale_close_run_max", plan)
 
 
+def row_tests() -> list[tuple[str, str, Column]]:
+    """(severity, check, violated) of every rule on a coerced row; those from USABLE_FROM on hold for usable rows only."""
+    o, h, lo, c, v = (F.col(x) for x in NUMBERS)
+    minute = F.unix_micros("ts_event") % 60_000_000
+    return [("FAIL", "bad_ts_parse", F.col("ts_event").isNull()), ("FAIL", "non_finite_numeric", ~F.col("_numbers")),
+            ("FAIL", "timestamp_not_minute_aligned", minute != 0), *[("FAIL", f"bad_numeric_{x}", F.col(x).isNull() | F.isnan(x)) for x in NUMBERS],
+            ("WARN", "non_integer_volume", v % 1 != 0), ("FAIL", "timestamp_outside_file_year", F.year("ts_event") != F.col("file_year")),
+            ("FAIL", "high_lt_low", h < lo), ("FAIL", "high_lt_open", h < o), ("FAIL", "high_lt_close", h < c), ("FAIL", "low_gt_open", lo > o),
+            ("FAIL", "low_gt_close", lo > c), ("FAIL", "nonpositive_open", o <= 0), ("FAIL", "nonpositive_high", h <= 0), ("FAIL", "nonpositive_low", lo <= 0),
+            ("FAIL", "nonpositive_close", c <= 0), ("FAIL", "negative_volume", v < 0), ("WARN", "price_off_tick_grid", _any_off_tick()),
+            ("WARN", "zero_volume", v == 0), ("WARN", "zero_range", h == lo)]
+
+
+#: Bits of the two rules that make a row unusable, and the first rule for usable rows.
+UNUSABLE, USABLE_FROM = 0b11, 8
+#: The day of rows without a timestamp, before all others.
+NO_DAY = -1_000_000
+
+
+def marked_rows(df: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """Coerced rows with `_day` and `_bits`, one bit per violated rule of `row_tests`."""
+    rows = with_ticks(coerce_bars(df), ticks).withColumn("_numbers", valid_numbers())
+
+    def bits(first: int, last: int) -> Column:
+        out = F.lit(0).cast("long")
+        for i, (_, _, violated) in list(enumerate(row_tests()))[first:last]:
+            out = out + F.when(violated, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        return out
+
+    usable = F.col("ts_event").isNotNull() & F.col("_numbers")
+    day = F.coalesce(F.floor(F.unix_micros("ts_event") / F.lit(86_400_000_000)).cast("int"), F.lit(NO_DAY))
+    marks = bits(0, USABLE_FROM) + F.when(usable, bits(USABLE_FROM, None)).otherwise(F.lit(0))
+    return rows.select(*FILE_KEYS, "ts_event", *NUMBERS, day.alias("_day"), marks.alias("_bits"))
+
+
+def daily_counts(rows: DataFrame) -> DataFrame:
+    """Rows and ranges of values per file, day and set of violated rules.
+
+    One aggregate that tasks combine before the shuffle; the stored result has a few rows per file and day.
+    """
+    counts = rows.groupBy(*FILE_KEYS, "_day", "_bits").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("ts_event").alias("first_ts"), F.max("ts_event").alias("last_ts"),
+        F.min("close").alias("close_min"), F.max("close").alias("close_max"), F.sum("volume").alias("volume_sum"))
+    return checkpointed(counts.withColumn("_usable", F.col("_bits").bitwiseAND(F.lit(UNUSABLE)) == 0))
+
+
+def _broken(bits: str = "_bits") -> Column:
+    """Numbers of the rules whose bits are set."""
+    return F.filter(F.sequence(F.lit(0), F.lit(len(row_tests()) - 1)), lambda i: F.bit_get(F.col(bits), i) == 1)
+
+
+def timeline(rows: DataFrame) -> DataFrame:
+    """One stored row per file and timestamp of usable rows: copies `_n`, a close, and a bar where there are several."""
+    usable = rows.filter(F.col("_bits").bitwiseAND(F.lit(UNUSABLE)) == 0)
+    per_ts = usable.groupBy(*FILE_KEYS, "ts_event").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in NUMBERS])
+    bar = F.when(F.col("_n") > 1, F.struct("ts_event", *NUMBERS)).alias("_bar")
+    return checkpointed(per_ts.select(*FILE_KEYS, "ts_event", "_n", "close", bar))
+
+
+def gaps_and_runs(single: DataFrame, minutes: float = 1.0, blocks: Blocks | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per file the number of gaps above `minutes` and the longest run of unchanged closes; and the first gaps of each block.
+
+    One shuffle and sort by block serve both. A block hands on how many unchanged closes it ends with, so a run may
+    pass through any number of blocks; a file's first SAMPLE gaps are among the first SAMPLE of its blocks.
+    """
+    keys = list(FILE_KEYS)
+    order = block_window(keys)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    framed = halo(single.select(*keys, "ts_event", "close"), blocks or measure(single, keys), lookback=1)
+    gap = (F.unix_micros("ts_event") - F.unix_micros("prev_ts")) / F.lit(60_000_000)
+    own = (framed.withColumns({"prev_ts": F.lag("ts_event").over(order), "_same": F.coalesce(F.col("close") == F.lag("close").over(order), F.lit(False))})
+           .filter("_own").withColumns({"gap_minutes": gap, "_place": F.row_number().over(order)}))
+    own = own.withColumns({"_broken": F.max(F.when(~F.col("_same"), F.col("_place"))).over(so_far),
+                           "_gaps": F.count(F.when(F.col("gap_minutes") > minutes, F.lit(1))).over(so_far)})
+    head = F.when((F.col("gap_minutes") > minutes) & (F.col("_gaps") <= SAMPLE), F.struct("prev_ts", "ts_event", "gap_minutes"))
+    broken = F.when(~F.col("_same"), F.col("_place"))
+    per_block = checkpointed(own.groupBy(*keys, "_block").agg(
+        F.max("_place").alias("_n"), F.min(broken).alias("_first"), F.max(broken).alias("_last"), F.max(F.col("_place") - F.col("_broken")).alias("_inside"),
+        F.max("_gaps").alias("_gaps"), F.collect_list(head).alias("_heads")))  # SAMPLE at most
+    first = per_block.select(*keys, F.inline("_heads"))
+    upto = Window.partitionBy(*keys).orderBy("_block")
+    ends = per_block.withColumn("_end", F.sum("_n").over(upto))
+    ends = ends.withColumn("_held", F.col("_end") - F.coalesce(F.max(F.col("_end") - F.col("_n") + F.col("_last")).over(upto), F.lit(0)))
+    led = F.coalesce(F.lag("_held").over(upto), F.lit(0)) + F.coalesce(F.col("_first") - 1, F.col("_n"))
+    stats = (ends.withColumn("_run", F.greatest(F.coalesce("_inside", F.lit(0)), led)).groupBy(*keys)
+             .agg(F.sum("_gaps").alias("gap_count_gt_1min"), F.max("_run").cast("long").alias("stale_close_run_max")))
+    return stats, first
+
+
+def _sampled(frame: DataFrame, by: list[str]) -> DataFrame:
+    """The first SAMPLE bars per group as JSON."""
+    first = Window.partitionBy(*by).orderBy(F.col("_bar.ts_event").asc_nulls_first())
+    return (frame.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= SAMPLE).groupBy(*by)
+            .agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_bar"))), lambda x: x["_bar"])).alias("sample")))
+
+
+def _first_hits(rows: DataFrame, daily: DataFrame) -> DataFrame:
+    """(keys, rule, bar) of rows that can be among a file's first SAMPLE of a rule: those up to the day that reaches SAMPLE.
+
+    Before that day there are fewer, so a rule that most rows break contributes few rows more than one day's. Rows are found by
+    their day and set of rules, so those that no sample needs are dropped by one hash join.
+    """
+    keys = list(FILE_KEYS)
+    earlier = Window.partitionBy(*keys, "_rule").orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
+    open_ = (daily.select(*keys, "_day", "_bits", "_rows", F.explode(_broken()).alias("_rule"))
+             .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).filter(F.col("_before") < SAMPLE))
+    wanted = checkpointed(open_.groupBy(*keys, "_day", "_bits").agg(F.collect_list("_rule").alias("_rules")))  # at most all rules
+    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return rows.join(small, [*keys, "_day", "_bits"]).select(*keys, F.explode("_rules").alias("_rule"), F.struct("ts_event", *NUMBERS).alias("_bar"))
+
+
 def core_issues(df: DataFrame, ticks: DataFrame | None = None, stale_limit: int = STALE_RUN, blocks: Blocks | None = None) -> DataFrame:
     """Issue rows (symbol, file_year, severity, check, n, sample) of every violated rule.
 
-    All row rules are counted in one aggregate, so no row is shuffled for its count. The sample holds the first five rows of
-    a check; Spark applies that row-number limit before the shuffle.
+    The input is read three times: for counts per file, day and set of violated rules, for the timeline of each file, and, up
+    to the days that those counts name, for the samples. The sample holds the first five rows of a check.
     """
-    keys = list(FILE_KEYS)
-    # Shared predicates become columns once, so the rules below stay small expressions.
-    rows = with_ticks(coerce_bars(df), ticks)
-    rows = rows.withColumns({"_ts_ok": F.col("ts_event").isNotNull(), "_numbers": valid_numbers(), "_off": _any_off_tick()})
-    usable = F.col("_ts_ok") & F.col("_numbers")
-    o, h, lo, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
-    minute = F.unix_micros("ts_event") % 60_000_000
-    tests = [("FAIL", "bad_ts_parse", ~F.col("_ts_ok")), ("FAIL", "timestamp_not_minute_aligned", F.col("_ts_ok") & (minute != 0)),
-             *[("FAIL", f"bad_numeric_{x}", F.col(x).isNull() | F.isnan(x)) for x in NUMBERS],
-             ("FAIL", "non_finite_numeric", ~F.col("_numbers")),
-             ("WARN", "non_integer_volume", usable & (v % 1 != 0)),
-             ("FAIL", "timestamp_outside_file_year", usable & (F.year("ts_event") != F.col("file_year"))),
-             *[("FAIL", n, usable & t) for n, t in (
-                 ("high_lt_low", h < lo), ("high_lt_open", h < o), ("high_lt_close", h < c), ("low_gt_open", lo > o), ("low_gt_close", lo > c),
-                 ("nonpositive_open", o <= 0), ("nonpositive_high", h <= 0), ("nonpositive_low", lo <= 0), ("nonpositive_close", c <= 0),
-                 ("negative_volume", v < 0))],
-             ("WARN", "price_off_tick_grid", usable & F.col("_off")), ("WARN", "zero_volume", usable & (v == 0)), ("WARN", "zero_range", usable & (h == lo))]
-    checks = F.array(*[F.when(t, F.struct(F.lit(s).alias("severity"), F.lit(n).alias("check"))) for s, n, t in tests])
-    bar = F.struct("ts_event", *NUMBERS)
-    hits = rows.select(*keys, bar.alias("_bar"), F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("_c")).select(*keys, "_c.*", "_bar")
-    good = rows.filter(usable)
-    dup = (good.groupBy(*keys, "ts_event").agg(F.count(F.lit(1)).alias("_n"), F.first(bar).alias("_bar")).filter("_n > 1"))
-    gaps = gap_rows(good, blocks=blocks)
-
-    by = [*keys, "severity", "check"]
-
-    def sampled(frame):
-        first = Window.partitionBy(*by).orderBy(F.col("_bar.ts_event").asc_nulls_first())
-        return (frame.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= SAMPLE).groupBy(*by)
-                .agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_bar"))), lambda x: x["_bar"])).alias("sample")))
-
-    totals = rows.groupBy(*keys).agg(*[count_if(t).alias(n) for _, n, t in tests])
-    per_rule = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(n).alias("check"), F.col(n).alias("n")) for s, n, _ in tests])
-    row_issues = totals.select(*keys, F.inline(per_rule)).filter(F.col("n") > 0).join(sampled(hits), by)
-    dup = dup.withColumns({"severity": F.lit("FAIL"), "check": F.lit("duplicate_ts")})
-    dup_issues = dup.groupBy(*by).agg(F.sum("_n").alias("n")).join(sampled(dup), by)
-    gaps = gaps.withColumns({"severity": F.lit("WARN"), "check": F.lit("timestamp_gaps_gt_1min"),
-                             "_bar": F.struct("ts_event", "prev_ts", "gap_minutes")})
-    gap_issues = gaps.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(sampled(gaps), by)
-    stale = (stale_runs(good, blocks).filter(F.col("stale_close_run_max") >= stale_limit)
-             .select(*keys, F.lit("WARN").alias("severity"), F.lit("stale_close_run").alias("check"), F.col("stale_close_run_max").alias("n"),
-                     F.lit("").alias("sample")))
-    files = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), count_if(usable).alias("_good"))
-    empty = (files.filter("_good = 0").select(*keys, F.lit("FAIL").alias("severity"), F.lit("no_valid_numeric_rows").alias("check"),
-                                              F.col("_rows").alias("n"), F.lit("").alias("sample")))
-    return row_issues.unionByName(dup_issues).unionByName(gap_issues).unionByName(stale).unionByName(empty)
+    keys, by = list(FILE_KEYS), [*FILE_KEYS, "severity", "check"]
+    rows = marked_rows(df, ticks)
+    daily, times = daily_counts(rows), timeline(rows)
+    rules = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(n).alias("check")) for s, n, _ in row_tests()])
+    totals = daily.select(*keys, "_rows", F.explode(_broken()).alias("_rule")).groupBy(*keys, "_rule").agg(F.sum("_rows").alias("n"))
+    samples = _sampled(_first_hits(rows, daily), [*keys, "_rule"])
+    row_issues = (totals.join(samples, [*keys, "_rule"]).withColumn("_named", F.get(rules, F.col("_rule")))
+                  .select(*keys, "_named.severity", "_named.check", "n", "sample"))
+    dup = times.filter("_n > 1").withColumns({"severity": F.lit("FAIL"), "check": F.lit("duplicate_ts")})
+    dup_issues = dup.groupBy(*by).agg(F.sum("_n").alias("n")).join(_sampled(dup, by), by)
+    stats, gaps = gaps_and_runs(times.filter("_n = 1"), blocks=blocks)
+    gaps = gaps.withColumns({"severity": F.lit("WARN"), "check": F.lit("timestamp_gaps_gt_1min"), "_bar": F.struct("ts_event", "prev_ts", "gap_minutes")})
+    counts = F.array(F.struct(F.lit("timestamp_gaps_gt_1min").alias("check"), F.col("gap_count_gt_1min").alias("n"), F.lit(1).alias("_least")),
+                     F.struct(F.lit("stale_close_run").alias("check"), F.col("stale_close_run_max").alias("n"), F.lit(stale_limit).alias("_least")))
+    line_issues = (stats.select(*keys, F.lit("WARN").alias("severity"), F.inline(counts)).filter(F.col("n") >= F.col("_least")).drop("_least")
+                   .join(_sampled(gaps, by), by, "left").withColumn("sample", F.coalesce("sample", F.lit(""))))
+    files = daily.groupBy(*keys).agg(F.sum("_rows").alias("n"), F.max("_usable").alias("_some"))
+    empty = files.filter(~F.col("_some")).select(*keys, F.lit("FAIL").alias("severity"), F.lit("no_valid_numeric_rows").alias("check"), "n", F.lit("").alias("sample"))
+    return row_issues.unionByName(dup_issues).unionByName(line_issues).unionByName(empty)
 
 
 def file_order_issues(df: DataFrame, slice_rows: int = 100_000) -> DataFrame:
@@ -199,20 +284,18 @@ def schema_issues(columns: Sequence[str]) -> list[tuple[str, str, str]]:
 
 def core_summary(df: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """One row per file: rows, bounds, duplicates, gaps, zero volume and range, stale run, price and volume range."""
-    keys = list(FILE_KEYS)
-    rows = coerce_bars(df)
-    usable = F.col("ts_event").isNotNull() & valid_numbers()
-    good = rows.filter(usable)
-    per_ts = good.groupBy(*keys, "ts_event").agg(
-        F.count(F.lit(1)).alias("_n"), count_if(F.col("volume") == 0).alias("_zv"), count_if(F.col("high") == F.col("low")).alias("_zr"),
-        F.min("close").alias("_lo"), F.max("close").alias("_hi"), F.sum("volume").alias("_v"))
-    base = per_ts.groupBy(*keys).agg(
-        F.min("ts_event").alias("first_ts"), F.max("ts_event").alias("last_ts"),
-        F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(F.lit(0))).alias("duplicate_ts"), F.sum("_zv").alias("zero_volume"),
-        F.sum("_zr").alias("zero_range"), F.min("_lo").alias("close_min"), F.max("_hi").alias("close_max"), F.sum("_v").alias("volume_sum"))
-    total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    gaps = gap_rows(good, blocks=blocks).groupBy(*keys).agg(F.count(F.lit(1)).alias("gap_count_gt_1min"))
-    return (total.join(base, keys).join(gaps, keys, "left").join(stale_runs(good, blocks), keys, "left")
+    keys, at = list(FILE_KEYS), {n: i for i, (_, n, _) in enumerate(row_tests())}
+    rows = marked_rows(df)
+    daily, times = daily_counts(rows), timeline(rows)
+    good = lambda c: F.when(F.col("_usable"), F.col(c))
+    broken = lambda rule: F.sum(F.when(F.bit_get("_bits", F.lit(at[rule])) == 1, F.col("_rows")).otherwise(F.lit(0))).alias(rule)
+    total = daily.groupBy(*keys).agg(
+        F.sum("_rows").alias("rows"), F.min(good("first_ts")).alias("first_ts"), F.max(good("last_ts")).alias("last_ts"), broken("zero_volume"),
+        broken("zero_range"), F.min(good("close_min")).alias("close_min"), F.max(good("close_max")).alias("close_max"),
+        F.sum(good("volume_sum")).alias("volume_sum")).filter("first_ts IS NOT NULL")
+    copies = times.groupBy(*keys).agg(F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(F.lit(0))).alias("duplicate_ts"))
+    stats, _ = gaps_and_runs(times.filter("_n = 1"), blocks=blocks)
+    return (total.join(copies, keys).join(stats, keys, "left")
             .withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("gap_count_gt_1min", "stale_close_run_max")}))
 
 
@@ -268,7 +351,7 @@ def symbol_sanity(df: DataFrame, bands: DataFrame, min_rows: int = 1000, window_
     """Enough rows, no null timestamps, a plausible mean close and a long enough span, per symbol."""
     s = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), count_if(F.col("ts_event").isNull()).alias("null_ts"),
                                  F.avg("close").alias("close_mean"), F.min("ts_event").alias("ts_min"), F.max("ts_event").alias("ts_max"))
-    s = s.join(F.broadcast(bands), "symbol", "left").withColumns({
+    s = s.join(counted(bands), "symbol", "left").withColumns({
         "_lo": F.coalesce("band_low", F.lit(0.0)), "_hi": F.coalesce("band_high", F.lit(1e9))})
     ok = (F.col("rows") >= min_rows) & (F.col("null_ts") == 0) & F.col("close_mean").between(F.col("_lo"), F.col("_hi")) & F.col("ts_min").isNotNull()
     days = F.floor((F.unix_micros("ts_max") - F.unix_micros("ts_min")) / F.lit(86_400_000_000))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions.columns import count_if
+from tidebar.plans.blocks import counted
+from tidebar.plans.checkpoints import checkpointed
 from tidebar.sources.dimensions import SESSIONS, early_close_dim, session_dim
 
 LATE_OPEN = 17 * 60
@@ -94,17 +96,20 @@ def holiday_calendar(spans: DataFrame, sessions: DataFrame | None = None, overri
                     F.coalesce("close_minute", "_generated").alias("close_minute"), "reopen_minute"))
 
 
-def with_local_clock(df: DataFrame, sessions: DataFrame, ts: str = "ts_event") -> DataFrame:
-    """Attach the market's session row plus ts_local, local_date, _minute and _weekday.
+def _local(sessions: DataFrame, ts: Column) -> Column:
+    """The market's wall clock. Spark resolves a literal zone once but a zone column on every row, so zones become literals."""
+    zones = [row[0] for row in sessions.select("timezone").distinct().collect()]  # zones of the configuration
+    return F.coalesce(*[F.when(F.col("timezone") == z, F.from_utc_timestamp(ts, z)) for z in zones], F.from_utc_timestamp(ts, F.col("timezone")))
+
+
+def _minute_of(ts: str) -> Column:
+    return F.hour(ts) * 60 + F.minute(ts)
 
-    Spark resolves a literal zone once but a zone column on every row, so the few zones become literals.
-    """
-    zones = [row[0] for row in sessions.select("timezone").distinct().limit(64).collect()]
-    local = F.coalesce(*[F.when(F.col("timezone") == z, F.from_utc_timestamp(F.col(ts), z)) for z in zones],
-                       F.from_utc_timestamp(F.col(ts), F.col("timezone")))
-    df = df.join(F.broadcast(sessions), "symbol").withColumn("ts_local", local)
-    return df.withColumns({"local_date": F.to_date("ts_local"), "_weekday": F.weekday("ts_local"),
-                           "_minute": F.hour("ts_local") * 60 + F.minute("ts_local")})
+
+def with_local_clock(df: DataFrame, sessions: DataFrame, ts: str = "ts_event") -> DataFrame:
+    """Attach the market's session row plus ts_local, local_date, _minute and _weekday."""
+    df = df.join(counted(sessions), "symbol").withColumn("ts_local", _local(sessions, F.col(ts)))
+    return df.withColumns({"local_date": F.to_date("ts_local"), "_weekday": F.weekday("ts_local"), "_minute": _minute_of("ts_local")})
 
 
 CLOCK_COLUMNS = ("_weekday", "_minute", "closed", "close_minute", "reopen_minute", "local_date", "timezone", "week_start_day",
@@ -163,59 +168,115 @@ def expected_minutes(spans: DataFrame, sessions: DataFrame, holidays: DataFrame,
     return mark_active(inside, sessions, holidays).filter("active").select(*keys, "ts_event", "ts_local")
 
 
+#: Zones change their offset at multiples of this many UTC minutes.
+OFFSET_MINUTES = 15
+
+
+def expected_counts(spans: DataFrame, sessions: DataFrame, holidays: DataFrame, keys: Sequence[str], step_minutes: int = 1) -> DataFrame:
+    """(keys, _day, n): active minutes of each UTC day between `first_ts` and `last_ts`, without listing minutes.
+
+    A UTC day is one stretch of local time, or short stretches where the zone's offset changes that day. A stretch lies on one
+    or two local dates. There the week's session is one interval or two, the daily break and the holiday closure one each,
+    so the active minutes follow from lengths of their intersections.
+    """
+    per = list(dict.fromkeys([*keys, "symbol"]))
+    minutes = lambda n: F.make_dt_interval(F.lit(0), F.lit(0), n)
+    day = F.explode(F.sequence(F.date_trunc("day", "first_ts"), F.date_trunc("day", "last_ts"), F.expr("INTERVAL 1 DAY"))).alias("_day")
+    days = spans.filter("first_ts <= last_ts").select(*per, "first_ts", "last_ts", day).join(counted(sessions), "symbol")
+    even = (F.unix_micros(_local(sessions, F.col("_day") + F.expr("INTERVAL 1439 MINUTES"))) - F.unix_micros(_local(sessions, F.col("_day")))) == 1439 * 60_000_000
+    short = F.transform(F.sequence(F.lit(0), F.lit(1440 - OFFSET_MINUTES), F.lit(OFFSET_MINUTES)), lambda i: F.struct(i.alias("at"), F.lit(OFFSET_MINUTES).alias("size")))
+    stretches = days.withColumn("_s", F.explode(F.when(even, F.array(F.struct(F.lit(0).alias("at"), F.lit(1440).alias("size")))).otherwise(short)))
+    stretches = stretches.withColumn("_start", F.col("_day") + minutes(F.col("_s.at"))).withColumn("_local", _local(sessions, F.col("_start")))
+    since = lambda ts: ((F.unix_micros(ts) - F.unix_micros("_start")) / 60_000_000).cast("long")
+    at = _minute_of("_local").cast("long")
+    low = at + F.greatest(F.lit(0), since("first_ts"))
+    high = at + F.least(F.col("_s.size").cast("long"), since("last_ts") + 1)
+    part = lambda d, u, v, origin: F.struct(d.alias("local_date"), u.alias("u"), v.alias("v"), origin.alias("origin"))
+    date, first = F.to_date("_local"), at - F.col("_s.at")
+    dated = stretches.select(*[F.col(c) for c in dict.fromkeys([*per, *sessions.columns])], "_day", F.inline(F.array(
+        part(date, low, F.least(high, F.lit(1440)), first), part(F.date_add(date, 1), F.greatest(low - 1440, F.lit(0)), high - 1440, first - 1440))))
+    dated = dated.filter("u < v").join(holidays, ["symbol", "local_date"], "left").withColumn("_weekday", F.weekday("local_date"))
+
+    whole = (F.lit(0), F.lit(1440))
+    wd, start, end = F.col("_weekday"), F.col("week_start_day"), F.col("week_end_day")
+    inner = F.when(start > end, (wd > start) | (wd < end)).otherwise((wd > start) & (wd < end))
+    nothing = F.lit(1440)
+    opened = (F.when(inner, 0).when(wd == start, F.col("week_start")).otherwise(nothing), F.lit(1440))
+    closing = (F.lit(0), F.when(wd == end, F.col("week_end")).otherwise(0))
+    pause = (F.col("break_start"), F.col("break_end"))
+    reopen = F.col("reopen_minute")
+    shut = (F.when(F.coalesce("closed", F.lit(False)), 0).when(F.col("close_minute").isNotNull(), F.col("close_minute")).when(reopen.isNotNull(), 0).otherwise(nothing),
+            F.when(F.coalesce("closed", F.lit(False)), 1440).when(F.col("close_minute").isNotNull(), F.coalesce(reopen, F.lit(1440))).otherwise(F.coalesce(reopen, F.lit(0))))
+
+    def size(*sets: tuple[Column, Column]) -> Column:
+        """Grid minutes in the intersection with the stretch."""
+        u, v = F.greatest(F.col("u"), *[s[0] for s in sets]), F.least(F.col("v"), *[s[1] for s in sets])
+        places = lambda x: F.floor((x - 1 - F.col("origin")) / step_minutes)
+        return F.when(u < v, places(v) - places(u)).otherwise(F.lit(0))
+
+    def active(*week: tuple[Column, Column]) -> Column:
+        return size(*week) - size(*week, pause) - size(*week, shut) + size(*week, pause, shut)
+
+    total = active(whole, opened) + active(whole, closing) - active(opened, closing)
+    return dated.groupBy(*per, "_day").agg(F.sum(total).cast("long").alias("n"))
+
+
 def session_audit(df: DataFrame, keys: Sequence[str] = ("symbol", "file_year"), sessions: DataFrame | None = None,
                   overrides: DataFrame | None = None, step_minutes: int = 1) -> dict[str, DataFrame]:
     """Tables `summary`, `missing` and `outside` of observed against expected session minutes.
 
     With file_year among the keys each yearly file is judged on its own (and for partial bounds against the
-    whole UTC year); with the symbol alone, over its whole span.
+    whole UTC year); with the symbol alone, over its whole span. Expected minutes are counted per day; only days that lack
+    some are listed minute by minute.
     """
     spark, keys = df.sparkSession, list(keys)
     sessions = sessions if sessions is not None else session_dim(spark)
     per_file = "file_year" in keys
-    counted = df.filter(F.col("ts_event").isNotNull()).groupBy(*keys, "ts_event").agg(F.count(F.lit(1)).alias("_n"))
+    seen = df.filter(F.col("ts_event").isNotNull()).groupBy(*keys, "ts_event").agg(F.count(F.lit(1)).alias("_n"))
     floor = lambda c: F.date_trunc("minute", c)
-    spans = counted.groupBy(*keys).agg(floor(F.min("ts_event")).alias("first_ts"), floor(F.max("ts_event")).alias("last_ts"))
-    holidays = holiday_calendar(_year_spans(spans), sessions, overrides)
-    marked = mark_active(counted, sessions, holidays)
+    spans = seen.groupBy(*keys).agg(floor(F.min("ts_event")).alias("first_ts"), floor(F.max("ts_event")).alias("last_ts"))
+    spans = checkpointed(spans)  # a row per key
+    holidays = checkpointed(holiday_calendar(_year_spans(spans), sessions, overrides))  # a dozen rows per symbol and year
+    marked = mark_active(seen, sessions, holidays)
     outside = marked.filter(~F.col("active")).select(*keys, "ts_event", "ts_local")
-    wide = spans
-    if per_file:
-        bound = lambda add: F.to_timestamp(F.make_date(F.col("file_year") + add, F.lit(1), F.lit(1)))
-        wide = spans.select(*keys, F.col("first_ts").alias("_f"), F.col("last_ts").alias("_l"), bound(0).alias("first_ts"),
-                            F.timestamp_micros(F.unix_micros(bound(1)) - F.lit(60_000_000)).alias("last_ts"))
-    full = expected_minutes(wide.select(*keys, "first_ts", "last_ts"), sessions, holidays, keys, step_minutes)
-    # One pass over observed and expected minutes, grouped by minute, replaces a difference join.
-    both = (counted.select(*keys, "ts_event", "_n", F.lit(0).alias("_e"))
-            .unionByName(full.select(*keys, "ts_event", F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_e")))
-            .groupBy(*keys, "ts_event").agg(F.sum("_n").alias("_n"), F.max("_e").alias("_e"))
-            .join(spans, keys))
-    ranged = (F.col("_e") == 1) & (F.col("ts_event") >= F.col("first_ts")) & (F.col("ts_event") <= F.col("last_ts"))
-    gone = ranged & (F.col("_n") == 0)
-    missing = both.filter(gone).select(*keys, F.col("ts_event").alias("missing_ts_event"))
+    on_grid = F.col("active") & (F.unix_micros("ts_event") % (step_minutes * 60_000_000) == 0)
     n = F.col("_n")
-    totals = both.groupBy(*keys).agg(
-        F.sum("_n").alias("actual_rows"), count_if(n > 0).alias("actual_unique_timestamps"), F.sum(F.when(n > 1, n).otherwise(F.lit(0))).alias("duplicate_ts"),
-        count_if(F.col("_e") == 1).alias("full_expected_minutes"), count_if(ranged).alias("expected_session_minutes"),
-        count_if(gone).alias("missing_expected_minutes"),
-        F.min(F.when(F.col("_e") == 1, F.col("ts_event"))).alias("_full_first"), F.max(F.when(F.col("_e") == 1, F.col("ts_event"))).alias("_full_last"),
-        F.first("first_ts").alias("first_ts"), F.first("last_ts").alias("last_ts"))
-    off = outside.groupBy(*keys).agg(F.count(F.lit(1)).alias("outside_session_rows"))
+    observed = checkpointed(marked.groupBy(*keys, F.date_trunc("day", "ts_event").alias("_day")).agg(
+        F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("unique"), F.sum(F.when(n > 1, n).otherwise(F.lit(0))).alias("copies"),
+        count_if(on_grid).alias("hits"), count_if(~F.col("active")).alias("outs")))
+
+    minute = F.expr("INTERVAL 1 MINUTE")
+    bound = lambda add: F.to_timestamp(F.make_date(F.col("file_year") + add, F.lit(1), F.lit(1)))
+    parts = [("within", F.col("first_ts"), F.col("last_ts"))]
+    if per_file:
+        parts += [("ahead", bound(0), F.col("first_ts") - minute), ("after", F.col("last_ts") + minute, bound(1) - minute)]
+    cut = spans.select(*keys, F.inline(F.array(*[F.struct(F.lit(p).alias("_part"), a.alias("first_ts"), b.alias("last_ts")) for p, a, b in parts])))
+    expected = checkpointed(expected_counts(cut, sessions, holidays, [*keys, "_part"], step_minutes))
+    days = expected.filter("_part = 'within'").drop("_part").join(observed, [*keys, "_day"], "left").filter(F.col("n") > F.coalesce("hits", F.lit(0)))
+    lacking = (days.select(*keys, "_day").join(spans, keys)
+               .select(*keys, F.greatest("first_ts", "_day").alias("first_ts"), F.least(F.col("last_ts"), F.col("_day") + F.expr("INTERVAL 1439 MINUTES")).alias("last_ts")))
+    missing = (expected_minutes(lacking, sessions, holidays, keys, step_minutes).join(seen, [*keys, "ts_event"], "left_anti")
+               .select(*keys, F.col("ts_event").alias("missing_ts_event")))
+
+    have = observed.groupBy(*keys).agg(F.sum("rows").alias("actual_rows"), F.sum("unique").alias("actual_unique_timestamps"), F.sum("copies").alias("duplicate_ts"),
+                                       F.sum("hits").alias("_hits"), F.sum("outs").alias("outside_session_rows"))
+    of = lambda p: F.coalesce(F.sum(F.when(F.col("_part") == p, F.col("n"))), F.lit(0))
+    want = expected.groupBy(*keys).agg(F.sum("n").alias("full_expected_minutes"), of("within").alias("expected_session_minutes"),
+                                       of("ahead").alias("_ahead"), of("after").alias("_after"))
     market = sessions.select("symbol", "approximate", "approximate_reason", "min_coverage_pct")
-    out = totals.join(off, keys, "left").join(F.broadcast(market), "symbol").withColumn(
-        "outside_session_rows", F.coalesce("outside_session_rows", F.lit(0)))
-    expected = F.col("expected_session_minutes")
-    out = out.withColumns({
-        "coverage_pct": F.when(expected > 0, 100.0 * (1.0 - F.col("missing_expected_minutes") / F.greatest(expected, F.lit(1)))).otherwise(F.lit(0.0)),
-        "partial_start": F.coalesce(F.col("first_ts") > F.col("_full_first"), F.lit(False)) & F.lit(per_file),
-        "partial_end": F.coalesce(F.col("last_ts") < F.col("_full_last"), F.lit(False)) & F.lit(per_file)})
+    out = have.join(want, keys, "left").join(spans, keys).join(counted(market), "symbol")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("full_expected_minutes", "expected_session_minutes", "_ahead", "_after")})
+    planned = F.col("expected_session_minutes")
+    out = out.withColumn("missing_expected_minutes", planned - F.col("_hits")).withColumns({
+        "coverage_pct": F.when(planned > 0, 100.0 * (1.0 - F.col("missing_expected_minutes") / F.greatest(planned, F.lit(1)))).otherwise(F.lit(0.0)),
+        "partial_start": (F.col("_ahead") > 0) & F.lit(per_file), "partial_end": (F.col("_after") > 0) & F.lit(per_file)})
     fail = (F.col("outside_session_rows") > 0) | (F.col("duplicate_ts") > 0)
     warn = F.col("missing_expected_minutes") > 0
     if per_file:
         warn = warn | (F.col("coverage_pct") < F.col("min_coverage_pct")) | F.col("partial_start") | F.col("partial_end")
     hard = fail if per_file else fail & ~F.col("approximate")
     severity = F.when(hard, "FAIL").when(fail | warn, "WARN").otherwise("PASS")
-    summary = out.withColumn("severity", severity).drop("_full_first", "_full_last", "min_coverage_pct")
+    summary = out.withColumn("severity", severity).drop("_hits", "_ahead", "_after", "min_coverage_pct")
     return {"summary": summary, "missing": missing, "outside": outside}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import EPS, clip, cols, count_if, floor_at, is_finite, local_ts, minute_of_day
 from tidebar.operators.sessions import BREAK, SESSION_END, SESSION_START, TZ
-from tidebar.plans.blocks import Blocks, carry, block_window, halo, measure, trim
+from tidebar.plans.blocks import Blocks, block_window, carry, counted, halo, measure, trim
 from tidebar.plans.frames import FrameAggs
 
 
@@ -172,7 +172,7 @@ def simulate_execution(df: DataFrame, markets: DataFrame, settings: ExecutionSet
     if "prediction_prob" not in df.columns:
         raise ValueError("prediction_prob missing before execution")
     plan = blocks or measure(df, keys)
-    priced = df.join(markets.select("symbol", "multiplier", "max_position"), "symbol")
+    priced = df.join(counted(markets.select("symbol", "multiplier", "max_position")), "symbol")
     window = block_window(keys)
     framed = with_target_columns(halo(priced, plan, lookback=EXECUTION_LOOKBACK), window, settings)
     return add_equity(trim(pnl_columns(framed, window, settings)), plan, settings)

@@ -70,6 +70,11 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def counted(dim: DataFrame) -> DataFrame:
+    """A dimension to join with: broadcast where it counts few rows, which keeps Spark from sending the other side."""
+    return _small(dim, dim.count())
+
+
 def halo(df: DataFrame, blocks: Blocks, lookback: int = 0, lookahead: int = 0, ts: str = TS) -> DataFrame:
     """Add `_block` and `_own`; rows that a later (earlier) block looks back (ahead) to are repeated there."""
     if blocks.cells is None:
