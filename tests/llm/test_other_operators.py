@@ -74,6 +74,28 @@ def test_perspectives(spark):
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_warc_several_archives_and_long_pages(spark):
+    """Archives of few captures; a page above an archive's bytes, repeated; unique identifiers in two runs."""
+    long = "<p>long</p>" * 40_000
+    table = [(i, f"http://h{i % 3}.org/{i}", long if i % 10 == 3 else None if i % 10 == 5 else f"<p>{i % 7}</p>" * 60) for i in range(60)]
+    df = spark.createDataFrame(table, "page_id long, url string, html string").repartition(2)
+    folders = [new_path(spark, "warc-test") for _ in range(2)]
+    for folder in folders:
+        warc.write(df, folder, records=12, archive_bytes=1 << 16)
+    records = [warc.read(spark, folder) for folder in folders]
+    assert spark.read.format("binaryFile").load(folders[0]).count() >= 15
+    idents = records[0].union(records[1]).select("record_id")
+    assert idents.distinct().count() == idents.count() == 2 * 3 * 60
+    got = {r["page_id"]: r for r in rows(warc.page_captures(df))}
+    first = {}
+    for i, _, html in table:
+        own = (html or "").encode()
+        least = first.setdefault(own, i)
+        revisit = len(own) >= 100 and least != i
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(own), hashlib.sha256(own).hexdigest())
+        assert (got[i]["record_type"], got[i]["refers_to"]) == (("revisit", least) if revisit else ("response", None))
+
+
 def test_warc_round_trip(spark):
     long = "<p>é</p>\r\n\r\nWARC/1.1\r\n" * 10
     data = [(1, "http://a/ x\n%41", long), (2, "http://b/", long), (3, None, None), (4, "", "short"), (5, "u", "short"), (None, "n", long), (1, "twice", long)]
