@@ -225,6 +225,49 @@ def test_raw_audit_end_to_end(spark, raw_root):
     assert totals["FAIL"] == 2
 
 
+def test_unreadable_files_are_reported(spark, raw_root, tmp_path):
+    """Corrupt, empty, cut, rowless and column-short files become FAIL rows; sound ones give none, and nothing fails."""
+    import shutil
+
+    import pyarrow.parquet as pq
+
+    assert io.file_issues(spark, str(raw_root)).count() == 0
+    root = tmp_path / "raw"
+    (root / "NQ").mkdir(parents=True)
+    shutil.copytree(raw_root / "ES", root / "ES")
+    sound = pq.read_table(raw_root / "ES" / "2023.parquet")
+    (root / "NQ" / "2019.parquet").write_bytes(b"not a parquet file")
+    (root / "NQ" / "2020.parquet").write_bytes(b"")
+    (root / "NQ" / "2021.parquet").write_bytes((raw_root / "ES" / "2023.parquet").read_bytes()[:-200])
+    pq.write_table(sound.slice(0, 0), root / "NQ" / "2022.parquet")
+    pq.write_table(sound.drop_columns(["volume"]), root / "NQ" / "2023.parquet")
+    pq.write_table(sound, root / "NQ" / "2024.parquet")
+    got = {(r["symbol"], r["file_year"]): (r["severity"], r["check"]) for r in io.file_issues(spark, str(root)).collect()}
+    assert got == {("NQ", 2019): ("FAIL", "read_parquet"), ("NQ", 2020): ("FAIL", "read_parquet"), ("NQ", 2021): ("FAIL", "read_parquet"),
+                   ("NQ", 2022): ("FAIL", "empty_file"), ("NQ", 2023): ("FAIL", "schema_missing_cols")}
+    bad = tmp_path / "bad"
+    (bad / "ES").mkdir(parents=True)
+    (bad / "ES" / "2023.parquet").write_bytes(b"not a parquet file")
+    assert [r["check"] for r in io.file_issues(spark, str(bad)).collect()] == ["read_parquet"]
+
+
+def test_validated_write_is_gated_and_split(spark, raw_root, tmp_path):
+    """FAIL rows stop the write; a hot symbol-year goes to several files, each in time order, with the same rows."""
+    bars = io.read_bars(spark, str(raw_root))
+    path = str(tmp_path / "validated")
+    with pytest.raises(ValueError, match="refused"):
+        io.write_validated(bars, path, spark.createDataFrame([("ES", 2023, "FAIL")], "symbol string, file_year int, severity string"))
+    assert not (tmp_path / "validated").exists()
+    io.write_validated(bars, path, spark.createDataFrame([("ES", 2023, "WARN")], "symbol string, file_year int, severity string"), file_rows=100)
+    back = spark.read.parquet(path).select("symbol", "file_year", "ts_event", "close", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    rows = back.collect()
+    assert sorted(r[:4] for r in rows) == sorted(tuple(r) for r in bars.select("symbol", "file_year", "ts_event", "close").collect())
+    files = {}
+    for r in sorted(rows, key=lambda r: (r["f"], r["i"])):
+        files.setdefault((r["file_year"], r["f"]), []).append(r["ts_event"])
+    assert len([k for k in files if k[0] == 2023]) >= 6 and all(v == sorted(v) and len(v) <= 100 for v in files.values())
+
+
 def test_cache_is_built_once(spark, tmp_path, bars):
     calls = []
 

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidebar.plans.checkpoints import checkpointed
 
 FILE_PATTERN = r"([^/]+)/(\d{4})\.parquet$"
 BAR_COLUMNS = ("ts_event", "open", "high", "low", "close", "volume")
@@ -63,6 +69,73 @@ def list_files(spark: SparkSession, root: str, symbols: Sequence[str] | None = N
     return files.orderBy("symbol", "file_year").limit(max_files) if max_files else files
 
 
+def zero_length_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of files without a byte, which Spark's own listing leaves out; the driver lists names and sizes only."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/[0-9][0-9][0-9][0-9].parquet")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return [f.getPath().toString() for f in found if f.getLen() == 0]
+
+
+#: A larger file is not inspected as one value.
+INSPECTED_BYTES = 1 << 30
+_ISSUES = "symbol string, file_year int, severity string, check string, detail string"
+
+
+def file_issues(spark: SparkSession, root: str) -> DataFrame:
+    """(symbol, file_year, severity, check, detail) of files that cannot be audited: unreadable, without rows, or short of a column.
+
+    Spark reads all files past corrupt ones and counts rows and values per file. Only files that give no rows, or no value of
+    some column, are opened again, in tasks that read their footers. Nothing fails on a bad file.
+    """
+    files = list_files(spark, root)
+    try:
+        raw = (spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", "[0-9][0-9][0-9][0-9].parquet").parquet(f"{root}/*"))
+    except AnalysisException:  # no file has a readable footer
+        raw = None
+    doubtful = files
+    if raw is not None:
+        path, known = F.col("_metadata.file_path"), [c for c in BAR_COLUMNS if c in raw.columns]
+        read = (raw.select(symbol_from_path(path).alias("symbol"), year_from_path(path).alias("file_year"), *known)
+                .groupBy("symbol", "file_year").agg(F.count(F.lit(1)).alias("_rows"), F.least(F.lit(1 << 62), *[F.count(c) for c in known]).alias("_least")))
+        doubtful = files.join(read, ["symbol", "file_year"], "left")
+        if len(known) == len(BAR_COLUMNS):
+            doubtful = doubtful.filter(F.coalesce("_least", F.lit(0)) == 0)
+    doubtful = checkpointed(doubtful.select("path", "symbol", "file_year", "length"))
+    paths = [r[0] for r in doubtful.filter(F.col("length") <= INSPECTED_BYTES).select("path").collect()]  # names of bad files
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for content in batch["content"]:
+                try:
+                    footer = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
+                    missing = [c for c in BAR_COLUMNS if c not in footer.schema_arrow.names]
+                    types = ",".join(str(t) for t in footer.schema_arrow.types)
+                    out.append(("schema_missing_cols", ",".join(missing)) if missing else ("empty_file", "no rows") if not footer.metadata.num_rows
+                               else ("", types))
+                except Exception as e:  # whatever a bad file raises is its report
+                    out.append(("read_parquet", f"{type(e).__name__}: {e}"[:300]))
+            checks, details = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(checks, pa.string()), pa.array(details, pa.string())], ["path", "check", "detail"])
+
+    if paths:
+        footers = spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(task, "path string, check string, detail string")
+    else:
+        footers = spark.createDataFrame([], "path string, check string, detail string")
+    # a sound footer, yet no rows: the types are not those of the other files; sound rows without a value are the row rules' matter
+    unread = read.select("symbol", "file_year", F.lit(True).alias("_some")) if raw is not None else None
+    found = doubtful.join(footers, "path", "left")
+    found = found.join(unread, ["symbol", "file_year"], "left") if unread is not None else found.withColumn("_some", F.lit(None).cast("boolean"))
+    check = F.when(F.coalesce("check", F.lit("")) != "", F.col("check")).when(F.col("_some").isNull(), F.lit("read_parquet"))
+    found = (found.select("symbol", "file_year", F.lit("FAIL").alias("severity"), check.alias("check"), F.coalesce("detail", F.lit("no rows could be read")).alias("detail"))
+             .filter(F.col("check").isNotNull()))
+    void = spark.createDataFrame([(p,) for p in zero_length_files(spark, root)], "path string").select(
+        symbol_from_path(F.col("path")).alias("symbol"), year_from_path(F.col("path")).alias("file_year"), F.lit("FAIL").alias("severity"),
+        F.lit("read_parquet").alias("check"), F.lit("0 bytes").alias("detail"))
+    return found.unionByName(void).to(StructType.fromDDL(_ISSUES))
+
+
 def file_bounds(df: DataFrame) -> DataFrame:
     """First and last date per file year over all symbols."""
     return df.groupBy("file_year").agg(F.to_date(F.min("ts_event")).alias("first_date"), F.to_date(F.max("ts_event")).alias("last_date"))
@@ -119,10 +192,22 @@ def write_canonical(df: DataFrame, path: str, partition_by: Sequence[str] = (),
      .partitionBy(*partition_by).parquet(path))
 
 
-def write_validated(df: DataFrame, path: str) -> None:
-    """Cleaned bars partitioned by symbol and year, sorted by time inside each file."""
-    (df.repartition("symbol", "file_year").sortWithinPartitions("symbol", "file_year", "ts_event")
-     .write.mode("overwrite").partitionBy("symbol", "file_year").parquet(path))
+#: Rows per file of a validated table.
+FILE_ROWS = 5_000_000
+
+
+def write_validated(df: DataFrame, path: str, issues: DataFrame | None = None, file_rows: int = FILE_ROWS) -> None:
+    """Cleaned bars partitioned by symbol and year, sorted by time inside each file.
+
+    Rows are dealt by ranges of time within symbol and year, so a symbol-year of very many rows is written by several tasks, in
+    files of at most `file_rows` that follow each other in time. With `issues` (severity) nothing is written while a row is FAIL.
+    """
+    if issues is not None:
+        failed = issues.filter(F.upper("severity") == "FAIL").limit(10).collect()
+        if failed:
+            raise ValueError("validated write refused: " + "; ".join(str(r.asDict()) for r in failed))
+    (df.repartitionByRange("symbol", "file_year", "ts_event").sortWithinPartitions("symbol", "file_year", "ts_event")
+     .write.mode("overwrite").option("maxRecordsPerFile", file_rows).partitionBy("symbol", "file_year").parquet(path))
 
 
 def write_reports(tables: dict[str, DataFrame], out: str) -> None:
