@@ -541,3 +541,20 @@ def test_session_audit_plans_no_minute_grid_for_the_summary(spark, bars):
     assert "1439" not in tables["summary"]._jdf.queryExecution().optimizedPlan().toString()
     assert {r["symbol"]: r["missing_expected_minutes"] for r in tables["summary"].collect()} == {
         r["symbol"]: r["count"] for r in tables["missing"].groupBy("symbol").count().collect()}
+
+
+def test_checksums_count_repeated_rows(spark):
+    """A row that occurs twice is not the same as none; order does not matter; nulls and NaN alone give no checksum."""
+    at = utc("2024-01-02T15:00:00")
+    rows = [("a", 0, at, 1.0), ("a", 0, at, 2.0), ("a", 1, at, 2.0), ("a", 1, at, 1.0), ("a", 2, at, 1.0), ("a", 2, at, 1.0), ("a", 2, at, 2.0), ("a", 2, at, 2.0),
+            ("a", 3, at, 3.0), ("a", 3, at, 3.0), ("a", 4, at, 4.0), ("a", 4, at, 4.0), ("a", 5, at, None), ("a", 6, at, float("nan")), ("a", 7, at, 0.0), ("a", 8, at, -0.0)]
+    sums = metrics.column_checksum(spark.createDataFrame(rows, "symbol string, split_id int, ts_event timestamp, pnl double"), ["pnl"])
+    got = {r["split_id"]: r["first_output"] for r in metrics.duplicate_members(sums, "pnl_checksum").collect()}
+    assert got == {0: "a/0", 1: "a/0", 7: "a/7", 8: "a/7"}
+
+
+def test_gates_fail_on_nothing(spark):
+    with pytest.raises(ValueError, match="no rows"):
+        engine.require_passed(spark.createDataFrame([], "passed boolean"))
+    with pytest.raises(ValueError, match="no gates"):
+        risk.enforce_risk(spark.createDataFrame([], "gate string, status string, value double, limit double"))

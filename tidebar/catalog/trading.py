@@ -246,6 +246,17 @@ def duplicate_outputs(spark, sf):
     return metrics.duplicate_outputs(metrics.column_checksum(both, ["pnl"]), "pnl_checksum")
 
 
+@query("duplicate_members", with_(HOURLY, "o AS (SELECT symbol, k AS split_id, ts, CASE WHEN k = 4 AND volume % 2 = 0 THEN close + 1 ELSE close END AS close FROM b, range(0, 5) t(k), range(0, 2) d(c) WHERE c = 0 OR k IN (2, 3))",
+                                  "h AS (SELECT symbol, split_id, md5(string_agg(ts::VARCHAR || '=' || close::VARCHAR, ',' ORDER BY ts, close)) AS m FROM o GROUP BY ALL)",
+                                  "g AS (SELECT m, count(*) AS outputs, min(symbol || '/' || split_id) AS first_output FROM h GROUP BY m HAVING count(*) > 1)")
+       + "SELECT symbol, split_id::INT AS split_id, outputs, first_output FROM h JOIN g USING (m)")
+def duplicate_members(spark, sf):
+    """Splits 0 and 1 hold the bars, 2 and 3 every bar twice, 4 other closes."""
+    rows = hourly(spark, sf).withColumn("split_id", F.explode(F.array(*[F.lit(i) for i in (0, 1, 2, 2, 3, 3, 4)])))
+    rows = rows.withColumn("close", F.when((F.col("split_id") == 4) & (F.col("volume") % 2 == 0), F.col("close") + 1).otherwise(F.col("close")))
+    return metrics.duplicate_members(metrics.column_checksum(rows, ["close"]), "close_checksum").select("symbol", "split_id", "outputs", "first_output")
+
+
 @query("probabilistic_sharpe", None)
 def probabilistic_sharpe(spark, sf):
     return metrics.probabilistic_sharpe(backtest(spark, sf))

@@ -21,11 +21,12 @@ NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 
 def generate_features(df: DataFrame, horizon: int = 15, expansion: bool = False, fill_gaps: bool = True, tz: str = TZ,
-                      pairwise: int = 0, cross: int = 0, slope_bars: int = SLOPE_BARS, vol_bars: int = VOL_BARS,
+                      pairwise: int | None = 0, cross: int | None = 0, slope_bars: int = SLOPE_BARS, vol_bars: int = VOL_BARS,
                       daily_window: int = 260, tx_cost: float = 0.0, commission: float = 0.0,
                       blocks: Blocks | None = None) -> DataFrame:
     """Gap fill, context, targets, baseline and expansion features in one blocked frame: a single sort feeds
-    every bounded window, and the session-scoped columns are added in a second shuffle."""
+    every bounded window, and the session-scoped columns are added in a second shuffle. `pairwise` and `cross` limit the
+    products of features: None builds all, 0 none."""
     if fill_gaps:
         df = fill_intraday_gaps(df)
     plan = blocks or measure(df)
@@ -45,7 +46,7 @@ def generate_features(df: DataFrame, horizon: int = 15, expansion: bool = False,
     if expansion:
         out = add_session_context(out)
     out = add_target_daily_regime(out)
-    if expansion and cross:
+    if expansion and cross != 0:
         high = [c for c in out.columns if c.startswith("htf_")]
         low = [c for c in out.columns if c.startswith(("feature_", "ratio_", "pair_", "zscore"))]
         out = add_cross_timeframe_interactions(out, low, high, cross)
@@ -125,7 +126,9 @@ def check_target(df: DataFrame, target: str, keys=("symbol",)) -> DataFrame:
 
 
 def require_passed(checks: DataFrame) -> None:
-    """Raise when a check row failed; only up to ten failing rows reach the driver."""
+    """Raise when a check row failed, or when nothing was checked; only up to ten failing rows reach the driver."""
+    if checks.isEmpty():
+        raise ValueError("contract check failed: no rows were checked")
     failed = checks.filter(~F.col("passed")).limit(10).collect()
     if failed:
         raise ValueError("contract check failed: " + "; ".join(str(r.asDict()) for r in failed))

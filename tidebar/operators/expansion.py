@@ -131,15 +131,16 @@ def vwap_columns(df: DataFrame, window: WindowSpec, w: int = 20) -> DataFrame:
 
 
 def expansion_columns(df: DataFrame, window: WindowSpec, features: Sequence[str], tz: str = TZ,
-                      pairwise: int = 0) -> DataFrame:
-    """All expansion families on a blocked frame, then one cleanup of the numeric feature columns."""
+                      pairwise: int | None = 0) -> DataFrame:
+    """All expansion families on a blocked frame, then one cleanup of the numeric feature columns. `pairwise` is the number of
+    products of feature pairs: None for all, 0 for none."""
     inputs = set(df.columns)
     df = regime_columns(df, window)
     df = add_regime_conditioned(zscore_columns(df, window, features))
     df = moment_columns(add_fourier_features(quantile_columns(df, window), tz), window)
     df = vwap_columns(acceleration_columns(df, window), window)
     df = add_regime_interactions(df, features)
-    if pairwise:
+    if pairwise != 0:
         df = add_pairwise_interactions(df, [c for c in df.columns if c.startswith(FEATURE_PREFIXES)], pairwise)
     skip = RAW_COLUMNS | {c for c in inputs if c.startswith("_")}
     cleaned = [clean(F.col(f"`{c}`")).alias(c)
@@ -162,7 +163,7 @@ def add_zscores(df: DataFrame, features: Sequence[str], blocks: Blocks | None =
     return trim(zscore_columns(halo(df, blocks or measure(df), lookback=31), block_window(), features))
 
 
-def expand_features(df: DataFrame, features: Sequence[str], tz: str = TZ, pairwise: int = 0,
+def expand_features(df: DataFrame, features: Sequence[str], tz: str = TZ, pairwise: int | None = 0,
                     blocks: Blocks | None = None) -> DataFrame:
     framed = halo(df, blocks or measure(df), lookback=EXPANSION_LOOKBACK)
     return trim(expansion_columns(framed, block_window(), features, tz, pairwise))

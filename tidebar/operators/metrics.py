@@ -272,19 +272,41 @@ def probabilistic_sharpe(df: DataFrame, column: str = "pnl", keys: Sequence[str]
     return m.select(*keys, "n", sr.alias("sharpe_per_bar"), normal_cdf(z).alias("psr"))
 
 
+def multiset_hash(*values: Column) -> Column:
+    """Aggregate over the rows in which no value is null: their number and the exact sums of two hashes.
+
+    Sums merge in any order, and unlike with exclusive or a row that occurs twice counts twice.
+    """
+    known = values[0].isNotNull()
+    for v in values[1:]:
+        known = known & v.isNotNull()
+
+    def total(seed: int) -> Column:
+        return F.coalesce(F.sum(F.when(known, F.xxhash64(F.lit(seed), *values).cast("decimal(20,0)"))), F.lit(0)).cast("string")
+
+    return F.concat_ws(":", F.count(F.when(known, F.lit(1))).cast("string"), total(1), total(2))
+
+
 def column_checksum(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol", "split_id")) -> DataFrame:
-    """Order-insensitive checksum per column over (timestamp, value); equal outputs have equal checksums."""
-    return df.groupBy(*keys).agg(*[F.bit_xor(F.when(is_finite(F.col(c)), F.xxhash64("ts_event", F.col(c).cast("double"))))
-                                   .alias(f"{c}_checksum") for c in columns])
+    """Order-insensitive checksum per column over (timestamp, finite value); NULL without such rows. Equal outputs have equal
+    checksums."""
+    def value(c: str) -> Column:
+        return F.when(is_finite(F.col(c)), F.col(c).cast("double") + F.lit(0.0))  # one zero
+
+    return df.groupBy(*keys).agg(*[F.when(F.count(value(c)) > 0, multiset_hash(F.col("ts_event"), value(c))).alias(f"{c}_checksum") for c in columns])
 
 
 def duplicate_outputs(checksums: DataFrame, column: str) -> DataFrame:
-    """Checksums shared by more than one output."""
-    return (checksums.groupBy(column).agg(F.count(F.lit(1)).alias("outputs"),
-                                          F.sort_array(F.collect_list(F.concat_ws("/", "symbol", "split_id"))).alias("members"))
+    """Checksums shared by more than one output, how many, and the first of these."""
+    return (checksums.groupBy(column).agg(F.count(F.lit(1)).alias("outputs"), F.min(F.concat_ws("/", "symbol", "split_id")).alias("first_output"))
             .filter((F.col("outputs") > 1) & F.col(column).isNotNull()))
 
 
+def duplicate_members(checksums: DataFrame, column: str) -> DataFrame:
+    """Outputs that share their checksum with others: a row each, with the first of them."""
+    return checksums.join(duplicate_outputs(checksums, column), column)
+
+
 def split_diagnostics(df: DataFrame, keys: Sequence[str] = ("symbol", "split_id"), blocks: Blocks | None = None) -> DataFrame:
     """Rows, active bars, trades, PnL, costs, probability shape, value counts and checksums per split."""
     framed = halo(df, blocks or measure(df, keys), lookback=1)
@@ -298,7 +320,7 @@ def split_diagnostics(df: DataFrame, keys: Sequence[str] = ("symbol", "split_id"
         count_if(p < 1 / 3).alias("prob_low"), count_if((p >= 1 / 3) & (p < 2 / 3)).alias("prob_mid"), count_if(p >= 2 / 3).alias("prob_high"),
         count_if(F.col("raw_signal") < 0).alias("short_signals"), count_if(F.col("raw_signal") == 0).alias("flat_signals"),
         count_if(F.col("raw_signal") > 0).alias("long_signals"),
-        F.bit_xor(F.xxhash64("ts_event", F.col("pnl").cast("double"))).alias("pnl_checksum"))
+        multiset_hash(F.col("ts_event"), F.col("pnl").cast("double")).alias("pnl_checksum"))
 
 
 def prediction_diagnostics(df: DataFrame, target: str, keys: Sequence[str] = ("symbol",), **limits) -> DataFrame:

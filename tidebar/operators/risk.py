@@ -51,7 +51,9 @@ def risk_gates(df: DataFrame, keys: Sequence[str] = ("symbol",), max_position: f
 
 
 def enforce_risk(gates: DataFrame) -> DataFrame:
-    """Raise when a gate failed; otherwise return the gate rows."""
+    """Raise when a gate failed, or when there is none; otherwise return the gate rows."""
+    if gates.isEmpty():
+        raise ValueError("risk gate failed: no gates were evaluated")
     failed = gates.filter(F.col("status") == "FAIL").limit(10).collect()
     if failed:
         raise ValueError("risk gate failed: " + "; ".join(f"{r['gate']} value={r['value']} limit={r['limit']}" for r in failed))
