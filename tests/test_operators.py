@@ -558,3 +558,10 @@ def test_gates_fail_on_nothing(spark):
         engine.require_passed(spark.createDataFrame([], "passed boolean"))
     with pytest.raises(ValueError, match="no gates"):
         risk.enforce_risk(spark.createDataFrame([], "gate string, status string, value double, limit double"))
+
+
+def test_normal_cdf_to_double_precision(spark):
+    values = [-40.0, -8.1, -7.9, -5.0, -1.96, -0.1, 0.0, 1e-9, 0.5, 1.96, 3.3, 7.9, 9.0, None]
+    got = spark.createDataFrame([(v,) for v in values], "z double").select("z", metrics.normal_cdf(F.col("z")).alias("p")).collect()
+    for r in got:
+        assert (r["p"] is None) if r["z"] is None else r["p"] == pytest.approx(0.5 * math.erfc(-r["z"] / math.sqrt(2)), abs=2e-15)

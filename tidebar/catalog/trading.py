@@ -257,9 +257,14 @@ def duplicate_members(spark, sf):
     return metrics.duplicate_members(metrics.column_checksum(rows, ["close"]), "close_checksum").select("symbol", "split_id", "outputs", "first_output")
 
 
-@query("probabilistic_sharpe", None)
+@query("probabilistic_sharpe", with_(*BACKTEST, "ps_m AS (SELECT symbol, count(pnl) AS n, avg(pnl) AS mu, stddev_pop(pnl) AS s FROM f GROUP BY symbol)",
+                                     "ps_g AS (SELECT symbol, any_value(n) AS n, any_value(mu / s) AS sr, avg(pow((pnl - mu) / s, 3)) AS g3, avg(pow((pnl - mu) / s, 4)) AS g4 FROM f JOIN ps_m USING (symbol) GROUP BY symbol)",
+                                     "ps_z AS (SELECT *, sr * sqrt(n - 1) / sqrt(greatest(1 - g3 * sr + (g4 - 1) / 4 * sr * sr, 1e-12)) AS z FROM ps_g)")
+       + f"SELECT symbol, n, {rs('sr')} AS sharpe_per_bar, {rs('0.5 + z / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda k: (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(z * k / 2000, 2) / 2)))')} AS psr FROM ps_z")
 def probabilistic_sharpe(spark, sf):
-    return metrics.probabilistic_sharpe(backtest(spark, sf))
+    """Checked against the normal density integrated by Simpson's rule."""
+    p = metrics.probabilistic_sharpe(backtest(spark, sf))
+    return p.select("symbol", "n", r("sharpe_per_bar").alias("sharpe_per_bar"), r("psr").alias("psr"))
 
 
 REGIME_P = {f"hmm_regime_{i}": e for i, e in enumerate(("volume % 7", "round(close * 100)::BIGINT % 7", "round(open * 100)::BIGINT % 7", "(volume + round(close * 100)::BIGINT) % 7"))}

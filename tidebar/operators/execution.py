@@ -185,6 +185,7 @@ def recompute_pnl(df: DataFrame, settings: ExecutionSettings = ExecutionSettings
     return add_equity(trim(pnl_columns(halo(df, plan, lookback=3), block_window(keys), settings)), plan, settings)
 
 
+#: Fixed values.
 RESULT_COLUMNS = ("ts_event", "prediction_prob", "raw_signal", "target_exec", "target_exec_sized", "position", "pos_change",
                   "ret_exec", "gross_pnl", "pnl", "notional_traded", "commission_cost", "transaction_cost", "slippage_cost",
                   "execution_cost", "return_on_equity", "gross_return_on_equity", "equity_curve", "gross_equity_curve",

@@ -16,7 +16,9 @@ from tidebar.plans.frames import FrameAggs
 
 FEATURE_PREFIXES = ("feature_", "ratio_", "pair_", "zscore", "cross_", "htf_")
 RAW_COLUMNS = {"symbol", "ts_event", "open", "high", "low", "close", "volume", "session_id", "regime"}
+#: Fixed values.
 REGIME_INTERACTIONS = ("feature_ret_1", "feature_ret_5", "feature_ewma_vol_20", "feature_volume_z_20")
+#: Fixed values.
 REGIME_NAME_PARTS = ("vol", "ret_1", "momentum", "spread")
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 # 1 (lag) + 1 (lagged return) + 20 (deviation) + 20 (median) + 5 (mean)
