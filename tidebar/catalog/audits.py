@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidebar.catalog.registry import STAMP, lag, lead, over, query, r, roll, rs, show, stamp, with_
@@ -41,12 +40,12 @@ def core_audit(spark, sf):
     return audit.core_issues(raw_rows(spark, sf)).select("symbol", "file_year", "severity", "check", "n")
 
 
-#: Rows of `raw` spoiled by part number, so that every rule is broken: what is put in place of which column.
-SPOILED = {"ts": {3: None}, "file_year": {5: 1900}, "open": {7: None, 11: "nan", 13: -1.0}, "high": {17: "inf", 19: 0.5}, "low": {23: "-inf", 29: 0.0, 31: 1e9},
+#: Rows of `raw` spoiled by a number made of minute and volume, so that every rule is broken: what is put in place of which column.
+SPOILED = {"ts": {3: None, 89: "shift"}, "file_year": {5: 1900, 71: 1901}, "open": {71: None, 7: None, 11: "nan", 13: -1.0}, "high": {17: "inf", 19: 0.5, 73: None, 79: -1.0}, "low": {23: "-inf", 29: 0.0, 31: 1e9, 83: None},
            "close": {37: None, 41: -2.0, 43: 1e9}, "volume": {47: None, 53: -3.0, 59: 1.5, 61: 0.0, 67: "nan"}}
 SPOILED_SQL = ("spoiled AS (SELECT symbol, " + ", ".join(
-    f"CASE part % 211 {' '.join(f'WHEN {k} THEN ' + ('NULL' if v is None else repr(v) + ('::INT' if c == 'file_year' else '::DOUBLE')) for k, v in by.items())} ELSE {c} END AS {c}"
-    for c, by in SPOILED.items()) + " FROM (SELECT raw.*, (row_number() OVER (ORDER BY symbol, ts, open, high, low, close, volume)) AS part FROM raw))")
+    f"CASE part % 211 {' '.join(f'WHEN {k} THEN ' + ('NULL' if v is None else 'ts + INTERVAL 30 SECOND' if v == 'shift' else repr(v) + ('::INT' if c == 'file_year' else '::DOUBLE')) for k, v in by.items())} ELSE {c} END AS {c}"
+    for c, by in SPOILED.items()) + " FROM (SELECT raw.*, epoch_us(ts) // 60000000 + 17 * volume::BIGINT AS part FROM raw))")
 NUMERIC = ("open", "high", "low", "close", "volume")
 FINITE = " AND ".join(f"coalesce(isfinite({c}), false)" for c in NUMERIC)
 ALL_RULES = [("FAIL", "bad_ts_parse", "ts IS NULL"), ("FAIL", "timestamp_not_minute_aligned", "date_trunc('minute', ts) <> ts"),
@@ -57,17 +56,17 @@ ALL_RULES = [("FAIL", "bad_ts_parse", "ts IS NULL"), ("FAIL", "timestamp_not_min
 
 
 def spoiled_rows(spark, sf):
-    """The raw bars with rows that break every rule, at places given by the rows' order."""
+    """The raw bars with rows that break every rule."""
     numbered = raw_rows(spark, sf)
-    place = Window.orderBy("symbol", "ts_event", "open", "high", "low", "close", "volume")
-    part = F.row_number().over(place) % 211
-    rows = numbered.withColumn("part", part)
+    minutes = F.floor(F.unix_micros("ts_event") / F.lit(60_000_000)).cast("long")
+    rows = numbered.withColumn("part", (minutes + 17 * F.col("volume").cast("long")) % 211)
     for c, by in SPOILED.items():
         name = "ts_event" if c == "ts" else c
         value = F.col(name)
         for k, v in by.items():
             kind = dict(numbered.dtypes)[name]
-            value = F.when(F.col("part") == k, F.lit(v).cast(kind)).otherwise(value)
+            put = F.col(name) + F.expr("INTERVAL 30 SECONDS") if v == "shift" else F.lit(v).cast(kind)
+            value = F.when(F.col("part") == k, put).otherwise(value)
         rows = rows.withColumn(name, value)
     return rows.drop("part")
 
