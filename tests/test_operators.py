@@ -366,6 +366,58 @@ def test_ridge_against_numpy(spark):
     assert m["intercept"] == pytest.approx(y.mean() - x.mean(0) @ want, rel=1e-9)
 
 
+def test_gram_joins_nothing_and_keeps_squares_of_far_values(spark):
+    import numpy as np
+
+    df = learnable(spark).withColumns({"a": F.col("a") + 1e8, "b": F.col("b") - 1e8}).repartition(7)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sums = modelling.gram(df, ["a", "b", "y"], ["symbol"])
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "CartesianProduct" not in plan
+        row = sums.first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    x = df.select("a", "b", "y").toPandas().to_numpy()
+    centred = x - x.mean(0)
+    got = modelling._square_of(row["gram"], 4)
+    assert row["centre"] == pytest.approx(list(x.mean(0)), rel=1e-12) and got[0].tolist() == [len(x), 0, 0, 0]
+    assert got[1:, 1:] == pytest.approx(centred.T @ centred, rel=1e-6, abs=1e-4)
+    assert np.abs(modelling.correlation_matrix(df, ["a", "b", "y"]) - np.corrcoef(x.T)).max() < 1e-6
+
+
+def test_logistic_against_newton_and_one_class(spark):
+    import numpy as np
+
+    df = learnable(spark).withColumn("label", (F.col("y") > 0).cast("double"))
+    one = df.withColumns({"symbol": F.lit("CL"), "label": F.lit(1.0)})
+    models = {r["symbol"]: r for r in modelling.logistic_fit(df.unionByName(one).repartition(5), ["a", "b"], "label", ["symbol"]).collect()}
+    p = df.toPandas()
+    x, y, beta = np.column_stack([p[["a", "b"]].to_numpy(), np.ones(len(p))]), p["label"].to_numpy(), np.zeros(3)
+    for _ in range(40):
+        prob = 1 / (1 + np.exp(-x @ beta))
+        beta -= np.linalg.solve((x * (prob * (1 - prob))[:, None]).T @ x + np.diag([1, 1, 0]), x.T @ (prob - y) + beta * [1, 1, 0])
+    assert [*models["ES"]["coefficients"], models["ES"]["intercept"]] == pytest.approx(list(beta), rel=1e-6, abs=1e-8)
+    assert models["CL"]["coefficients"] == [0.0, 0.0] and 1 / (1 + math.exp(-models["CL"]["intercept"])) == pytest.approx(0.95)
+    library = modelling.mllib_probabilities(df, df, ["a", "b"], "y").select("ts_event", F.col("prediction_prob").alias("want"))
+    ours = modelling.logistic_probabilities(df, df, ["a", "b"], "y").join(library, "ts_event")
+    assert ours.select(F.max(F.abs(F.col("prediction_prob") - F.col("want")))).first()[0] < 1e-3
+
+
+def test_checked_evaluation(spark):
+    df = learnable(spark, 600).withColumns({"role": F.when(F.col("ts_event") < F.lit(utc("2024-01-03T11:00:00")), "train").otherwise("test"),
+                                            "open": F.lit(100.0), "high": F.lit(101.0), "low": F.lit(99.0), "close": 100 + F.col("y"), "volume": F.lit(5)})
+    markets = spark.createDataFrame([("ES", 1.0, 50.0)], "symbol string, multiplier double, max_position double")
+    for model in ("ridge", "logistic"):
+        out = modelling.checked_evaluation(df, ["a", "b"], "y", markets, model=model, burn_in=5)
+        assert out.count() == df.filter("role = 'test'").count() - 6
+    with pytest.raises(ValueError, match="contract check failed"):
+        modelling.checked_evaluation(df.unionByName(df.filter("role = 'test'")), ["a", "b"], "y", markets)
+    with pytest.raises(ValueError, match="unknown model"):
+        modelling.outer_evaluation(df, ["a", "b"], "y", markets, model="none")
+
+
 @pytest.mark.parametrize("model", ["ridge", "LogisticRegression", "RandomForestClassifier"])
 def test_models_learn_the_direction(spark, model):
     df = learnable(spark)

@@ -56,6 +56,30 @@ def ridge(spark, sf):
     return m.select("symbol", r(F.col("coefficients")[0]).alias("beta"), r("intercept").alias("intercept"))
 
 
+@query("ridge_offset", _pair_sql().replace("ln(close) AS x, ln(open) AS y", "close + 100000000 AS x, open + 100000000 AS y")
+       .replace(rs("my - sxy / (sxx + 1) * mx"), rs("my - sxy / (sxx + 1) * mx", 0)))
+def ridge_offset(spark, sf):
+    """Means far above the spread: sums of squares about zero would lose the slope."""
+    df = weekly(spark, sf).withColumns({"x": F.col("close") + 1e8, "y": F.col("open") + 1e8})
+    m = modelling.ridge_fit(df, ["x"], "y", ["symbol"], alpha=1.0)
+    return m.select("symbol", r(F.col("coefficients")[0]).alias("beta"), r("intercept", 0).alias("intercept"))
+
+
+LOGIT = "ln(avg(y) FILTER (a = {0} AND b = {1}) / (1 - avg(y) FILTER (a = {0} AND b = {1})))"
+
+
+@query("logistic", "WITH t AS (SELECT l_linenumber::VARCHAR AS symbol, (l_quantity > 25)::INT AS a, (l_extendedprice > 30000)::INT AS b, (l_discount > 0.05::DOUBLE)::INT::DOUBLE AS y FROM lineitem), "
+       f"s AS (SELECT symbol, {LOGIT.format(0, 0)} AS l00, {LOGIT.format(1, 0)} AS l10, {LOGIT.format(0, 1)} AS l01, {LOGIT.format(1, 1)} AS l11 FROM t GROUP BY symbol) "
+       f"SELECT symbol, {rs('l00')} AS intercept, {rs('l10 - l00')} AS beta_a, {rs('l01 - l00')} AS beta_b, {rs('l11 - l10 - l01 + l00')} AS beta_ab FROM s")
+def logistic(spark, sf):
+    """Two flags and their product: the model without a penalty has the log odds of the four cells as its closed form."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    df = li.select(F.col("l_linenumber").cast("string").alias("symbol"), (F.col("l_quantity") > 25).cast("double").alias("a"), (F.col("l_extendedprice") > 30000).cast("double").alias("b"),
+                   (F.col("l_discount") > 0.05).cast("double").alias("y")).withColumn("ab", F.col("a") * F.col("b"))
+    m = modelling.logistic_fit(df, ["a", "b", "ab"], "y", ["symbol"], alpha=0.0)
+    return m.select("symbol", r("intercept").alias("intercept"), *[r(F.col("coefficients")[i]).alias(f"beta_{c}") for i, c in enumerate(("a", "b", "ab"))])
+
+
 def _labelled(spark, sf):
     """Weekly bars with a few features and the forward label, split in two bar folds per supplier."""
     df = baseline.add_baseline_features(weekly(spark, sf), ("returns", "momentum", "volume"))
@@ -73,6 +97,13 @@ def ridge_predictions(spark, sf):
     return p.select("symbol", "split_id", stamp(), r("prediction_prob").alias("prediction_prob"))
 
 
+@query("logistic_predictions", None)
+def logistic_predictions(spark, sf):
+    a = _labelled(spark, sf)
+    p = modelling.logistic_probabilities(a.filter("role = 'train'"), a.filter("role = 'test'"), FEATURES, "target_15m_ret")
+    return p.select("symbol", "split_id", stamp(), r("prediction_prob").alias("prediction_prob"))
+
+
 @query("train_test_check", None)
 def train_test_check(spark, sf):
     return splits.check_train_test(_labelled(spark, sf), FEATURES, "target_15m_ret").select("symbol", "split_id", "train_rows", "test_rows", "duplicate_ts", "null_target", "passed")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebar.functions.columns import clip, expit
+from tidebar.operators.engine import require_passed
 from tidebar.operators.execution import ExecutionSettings, add_benchmark, recompute_pnl, simulate_execution
-from tidebar.operators.splits import assign_folds, bar_folds, exclude_warmup, label_minutes
+from tidebar.operators.splits import assign_folds, bar_folds, check_predictions, check_train_test, exclude_warmup, label_minutes
 from tidebar.operators.targets import add_meta_label
-from tidebar.plans.blocks import Blocks, measure, positions
+from tidebar.plans.blocks import Blocks, _small, measure, positions
 from tidebar.plans.checkpoints import checkpointed
 from tidebar.plans.order_stats import exact_quantiles
 
@@ -32,45 +34,63 @@ def variance_filter(df: DataFrame, features: Sequence[str], threshold: float = 1
 def gram(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Per key the upper triangle of [1, x - c]'[1, x - c] as one array, and the means c as another.
 
-    A first aggregate gives each key's means, so that sums of squares stay exact for values far from zero. Tasks multiply
-    the Arrow batches of the partitions as they lie, and Spark adds the k*k partial sums, so a key with most of the rows is
-    split like its input. The result is k*k numbers per key; rows with a null key belong to no model.
+    Tasks reduce their rows as they lie to (count, means, co-moments about those means), one set per key, so the input is read
+    once, nothing is joined and a key with most of the rows is split like its input. Cells of the triangle are then merged by
+    Spark, each about its own mean, so sums of squares stay exact for values far from zero. The result is k*k numbers per key;
+    rows with a null key belong to no model.
     """
     keys, columns = list(keys), list(columns)
     k = len(columns) + 1
-    upper = np.triu_indices(k)
-    schema = T.StructType([df.schema[c] for c in keys] + [T.StructField("_part", T.ArrayType(T.DoubleType()))])
+    rows, cols = np.triu_indices(k)
+    schema = T.StructType([df.schema[c] for c in keys] + [T.StructField("_pos", T.IntegerType())]
+                          + [T.StructField(c, T.DoubleType()) for c in ("_n", "_left", "_right", "_c")])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
+        parts: dict[tuple, tuple[float, np.ndarray, np.ndarray]] = {}
 
         def flush():
-            rows = pd.DataFrame([[*key, m[upper]] for key, m in sums.items()], columns=[*keys, "_part"])
-            sums.clear()
-            return rows
+            for key, (n, mean, comoment) in parts.items():
+                with_one = np.concatenate([[1.0], mean])
+                cells = pd.DataFrame({"_pos": np.arange(len(rows), dtype=np.int32), "_n": n, "_left": with_one[rows], "_right": with_one[cols],
+                                      "_c": np.pad(comoment, ((1, 0), (1, 0)))[rows, cols]})
+                for i, name in enumerate(keys):
+                    cells.insert(i, name, [key[i]] * len(rows))
+                yield cells
+            parts.clear()
 
         for batch in batches:
             for key, group in batch.groupby(keys, sort=False):
-                x = np.column_stack([np.ones(len(group)), group[names].to_numpy(dtype=np.float64)])
-                sums[key] = sums.get(key, 0.0) + x.T @ x
-            if len(sums) > 256:
-                yield flush()
-        if sums:
-            yield flush()
+                x = group[names].to_numpy(dtype=np.float64)
+                n, mean = float(len(x)), x.mean(axis=0)
+                x = x - mean
+                comoment = x.T @ x
+                if key in parts:
+                    n0, mean0, comoment0 = parts[key]
+                    step = mean - mean0
+                    comoment = comoment0 + comoment + np.outer(step, step) * (n0 * n / (n0 + n))
+                    mean, n = mean0 + step * (n / (n0 + n)), n0 + n
+                parts[key] = (n, mean, comoment)
+            if len(parts) > 256:
+                yield from flush()
+        yield from flush()
 
     names = [f"_v{i}" for i in range(len(columns))]
     values = df.filter(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))).select(
         *keys, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(n) for c, n in zip(columns, names)])
-    means = values.groupBy(*keys).agg(F.array(*[F.avg(n) for n in names]).alias("centre"))
-    centred = values.join(means, keys).select(*keys, *[(F.col(n) - F.col("centre")[i]).alias(n) for i, n in enumerate(names)])
-    return (centred.mapInPandas(partial, schema)
-            .select(*keys, F.posexplode("_part").alias("_pos", "_value"))
-            .groupBy(*keys, "_pos").agg(F.sum("_value").alias("_value"))
-            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_cells"))
-            .select(*keys, F.col("_cells._value").alias("gram")).join(means, keys))
-
-
-def _square(cells, k: int) -> np.ndarray:
+    cell = Window.partitionBy(*keys, "_pos")
+    near = {f"_near{c}": F.min(c).over(cell) for c in ("_left", "_right")}  # means of parts, taken from a point among them
+    left, right = F.col("_left") - F.col("_near_left"), F.col("_right") - F.col("_near_right")
+    n, l, r = F.sum("_n"), F.sum(F.col("_n") * left), F.sum(F.col("_n") * right)
+    merged = (values.mapInPandas(partial, schema).withColumns(near).groupBy(*keys, "_pos").agg(
+        n.alias("_n"), (F.sum("_c") + F.sum(F.col("_n") * left * right) - l * r / n).alias("_c"),
+        (F.first("_near_right") + r / n).alias("_mean")))
+    value = F.when(F.col("_pos") == 0, F.col("_n")).when(F.col("_pos") < k, F.lit(0.0)).otherwise(F.col("_c"))
+    cells = F.array_sort(F.collect_list(F.struct("_pos", value.alias("_value"), "_mean")))
+    return (merged.groupBy(*keys).agg(cells.alias("_cells"))
+            .select(*keys, F.col("_cells._value").alias("gram"), F.slice(F.col("_cells._mean"), 2, k - 1).alias("centre")))
+
+
+def _square_of(cells, k: int) -> np.ndarray:
     m = np.zeros((k, k))
     m[np.triu_indices(k)] = np.asarray(cells, dtype=np.float64)
     return m + np.triu(m, 1).T
@@ -78,7 +98,7 @@ def _square(cells, k: int) -> np.ndarray:
 
 def _correlations(cells, centre) -> np.ndarray:
     """NaN for a column whose spread is within rounding of its mean."""
-    m = _square(cells, len(centre) + 1)
+    m = _square_of(cells, len(centre) + 1)
     n, mean = m[0, 0], m[0, 1:] / m[0, 0]
     cov = m[1:, 1:] / n - np.outer(mean, mean)
     sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
@@ -168,7 +188,7 @@ def ridge_fit(train: DataFrame, features: Sequence[str], target: str, keys: Sequ
     def solve(grams: pd.Series, centres: pd.Series) -> pd.DataFrame:
         rows = []
         for cells, centre in zip(grams, centres):
-            m = _square(cells, k)
+            m = _square_of(cells, k)
             mean = m[0, 1:] / m[0, 0]
             at = mean + centre
             centred = m[1:, 1:] - m[0, 0] * np.outer(mean, mean)
@@ -203,6 +223,91 @@ def ridge_probabilities(train: DataFrame, test: DataFrame, features: Sequence[st
     return predicted.withColumn("prediction_prob", probability(F.col("_raw"), scale)).drop("_raw", *names)
 
 
+def logistic_fit(train: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], alpha: float = 1.0,
+                 max_steps: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    """Per key logistic coefficients (penalty alpha / 2 on squared coefficients, intercept free) by Newton steps, all keys at once.
+
+    A step is one job: tasks sum loss, gradient and curvature of their rows at each key's trial point, Spark adds the parts, and
+    every key takes its next step or halves a step that raised its loss. Keys that have converged leave the later steps. The label
+    is 0 or 1; null features and labels count as 0. A key with one class has no coefficients, its intercept stands for a
+    probability of 0.05 or 0.95. Without a penalty separable classes have no optimum; the best point of the last step is returned.
+    """
+    keys, k = list(keys), len(features) + 1
+    upper = np.triu_indices(k)
+    names = [f"_v{i}" for i in range(k - 1)]
+    rows = checkpointed(train.filter(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))).select(
+        *keys, F.coalesce(F.col(f"`{label}`").cast("double"), F.lit(0.0)).alias("_y"),
+        *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(n) for c, n in zip(features, names)]))
+    schema = T.StructType([rows.schema[c] for c in keys] + [T.StructField("_pos", T.IntegerType()), T.StructField("_value", T.DoubleType())])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            for key, cells in sums.items():
+                yield pd.DataFrame({**{c: [v] * len(cells) for c, v in zip(keys, key)}, "_pos": np.arange(len(cells), dtype=np.int32), "_value": cells})
+            sums.clear()
+
+        for batch in batches:
+            for key, group in batch.groupby(keys, sort=False):
+                x = np.column_stack([group[names].to_numpy(dtype=np.float64), np.ones(len(group))])
+                y, z = group["_y"].to_numpy(dtype=np.float64), x @ np.asarray(group["_trial"].iloc[0], dtype=np.float64)
+                p = np.exp(-np.logaddexp(0.0, -z))
+                part = np.concatenate([[np.sum(np.logaddexp(0.0, z) - y * z)], x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x)[upper]])
+                sums[key] = sums[key] + part if key in sums else part
+            if len(sums) > 256:
+                yield from flush()
+        yield from flush()
+
+    vector = "array<double>"
+
+    @F.pandas_udf(f"_trial {vector}, _best {vector}, _way {vector}, _scale double, _loss double, _done boolean")
+    def step(cells: pd.Series, trial: pd.Series, best: pd.Series, way: pd.Series, scale: pd.Series, loss: pd.Series) -> pd.DataFrame:
+        penalty = np.append(np.full(k - 1, float(alpha)), 0.0)
+        out = []
+        for c, t, b, w, s, before in zip(cells, trial, best, way, scale, loss):
+            c, t, b, w = (np.asarray(v, dtype=np.float64) for v in (c, t, b, w))
+            now = c[0] + 0.5 * penalty @ (t * t)
+            if now > before + 1e-12 * abs(before):
+                out.append((b + 0.5 * s * w, b, w, 0.5 * s, before, 0.5 * s < 1e-9))
+                continue
+            curvature = _square_of(c[1 + k:], k) + np.diag(penalty)
+            w = -np.linalg.lstsq(curvature, c[1:1 + k] + penalty * t, rcond=None)[0]
+            out.append((t + w, t, w, 1.0, now, bool(np.max(np.abs(w)) <= tolerance * (1.0 + np.max(np.abs(t))))))
+        return pd.DataFrame(out, columns=["_trial", "_best", "_way", "_scale", "_loss", "_done"])
+
+    fields = ("_trial", "_best", "_way", "_scale", "_loss")
+    zero = F.array(*[F.lit(0.0)] * k)
+    share = F.avg("_y")
+    one_class = F.when(share <= 0, math.log(0.05 / 0.95)).when(share >= 1, math.log(0.95 / 0.05))
+    state = checkpointed(rows.groupBy(*keys).agg(one_class.alias("_fixed")).select(
+        *keys, zero.alias("_trial"), F.concat(F.array(*[F.lit(0.0)] * (k - 1)).cast(vector), F.array(F.coalesce("_fixed", F.lit(0.0)))).alias("_best"), zero.alias("_way"),
+        F.lit(1.0).alias("_scale"), F.lit(float("inf")).alias("_loss"), F.col("_fixed").isNotNull().alias("_done")))
+    for _ in range(max_steps):
+        active = state.filter(~F.col("_done"))
+        n = active.count()
+        if not n:
+            break
+        sums = (rows.join(_small(active.select(*keys, "_trial"), n), keys).mapInPandas(partial, schema)
+                .groupBy(*keys, "_pos").agg(F.sum("_value").alias("_value"))
+                .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_cells"))
+                .select(*keys, F.col("_cells._value").alias("_sums")))
+        moved = active.drop("_done").join(_small(sums, n), keys).withColumn("_step", step("_sums", *fields)).select(*keys, "_step.*")
+        state = checkpointed(state.filter("_done").unionByName(moved))
+    return state.select(*keys, F.slice("_best", 1, k - 1).alias("coefficients"), F.element_at("_best", k).alias("intercept"))
+
+
+def logistic_probabilities(train: DataFrame, test: DataFrame, features: Sequence[str], target: str,
+                           keys: Sequence[str] = ("symbol", "split_id"), alpha: float = 1.0) -> DataFrame:
+    """Scale on train statistics, fit one logistic model of y > 0 per key, add `prediction_prob` to test."""
+    stats = robust_stats(train, features, keys)
+    labelled = robust_scale(train, stats, features, keys).withColumn("_y", (stable_target(F.col(target)) > 0).cast("double"))
+    names = [f"_x{i}" for i in range(len(features))]
+    inputs = test.withColumns({n: F.col(f"`{c}`") for n, c in zip(names, features)})
+    predicted = linear_predict(robust_scale(inputs, stats, names, keys), logistic_fit(labelled, features, "_y", keys, alpha), names, keys, "_raw")
+    return predicted.withColumn("prediction_prob", clip(expit(F.col("_raw")), 0.05, 0.95)).drop("_raw", *names)
+
+
 def mllib_probabilities(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, model: str = "LogisticRegression",
                         seed: int = 42) -> DataFrame:
     """One split with a logistic or random-forest classifier of y > 0; a single-class train set gives its prior.
@@ -300,21 +405,27 @@ def apply_meta_gate(df: DataFrame, threshold: float = 0.5) -> DataFrame:
                            "meta_prob": F.coalesce("meta_prob", F.lit(0.0))})
 
 
+#: Models that fit every key of a frame in the same jobs.
+MODELS = {"ridge": ridge_probabilities, "logistic": logistic_probabilities}
+
+
 def outer_evaluation(assigned: DataFrame, features: Sequence[str], target: str, markets: DataFrame,
                      settings: ExecutionSettings = ExecutionSettings(), keys: Sequence[str] = ("symbol", "split_id"),
                      smoothing: float = 0.0, burn_in: int = 50, meta_threshold: float | None = None, alpha: float = 1.0,
-                     purge: bool = True, blocks: Blocks | None = None) -> DataFrame:
-    """Purge, fit, predict, simulate and cut the warm-up for every (symbol, split) of a frame with `role`.
+                     purge: bool = True, blocks: Blocks | None = None, model: str = "ridge") -> DataFrame:
+    """Purge, fit (`model` is ridge or logistic), predict, simulate and cut the warm-up for every (symbol, split) of a frame with `role`.
 
     The block plan is measured once, on the test rows before any model, and every later step reuses it.
     """
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model!r}")
     keys = list(keys)
     train, test = assigned.filter(F.col("role") == "train"), assigned.filter(F.col("role") == "test").drop("role")
     blocks = blocks or measure(test, keys)
     starts = test.groupBy(*keys).agg(F.min("ts_event").alias("_start"))
     cutoff = F.timestamp_micros(F.unix_micros("_start") - F.lit(label_minutes() * 60_000_000))
     purged = train.join(starts, keys).filter((F.col("ts_event") < cutoff) | F.lit(not purge)).drop("_start", "role")
-    result = smooth_probabilities(ridge_probabilities(purged, test, features, target, keys, alpha), smoothing, keys)
+    result = smooth_probabilities(MODELS[model](purged, test, features, target, keys, alpha=alpha), smoothing, keys)
     result = simulate_execution(add_benchmark(result, keys, blocks), markets, settings, keys, blocks)
     if meta_threshold is not None:
         gated = apply_meta_gate(meta_probabilities(purged, result, features, target, keys), meta_threshold)
@@ -322,6 +433,22 @@ def outer_evaluation(assigned: DataFrame, features: Sequence[str], target: str,
     return exclude_warmup(result, burn_in, keys, blocks)
 
 
+def checked_evaluation(assigned: DataFrame, features: Sequence[str], target: str, markets: DataFrame,
+                       settings: ExecutionSettings = ExecutionSettings(), keys: Sequence[str] = ("symbol", "split_id"),
+                       least: float = 0.9, **options) -> DataFrame:
+    """Train and test checks, the outer evaluation, and the checks of its predictions and row retention as one call.
+
+    Raises where a key fails one of them. `options` go to `outer_evaluation`; rows cut as warm-up count as retained.
+    """
+    burn_in = options.pop("burn_in", 50)
+    require_passed(check_train_test(assigned, features, target, keys=keys))
+    result = checkpointed(outer_evaluation(assigned, features, target, markets, settings, keys, burn_in=0, **options))
+    test = assigned.filter(F.col("role") == "test")
+    require_passed(check_predictions(result, test, keys))
+    require_passed(row_retention(result, test, keys, least))
+    return exclude_warmup(result, burn_in, keys)
+
+
 def row_retention(result: DataFrame, test: DataFrame, keys: Sequence[str] = ("symbol", "split_id"), least: float = 0.9) -> DataFrame:
     """Share of test rows that reached the result; passes at `least` or more."""
     keys = list(keys)
