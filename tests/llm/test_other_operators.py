@@ -32,6 +32,18 @@ def test_longest_rule_wins(spark):
     assert [tuple(r) for r in df.select(*hosts.matched_rule(F.col("h"), F.col("p"))).collect()] == [c[2:] for c in cases]
 
 
+def test_domains_of_ports_addresses_and_long_suffixes(spark):
+    cases = [("a.b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("u:p@www.x.com:8080", "x.com", "com"), ("10.1.2.3:80", "10.1.2.3", "10.1.2.3"),
+             ("[2001:db8::1]:443", "[2001:db8::1]", "[2001:db8::1]"), ("1.2.3.4.com", "4.com", "com"), ("s.city.k12.us", "city.k12.us", "k12.us"),
+             ("p.y.city.k12.us", "city.k12.us", "k12.us"), ("z.x.pvt.k12.us", "x.pvt.k12.us", "pvt.k12.us"), ("", "", ""), ("x", "x", "x")]
+    df = spark.createDataFrame([(c[0],) for c in cases], "host string")
+    got = df.select(*hosts.domain_and_suffix(F.col("host"), (*hosts.SUFFIXES, "k12.us", "pvt.k12.us"))).collect()
+    assert [tuple(r) for r in got] == [c[1:] for c in cases]
+    long = "http://" + "a." * 100_000 + "com/" + "x" * 500_000
+    judged = rows(hosts.judge(spark.createDataFrame([(1, long), (2, "http://h.com:81/")], "page_id long, url string"), spark.createDataFrame([(2, True)], "page_id long, good boolean")))
+    assert {r["page_id"]: (len(r["host"]), len(r["path"])) for r in judged} == {1: (200_003, 500_001), 2: (8, 1)}
+
+
 def test_reputation_shrinks_and_blocks(spark):
     pages = [(i, f"http://bad.spam.net/{i}", "x") for i in range(60)] + [(100 + i, f"http://www.good.net/{i}", "x") for i in range(60)]
     pages += [(200, "http://new.spam.net/1", None), (201, None, None), (None, "http://x.zz", None), (1, "http://bad.spam.net/1", "x")]

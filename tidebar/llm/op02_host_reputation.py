@@ -5,6 +5,9 @@ suffix, a host towards its domain. At each level the prior's weight (a number of
 children's rates around their parents beyond binomial noise. A host is blocked where its posterior share of good pages is
 surely low: its upper bound is under `least_good`. A url rule overrides it.
 
+For the domain and the suffix, a user name before `@` and a port are left out of the host, and an address is a domain and a suffix
+of its own. Counts per host are written once, so all levels read that narrow table and pages are read twice: to count and to judge.
+
 Defined results: a null url, or one without `://`, has empty host and path, matches no rule, and is judged by the prior of all
 pages; hosts without labels take their domain's estimate; repeated rows are judged one by one, and each counts every label of its
 page_id (or of the document it shows) once, for its own host only; a row with a null page_id has the labels of its document and
@@ -14,11 +17,14 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.llm.common import written
+
 
 class UrlRule(NamedTuple):
     text: str  # host, then the path's beginning
@@ -27,7 +33,7 @@ class UrlRule(NamedTuple):
 
 RULES = (UrlRule("org/", "allow"), UrlRule("example.org/es/", "block"), UrlRule("example.org/en/1", "block"),
          UrlRule("com/fr/", "allow"), UrlRule("com/de/", "block"))
-#: Public suffixes of two labels that the domain split knows; any other suffix is the last label.
+#: Public suffixes of several labels, of any number; any other suffix is the last label. A full public list may be passed instead.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "com.cn")
 Z, LEAST_GOOD = 2.0, 0.5
 MIN_WEIGHT, MAX_WEIGHT = 1.0, 1000.0
@@ -43,15 +49,25 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower, path
 
 
-def domain_of(host: Column) -> Column:
-    """Registered domain: one label more than the suffix."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+ADDRESS = r"^(\[|[0-9]+([.][0-9]+){3}\z)"
+
+
+def bare_host(host: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), r":[0-9]*\z", "")
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def domain_and_suffix(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and public suffix: the longest suffix known, and one label more. An address is both."""
+    bare = bare_host(host)
+    domain, suffix = F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -1)
+    sizes: dict[int, list[str]] = {}
+    for s in suffixes:
+        sizes.setdefault(s.count(".") + 1, []).append(s)
+    for labels, known in sorted(sizes.items()):
+        tail = F.substring_index(bare, ".", -labels)
+        domain, suffix = F.when(tail.isin(known), F.substring_index(bare, ".", -labels - 1)).otherwise(domain), F.when(tail.isin(known), tail).otherwise(suffix)
+    address = bare.rlike(ADDRESS)
+    return F.when(address, bare).otherwise(domain), F.when(address, bare).otherwise(suffix)
 
 
 def matched_rule(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> tuple[Column, Column]:
@@ -81,16 +97,16 @@ def _level(children: DataFrame, child: str, parent: str | None, parents: DataFra
             .select(child, ((F.col("k") + w * m) / (n + w)).alias("rate"), (n + w).alias("weight")))
 
 
-def reputation(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def reputation(counts: DataFrame, suffixes_known: Sequence[str] = SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Posteriors (name, rate, weight) of hosts, domains, suffixes and all pages from rows (host, n, k): k of n outcomes are good.
     A row with n = 0 names a host without counting. Rows are summed per host before anything else, so a hot host is one row."""
-    hosts = (counts.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-             .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes_known)
+    hosts = written(counts.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumns({"domain": domain, "suffix": suffix}), "hosts")
+    domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("all", F.lit(1))
     every = suffixes.groupBy("all").agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("rate"), (F.sum("n") + 2).cast("double").alias("weight"))
-    s = _level(suffixes, "suffix", "all", every)
-    d = _level(domains, "domain", "suffix", s)
+    s = written(_level(suffixes, "suffix", "all", every), "suffix-rates")
+    d = written(_level(domains, "domain", "suffix", s), "domain-rates")
     return _level(hosts, "host", "domain", d), d, s, every
 
 
@@ -114,22 +130,24 @@ def _rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: tuple[UrlRule, ...] = RULES, z: float = Z, least_good: float = LEAST_GOOD) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: tuple[UrlRule, ...] = RULES, z: float = Z, least_good: float = LEAST_GOOD,
+          suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, good_rate, good_upper) of every page; `labels`: (page_id, good boolean)."""
     rows = _rows(pages)
-    return _judged(rows, _counted(rows, labels, "page_id"), rules, z, least_good)
+    return _judged(rows, _counted(rows, labels, "page_id"), rules, z, least_good, suffixes)
 
 
-def judge_documents(pages: DataFrame, labels: DataFrame, rules: tuple[UrlRule, ...] = RULES, z: float = Z, least_good: float = LEAST_GOOD) -> DataFrame:
+def judge_documents(pages: DataFrame, labels: DataFrame, rules: tuple[UrlRule, ...] = RULES, z: float = Z, least_good: float = LEAST_GOOD,
+                    suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """As `judge`, with `labels` (doc_id, quality): the first number in a page's path names the document that it shows."""
     rows = _rows(pages)
     shown = rows.select("host", F.regexp_extract("path", "([0-9]+)", 1).try_cast("long").alias("doc_id"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"))
-    return _judged(rows, _counted(shown, known, "doc_id"), rules, z, least_good)
+    return _judged(rows, _counted(shown, known, "doc_id"), rules, z, least_good, suffixes)
 
 
-def _judged(rows: DataFrame, counts: DataFrame, rules: tuple[UrlRule, ...], z: float, least_good: float) -> DataFrame:
-    hosts = reputation(counts)[0]
+def _judged(rows: DataFrame, counts: DataFrame, rules: tuple[UrlRule, ...], z: float, least_good: float, suffixes: Sequence[str]) -> DataFrame:
+    hosts = reputation(counts, suffixes)[0]
     rule, ruled = matched_rule(F.col("host"), F.col("path"), rules)
     upper = upper_bound(F.col("rate"), F.col("weight"), z)
     own = F.when(upper < least_good, F.lit("block")).otherwise(F.lit("allow"))
@@ -146,8 +164,8 @@ def _level_sql(children: str, child: str, parent: str, parents: str) -> str:
             f"FROM j WHERE n > 0)) SELECT {child}, (k + w * m) / (n + w) AS rate, n + w AS weight FROM j, o)")
 
 
-_TWO = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
-_THREE = "array_to_string(list_slice(string_split(host, '.'), -3, -1), '.')"
+_TWO = "array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.')"
+_THREE = "array_to_string(list_slice(string_split(bare, '.'), -3, -1), '.')"
 _LIST = ", ".join(f"'{s}'" for s in SUFFIXES)
 
 
@@ -161,9 +179,11 @@ ORACLE_SQL = f"""
 WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 r AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 g AS (SELECT try_cast(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) AS doc_id, host FROM r),
-hosts AS (SELECT host, count(quality)::DOUBLE AS n, coalesce(sum((quality = 1)::INT), 0)::DOUBLE AS k,
-  CASE WHEN {_TWO} IN ({_LIST}) THEN {_THREE} ELSE {_TWO} END AS domain,
-  CASE WHEN {_TWO} IN ({_LIST}) THEN {_TWO} ELSE string_split(host, '.')[-1] END AS suffix FROM g LEFT JOIN labels USING (doc_id) GROUP BY host),
+c AS (SELECT host, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*\\z', '') AS bare, count(quality)::DOUBLE AS n, coalesce(sum((quality = 1)::INT), 0)::DOUBLE AS k
+  FROM g LEFT JOIN labels USING (doc_id) GROUP BY host),
+hosts AS (SELECT host, n, k,
+  CASE WHEN regexp_matches(bare, '{ADDRESS}') THEN bare WHEN {_TWO} IN ({_LIST}) THEN {_THREE} ELSE {_TWO} END AS domain,
+  CASE WHEN regexp_matches(bare, '{ADDRESS}') THEN bare WHEN {_TWO} IN ({_LIST}) THEN {_TWO} ELSE string_split(bare, '.')[-1] END AS suffix FROM c),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, 1 AS a, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
 every AS (SELECT 1 AS a, (sum(k) + 1) / (sum(n) + 2) AS rate FROM suffixes),
