@@ -238,6 +238,47 @@ def test_pipeline_stage_by_stage(spark):
     assert after.groupBy("doc_id").agg((F.sum("length") == F.max("doc_tokens")).alias("ok")).filter("NOT ok").count() == 0
 
 
+def test_pipeline_run_against_plain_python(spark):
+    """run() against rules in SQL, scores of the stage's model in one process, all pairs of fingerprints and the tokenizers library."""
+    import zlib
+
+    import duckdb
+    import numpy as np
+
+    import corpus_pipeline
+    from tests.llm.test_text_operators import GPT, ids_of, reference_components, reference_fingerprint
+    from tidebar.llm import op01_pu_classifier as pu, op10_quality_rules as rules
+
+    sf_dir = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    passed = {r[0] for r in con.execute(f"SELECT doc_id FROM ({rules.ORACLE_SQL}) WHERE kept").fetchall()}
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in rows(table) if r["doc_id"] in passed}
+    model = pu.fit(pu.with_features(table.filter(F.col("doc_id").isin(*passed)).select("doc_id", "text")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    ids = [d for d in sorted(texts) if model.scores(np.array([pu.features(texts[d] or "")]))[0] >= pu.THRESHOLD]
+    left = {c for c in reference_components(ids, [reference_fingerprint(texts[d]) for d in ids])}
+    got = rows(corpus_pipeline.run(spark, sf_dir))
+    assert left and {r["doc_id"] for r in got} == left
+    for d in left:
+        own, start = ids_of(GPT, texts[d], 0), 0
+        for r in sorted((r for r in got if r["doc_id"] == d), key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (start, len(own), zlib.crc32(own[start:start + r["length"]].tobytes()))
+            start += r["length"]
+        assert start == len(own)
+    place = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    for (s, o, n), (t, q, _) in zip(place, place[1:]):
+        assert (t == s and q == o + n) or (t == s + 1 and q == 0)
+
+
+def test_pipeline_on_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op2_host_reputation", "op3_perspectives", "op4_warc", "op10_rules"])
 def test_sql_counterparts_exist(name):
     import __spark_entry__

@@ -85,6 +85,33 @@ def test_classifier_reads_no_held_out_label(docs, labels):
     assert max(abs(a[k] - b[k]) for k in a) < 1e-6
 
 
+def test_risk_against_plain_descent(spark):
+    """The Newton steps reach the least non-negative risk that many small gradient steps on all rows reach."""
+    rng, prior, ridge, n = np.random.default_rng(5), 0.6, 1e-3, 400
+    good = rng.random(n) < 0.3
+    x = rng.normal(size=(n, pu.SIZE)) + np.where(good | (rng.random(n) < 0.4), 0.4, -0.4)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in row], bool(g)) for i, (row, g) in enumerate(zip(x, good))], "doc_id long, x array<float>, good boolean").repartition(5)
+    x = x.astype(np.float32).astype(np.float64)
+    mean, scale, count, positives = pu._standard(df)
+    assert (count, positives) == (n, good.sum()) and mean == pytest.approx(x.mean(0)) and scale == pytest.approx(x.std(0))
+    z = np.concatenate([np.clip((x - x.mean(0)) / x.std(0), -8, 8), np.ones((n, 1))], axis=1)
+
+    def risk(w):
+        g = z @ w
+        negative = np.logaddexp(0, g).mean() - prior * np.logaddexp(0, g[good]).mean()
+        return prior * np.logaddexp(0, -g[good]).mean() + max(0.0, negative) + ridge * w @ w / 2, negative
+
+    w, least = np.zeros(pu.SIZE + 1), np.inf
+    for _ in range(6000):
+        p = 1 / (1 + np.exp(-z @ w))
+        value, negative = risk(w)
+        least = min(least, value)
+        slope = z.T @ p / n - prior * z[good].mean(0) if negative >= 0 else prior * z[good].T @ (p[good] - 1) / good.sum()
+        w = w - 0.1 * (slope + ridge * w)
+    found = pu._fit(df, mean, scale, prior, 30)
+    assert risk(found)[0] <= least + 2e-3 and risk(found)[0] < risk(np.zeros(pu.SIZE + 1))[0]
+
+
 def test_classifier_on_odd_rows(odd, none, labels):
     got = rows(pu.scored_documents(odd, labels))
     assert len(got) == 8 and all(0 <= r["score"] <= 1 for r in got)
