@@ -29,7 +29,8 @@ def year_bounds(df: DataFrame) -> DataFrame:
 def day_splits(bounds: DataFrame, train_days: int = 180, test_days: int = 30, step_days: int = 30) -> DataFrame:
     """Rolling train/test windows over the whole date range of `bounds` (file_year, first_date, last_date).
 
-    When the range is shorter than one window there is a single split with open dates over all years.
+    Windows without a year's bars in train or test are left out before splits are numbered, so ids have no holes. When the range
+    is shorter than one window there is a single split with open dates over all years.
     """
     window = train_days + test_days
     # One row per calendar year is left before the array is collected, so it stays tiny.
@@ -39,6 +40,11 @@ def day_splits(bounds: DataFrame, train_days: int = 180, test_days: int = 30, st
     span = span.withColumn("_days", F.datediff("_end", "_start") + 1)
     offsets = F.when(F.col("_days") >= window, F.sequence(F.lit(0), F.col("_days") - window, F.lit(step_days))).otherwise(
         F.array(F.lit(None).cast("int")))
+
+    def busy(offset, start, end):
+        return F.exists("_years", lambda y: (y["l"] >= F.date_add("_start", offset + start)) & (y["f"] < F.date_add("_start", offset + end)))
+
+    offsets = F.filter(offsets, lambda o: o.isNull() | (busy(o, 0, train_days) & busy(o, train_days, window)))
     splits = (span.select("_start", "_years", F.posexplode(offsets).alias("split_id", "_offset"))
               .select("split_id", "_years", F.date_add("_start", F.col("_offset")).alias("train_start"),
                       F.date_add("_start", F.col("_offset") + train_days).alias("train_end"),

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,16 +143,37 @@ def file_bounds(df: DataFrame) -> DataFrame:
     return df.groupBy("file_year").agg(F.to_date(F.min("ts_event")).alias("first_date"), F.to_date(F.max("ts_event")).alias("last_date"))
 
 
-def build_manifest(spark: SparkSession, root: str, audit: DataFrame | None = None, with_hash: bool = True) -> DataFrame:
+def file_hashes(spark: SparkSession, root: str, whole_bytes: int = INSPECTED_BYTES, range_bytes: int = 8 << 20) -> DataFrame:
+    """(path, sha256) of the bar files. Files up to `whole_bytes` are hashed as one value, which Spark limits to 2 GB.
+
+    A longer file is read by a task of its own in ranges of `range_bytes`, through the file system that Arrow has for its path,
+    so no task holds more than a range and no size is excluded.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                local = re.sub("^file:/+", "/", path)
+                system, inside = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with system.open_input_file(inside) as stream:
+                    for start in range(0, stream.size(), range_bytes):
+                        digest.update(stream.read_at(min(range_bytes, stream.size() - start), start))
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()])], ["path", "sha256"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9][0-9][0-9][0-9].parquet").load(f"{root}/*")
+    whole = files.filter(F.col("length") <= whole_bytes).select("path", F.sha2("content", 256).alias("sha256"))
+    long = files.filter(F.col("length") > whole_bytes).select("path").repartition("path")
+    return whole.unionByName(long.mapInArrow(task, "path string, sha256 string"))
+
+
+def build_manifest(spark: SparkSession, root: str, audit: DataFrame | None = None, with_hash: bool = True, whole_bytes: int = INSPECTED_BYTES) -> DataFrame:
     """Audit manifest: path, market, year, size, modification time, SHA-256, row count, time bounds, audit status.
 
-    Hashing reads each file as one binary value, which Spark limits to 2 GB; `with_hash=False` skips it.
+    `whole_bytes` as in `file_hashes`; `with_hash=False` leaves the hash out.
     """
     files = list_files(spark, root)
     if with_hash:
-        hashed = (spark.read.format("binaryFile").option("pathGlobFilter", "[0-9][0-9][0-9][0-9].parquet").load(f"{root}/*")
-                  .select("path", F.sha2("content", 256).alias("sha256")))
-        files = files.join(hashed, "path")
+        files = files.join(file_hashes(spark, root, whole_bytes), "path")
     else:
         files = files.withColumn("sha256", F.lit(None).cast("string"))
     rows = (read_bars(spark, root).groupBy("symbol", "file_year")
