@@ -202,8 +202,33 @@ def test_simhash_tree_finds_every_pair(spark, blocks):
 def test_one_of_each(odd, none):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] or -1 for r in rows(kept)) == [-1, 1, 4, 6, 7]
-    assert simhash.near_duplicates(none).count() == 0
+    assert sorted(r["doc_id"] or -1 for r in rows(kept)) == [1, 4, 6, 7]  # the row without an id has the text of 7
+    assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
+
+
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    """A doc_id on different texts, copies without an id, rows repeated whole: every text keeps one row, that of the least id."""
+    a, b, c, d = ("the cat sat on the mat and slept", "seven ships left the port at dawn", "rain fell over the quiet hills", "a lone text")
+    own = [(1, a, "x"), (1, b, "x"), (2, a, "x"), (None, a, "x"), (None, c, "y"), (None, c, "x"), (3, b, "x"), (1, a, "x"), (1, a, "w"), (None, d, None)]
+    kept = simhash.one_of_each(spark.createDataFrame(own, "doc_id long, text string, row string"))
+    assert sorted((r["text"], r["doc_id"] or -1, r["row"] or "") for r in rows(kept)) == sorted([(a, 1, "w"), (b, 1, "x"), (c, -1, "x"), (d, -1, "")])
+
+
+def test_one_of_each_stands_for_every_text(spark):
+    """Every row lies in the component of a kept row, and no component keeps two, ids drawn with many repeats."""
+    rng = random.Random(5)
+    pool = [" ".join(rng.choices("red green blue sun moon star".split(), k=rng.randint(1, 12))) for _ in range(60)]
+    own = [(rng.choice([None, *range(12)]), rng.choice(pool)) for _ in range(400)]
+    got = [(r["doc_id"], r["text"]) for r in rows(simhash.one_of_each(spark.createDataFrame(own, "doc_id long, text string")))]
+    texts = sorted({t for _, t in own})
+    bits = np.array([simhash.fingerprint(t) for t in texts], np.uint64)
+    left, right = np.nonzero(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 3)
+    group = dict(zip(texts, roots(len(texts), left, right).tolist()))
+    want = {}
+    for i, t in own:
+        want[group[t]] = min(want.get(group[t], (True, 0)), (i is None, i or 0))
+    assert sorted(group[t] for _, t in got) == sorted(want)
+    assert all(want[group[t]] == (i is None, i or 0) and (i, t) in own for i, t in got)
 
 
 # ---- tokens

@@ -13,14 +13,14 @@ unless no other id is in it; other columns are ignored, whatever their names; an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import BLOCK_ROWS, components, keep_rows, roots, runs, text_of, written
@@ -52,15 +52,17 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, also: Sequence[Column] = ()) -> DataFrame:
+    """(doc_id, fp, k0, k1 ...): the fingerprint as a signed 64-bit number, and the long columns `also`."""
+    keys = [f"k{i}" for i in range(len(also))]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps), *[batch[k] for k in keys]], ["doc_id", "fp", *keys])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(task, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), *[c.alias(k) for c, k in zip(also, keys)])
+    return rows.mapInArrow(task, ", ".join(f"{c} long" for c in ["doc_id", "fp", *keys]))
 
 
 def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -202,28 +204,36 @@ def near_links(fps: DataFrame, reach: int = RADIUS, sample: int = SAMPLE, leaf_r
     return _dealt(visits, home_rows, guest_rows).mapInArrow(compare, "a long, b long").filter(F.col("a") != F.col("b")).distinct()
 
 
+def _labelled(fps: DataFrame, reach: int) -> DataFrame:
+    """(fp, rep, label): each distinct fingerprint, its least doc_id and the component it is in."""
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    labels = components(near_links(classes, reach), "simhash-components")
+    return classes.join(labels, classes.fp == labels.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, reach: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; component_id is the least doc_id reachable by links."""
     fps = written(with_fingerprints(docs, words), "simhash-fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    labels = components(near_links(classes, reach), "simhash-components")
-    named = (classes.join(labels, classes.fp == labels.node, "left")
-             .select("fp", "rep", F.coalesce("label", "fp").alias("label")))
+    named = _labelled(fps, reach)
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     return (fps.join(named.join(least, "label").select("fp", "component_id"), "fp")
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates (of repeated rows of it, one), in the columns
-    of `docs`. Rows without a doc_id name no document that could stand for them, and stay."""
-    from pyspark.sql import Window
+def one_of_each(docs: DataFrame, reach: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of each group of near-duplicates, in the columns of `docs`: that with the least doc_id, a null one last.
 
-    groups = near_duplicates(docs)
-    chosen = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    kept = packed.join(chosen, "doc_id", "left_semi")
-    once = (kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.to_json("row"))))
-            .filter(F.col("_n") == 1))
-    return once.select("row.*").unionAll(packed.filter(F.col("doc_id").isNull()).select("row.*"))
+    Rows are told apart by doc_id and two 64-bit hashes of the whole text, so where a doc_id repeats with different texts
+    each text is judged by its own group. Of rows alike in both, the first by JSON stays.
+    """
+    hashes = [F.xxhash64(F.lit(k), text_of()) for k in range(2)]
+    fps = written(with_fingerprints(docs, words, hashes), "simhash-rows")
+    best = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "k0", "k1")).alias("best"))
+    chosen = best.join(_labelled(fps, reach), "fp").groupBy("label").agg(F.min("best").alias("best")).select("best.*")
+    key = F.col("doc_id").cast("long")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.isNull().alias("none"),
+                         F.coalesce(key, F.lit(0)).alias("id"), *[h.alias(f"k{k}") for k, h in enumerate(hashes)])
+    same = ["none", "id", "k0", "k1"]
+    return (packed.join(chosen, same, "left_semi")
+            .withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(F.to_json("row"))))
+            .filter(F.col("_n") == 1).select("row.*"))
