@@ -115,8 +115,12 @@ def test_two_kinds_of_trades(spark):
 
 
 def test_t_distribution_and_spearman(spark):
-    assert metrics.t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-8)
-    assert metrics.t_two_sided(0.0, 5) == pytest.approx(1.0)
+    cases = [(2.228138851964939, 10.0, 0.05), (0.0, 5.0, 1.0), (1.0, 1.0, 0.5), (-1.0, 1.0, 0.5), (2.0, 2.0, 1 - 2 / math.sqrt(6)), (math.sqrt(2), 2.0, 1 - 1 / math.sqrt(2)),
+             (30.0, 2.0, 1 - 30 / math.sqrt(902)), (3.0, 3.0, 1 - 2 / math.pi * (math.atan(math.sqrt(3)) + math.sqrt(3) / 4)), (1e150, 4.0, 0.0),
+             (1.959963984540054, 1e12, 0.05), (6.0, 1e12, math.erfc(6 / math.sqrt(2))), (0.5, 1e7, math.erfc(0.5 / math.sqrt(2)))]
+    got = [r["p"] for r in spark.createDataFrame(cases, "t double, df double, want double").select(metrics.t_two_sided(F.col("t"), F.col("df")).alias("p")).collect()]
+    assert got == [pytest.approx(want, rel=1e-6, abs=1e-14) for _, _, want in cases]
+    assert spark.sql("select double('nan') t, 5D df union all select null, 5D union all select 1D, null").select(metrics.t_two_sided(F.col("t"), F.col("df")).alias("p")).distinct().collect() == [(None,)]
     df = spark.createDataFrame([("a", float(x), float(y)) for x, y in ((1, 2), (2, 1), (3, 4), (4, 3), (5, 5))], "symbol string, x double, y double")
     row = metrics.spearman(df, "x", "y").first()
     assert row["spearman_ic"] == pytest.approx(0.8) and row["spearman_ic_pvalue"] == pytest.approx(0.104088, abs=1e-6)

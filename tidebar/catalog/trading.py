@@ -172,9 +172,19 @@ def spearman(spark, sf):
     return ic.select("symbol", "spearman_n", r("spearman_ic").alias("spearman_ic"))
 
 
-@query("spearman_pvalue", None)
+# Simpson's rule on the density in u, t = sqrt(df) tan(u), in 20,000 steps from atan(t / sqrt(df)) to where it is below exp(-60) of its height
+SIMPSON = ("list_sum(list_transform(range(0, 20001), lambda k: (CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * "
+           "exp((n - 3) * ln(cos(u + least(acos(-1) / 2 - 1e-9 - u, sqrt(120 / greatest(n - 3, 1))) * k / 20000)))))"
+           " * least(acos(-1) / 2 - 1e-9 - u, sqrt(120 / greatest(n - 3, 1))) / 60000")
+
+
+@query("spearman_pvalue", with_(*BACKTEST, SPEARMAN, "si AS (SELECT symbol, count(*) AS n, corr(ax, ay) AS rho FROM rk GROUP BY symbol)",
+                                "su AS (SELECT *, atan(abs(rho) / sqrt(1 - rho * rho)) AS u FROM si)")
+       + f"SELECT symbol, n AS spearman_n, {rs('rho')} AS spearman_ic, {rs(f'2 / sqrt(acos(-1)) * exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) * {SIMPSON}')} AS spearman_ic_pvalue FROM su")
 def spearman_pvalue(spark, sf):
-    return metrics.information_coefficient(backtest(spark, sf))
+    """Checked against the density integrated by Simpson's rule, its height from the gamma function."""
+    ic = metrics.information_coefficient(backtest(spark, sf))
+    return ic.select("symbol", "spearman_n", r("spearman_ic").alias("spearman_ic"), r("spearman_ic_pvalue").alias("spearman_ic_pvalue"))
 
 
 @query("metrics_report", with_(*BACKTEST, PATHS) + f"SELECT symbol, {rs('sum(gross)', 3)} AS gross_total_pnl, {rs('sum(gross) - sum(pnl)', 3)} AS cost_drag, {rs('min(prob)')} AS pred_min, {rs('avg(prob)')} AS pred_mean, "

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,33 +125,33 @@ def trade_metrics(paths: DataFrame, keys: Sequence[str], blocks: Blocks) -> Data
                     (F.coalesce("_avg_win", zero) / (F.abs(F.coalesce("_avg_loss", zero)) + TINY)).alias("ratio_avg_win_loss")))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (Lentz)."""
-    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    value = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            c = 1.0 + num / c
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            value *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return value
-
-
-def t_two_sided(t: float, df: float) -> float:
-    """Two-sided p-value of Student's t."""
-    a, b, x = df / 2.0, 0.5, df / (df + t * t)
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1.0 - x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+T_NODES, T_DECAY = 64, 45.0
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t with `df` >= 1 degrees of freedom, as a column.
+
+    With t = sqrt(df) tan(u) the density is cos(u)^(df - 1) up to a constant, so the value is the integral from u to the right angle over
+    that from 0. Gauss-Legendre nodes cover the stretch in which the integrand falls by exp(-T_DECAY); small values keep their relative
+    precision, as the first factor is taken out. NULL where an argument is NULL or t is not a number.
+    """
+    nodes, weights = np.polynomial.legendre.leggauss(T_NODES)
+    table = F.array(*[F.struct(F.lit(float((1 + x) / 2)).alias("x"), F.lit(float(w / 2)).alias("w")) for x, w in zip(nodes, weights)])
+    power, right = df - 1.0, math.pi / 2
+
+    def log_cos(u: Column) -> Column:
+        return F.when(u > 1.0, F.log(F.cos(u))).otherwise(F.log1p(-F.sin(u) * F.sin(u)) / 2.0)
+
+    def tail(u: Column) -> Column:
+        """Integral of (cos(v) / cos(u))^power over v from u."""
+        reach = 2 * T_DECAY / F.greatest(power, F.lit(1e-9))
+        slope = F.tan(u)
+        width = F.least(right - u, reach / (slope + F.sqrt(slope * slope + reach)))
+        return F.aggregate(table, F.lit(0.0), lambda acc, n: acc + n["w"] * F.exp(power * (log_cos(u + width * n["x"]) - log_cos(u)))) * width
+
+    u = F.atan2(F.abs(t), F.sqrt(df))
+    value = F.exp(power * log_cos(u)) * tail(u) / tail(F.lit(0.0))
+    return F.when(t.isNotNull() & df.isNotNull() & ~F.isnan(t), F.when(u >= right, 0.0).otherwise(F.least(value, F.lit(1.0))))
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ("symbol",), pvalue: bool = True, **limits) -> DataFrame:
@@ -165,13 +166,7 @@ def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ("symbol",), p
     if pvalue:
         n = F.col("spearman_n")
         t = F.col("spearman_ic") * F.sqrt((n - 2) / F.greatest(F.lit(1e-300), 1.0 - F.col("spearman_ic") ** 2))
-
-        @F.pandas_udf("double")
-        def p_value(t, n):
-            return (t.combine(n, lambda a, b: None if a is None or math.isnan(a) or b < 3 else t_two_sided(a, b - 2.0))
-                    .astype("float64"))
-
-        out = out.withColumn("spearman_ic_pvalue", p_value(t, n.cast("double")))
+        out = out.withColumn("spearman_ic_pvalue", F.when(n >= 3, t_two_sided(t, F.greatest(n - 2, F.lit(1)).cast("double"))))
     return out.drop("_rho")
 
 
