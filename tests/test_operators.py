@@ -2,11 +2,12 @@ import math
 import random
 from datetime import timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import BAR_SCHEMA, make_bars, records, utc
-from tidebar.operators import (audit, calendars, contracts, discovery, engine, execution, metrics, modelling, prepare, regime, risk, sessions,
+from tidebar.operators import (audit, calendars, contracts, discovery, engine, execution, extra_trees, metrics, modelling, prepare, regime, risk, sessions,
                                splits, targets)
 from tidebar.sources import bars as io
 from tidebar.sources.dimensions import market_dim, session_dim, unknown_symbols, with_multiplier
@@ -488,6 +489,69 @@ def test_discovery_finds_the_driver(spark):
     assert out["feature_names"][0] == "feature_a" and out["features_hash"].startswith("sha256:")
 
 
+def grown_by_hand(x, y, w, seed, fold, trees, depth, share):
+    """Importances of one fold by recursion over whole arrays."""
+    n = x.shape[1]
+    most, out, grown = max(1, int(share * n)), np.zeros(n), 0
+
+    def grow(own, tree, node, level, gains):
+        if level == depth or not len(own):
+            return
+        order, u = extra_trees.node_draws(seed, fold, tree, node, n)
+        best = None
+        for f, draw in [(f, d) for f, d in zip(order, u) if x[w > 0, f].min() < x[w > 0, f].max()][:most]:
+            lo, hi = x[own, f].min(), x[own, f].max()
+            if lo == hi:
+                continue
+            cut = lo + draw * (hi - lo)
+            cut = lo if cut >= hi else cut
+            sides = [own[x[own, f] <= cut], own[x[own, f] > cut]]
+
+            def error(rows_):
+                return float((w[rows_] * (y[rows_] - np.average(y[rows_], weights=w[rows_])) ** 2).sum())
+
+            gain = error(own) - error(sides[0]) - error(sides[1])
+            if best is None or gain > best[0] + 1e-12:
+                best = gain, f, sides
+        if best is not None:
+            gains[best[1]] += best[0]
+            gains[n] = 1
+            for k, side in enumerate(best[2]):
+                grow(side, tree, 2 * node + 1 + k, level + 1, gains)
+
+    for tree in range(trees):
+        gains = np.zeros(n + 1)
+        grow(np.flatnonzero(w > 0), tree, 0, 0, gains)
+        grown += gains[n]
+        out += gains[:n] / max(gains[:n].sum(), 1e-300)
+    out /= max(grown, 1)
+    return out / max(out.sum(), 1e-300)
+
+
+def test_extra_trees_against_recursion(spark):
+    """Ties, a constant feature, unused rows; the same trees whatever the partitions."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=500), rng.integers(0, 3, 500), np.full(500, 7.0), rng.normal(size=500) ** 3, 1e6 + rng.random(500)])
+    y = 2 * x[:, 0] + (x[:, 1] == 1) + rng.normal(size=500) * 0.1
+    w = rng.poisson(1.0, (500, 2)).astype(float)
+    names = [f"x{i}" for i in range(5)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in np.column_stack([y, x, w])], ", ".join(f"{c} double" for c in ["_y", *names, "w0", "w1"]))
+    for parts in (1, 7):
+        got, sign = extra_trees.importances(df.repartition(parts), names, ["w0", "w1"], trees=6, depth=4, feature_share=0.6, seed=9)
+        want = np.array([grown_by_hand(x, y, w[:, f], 9, f, 6, 4, 0.6) for f in range(2)])
+        assert got == pytest.approx(want, abs=1e-9) and got[:, 0].min() > 0.5 and (got[:, 2] == 0).all()
+        cov = [[0.0 if i == 2 else np.sign(np.cov(x[:, i], y, aweights=w[:, f])[0, 1]) for i in range(5)] for f in range(2)]
+        assert sign.tolist() == cov
+
+
+def test_extra_trees_on_little(spark):
+    """No rows, one row, a target that never changes, a weight of zero for all rows: zeros, or shares that are finite."""
+    cols = "_y double, x0 double, x1 double, w0 double"
+    for rows_ in ([], [(1.0, 2.0, 3.0, 1.0)], [(1.0, 2.0, 3.0, 0.0), (2.0, 5.0, 3.0, 0.0)], [(1.0, float(i), 0.0, 1.0) for i in range(9)]):
+        got, sign = extra_trees.importances(spark.createDataFrame(rows_, cols), ["x0", "x1"], ["w0"], trees=3, depth=3)
+        assert (got == 0).all() and (sign == 0).all()
+
+
 def test_bootstrap_weights_are_poisson(spark):
     w = spark.range(20000).select(discovery.bootstrap_weight(42, 0, F.col("id")).alias("w"))
     mean, var = w.select(F.avg("w"), F.variance("w")).first()

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.columns import is_finite
+from tidebar.operators import extra_trees
 from tidebar.operators.baseline import BASELINE_FEATURES
 from tidebar.operators.engine import NUMERIC, is_metadata
 from tidebar.operators.splits import recent_days, train_window
 from tidebar.plans.blocks import Blocks, measure, positions
+from tidebar.plans.checkpoints import scratch_path
 
 FROZEN_PREFIXES = ("feature_", "ratio_", "pair_", "zscore", "cross_", "htf_", "1h_", "daily_")
 ESSENTIAL = ("symbol", "ts_event", "open", "high", "low", "close", "volume", "session_id", "regime")
@@ -59,29 +61,21 @@ def bootstrap_weight(seed: int, fold: int, *row_key) -> Column:
 
 def fold_importances(df: DataFrame, features: Sequence[str], target: str = "target_15m_ret", folds: int = 3, trees: int = 50,
                      depth: int = 4, feature_share: float = 0.3, seed: int = 42) -> DataFrame:
-    """(feature, fold, importance, sign): one weighted MLlib forest and one correlation aggregate per fold.
+    """(feature, fold, importance, sign): extra-trees of all folds grown together over bootstrap weights.
 
-    MLlib forests search the best threshold where extra-trees draw one at random, so importances differ from
-    those of an extra-trees model; selection works on them in the same way.
+    Rows with a finite target count; other values that are not finite are 0. The rows are written once and read 2 * depth + 2 times.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
     features = list(features)
     spark = df.sparkSession
-    clean = df.filter(is_finite(F.col(target))).select("symbol", "ts_event", F.col(target).cast("double").alias("_y"),
-                                                       *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in features])
-    rows = []
-    for fold in range(folds):
-        weighted = clean.withColumn("_w", bootstrap_weight(seed, fold, "symbol", "ts_event")).filter(F.col("_w") > 0)
-        assembled = VectorAssembler(inputCols=features, outputCol="_x").transform(weighted)
-        model = RandomForestRegressor(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=depth,
-                                      featureSubsetStrategy=str(feature_share), bootstrap=False, seed=seed + fold).fit(assembled)
-        w, y = F.col("_w"), F.col("_y")
-        cov = [(F.sum(w * F.col(c) * y) - F.sum(w * F.col(c)) * F.sum(w * y) / F.sum(w)).alias(c) for c in features]
-        signs = weighted.agg(*cov).first()
-        rows += [(c, fold, float(model.featureImportances[i]), float((signs[c] > 0) - (signs[c] < 0)) if signs[c] is not None else 0.0)
-                 for i, c in enumerate(features)]
+    names = [f"x{i}" for i in range(len(features))]
+    weights = [f"w{i}" for i in range(folds)]
+    clean = df.filter(is_finite(F.col(target))).select(
+        F.col(target).cast("double").alias("_y"), *[F.when(is_finite(F.col(f"`{c}`")), F.col(f"`{c}`").cast("double")).otherwise(0.0).alias(x) for c, x in zip(features, names)],
+        *[bootstrap_weight(seed, i, "symbol", "ts_event").alias(w) for i, w in enumerate(weights)])
+    path = scratch_path(spark, "discovery-rows")
+    clean.write.parquet(path)
+    importance, sign = extra_trees.importances(spark.read.parquet(path), names, weights, trees, depth, feature_share, seed)
+    rows = [(c, fold, float(importance[fold, i]), float(sign[fold, i])) for fold in range(folds) for i, c in enumerate(features)]
     return spark.createDataFrame(rows, "feature string, fold int, importance double, sign double")
 
 
