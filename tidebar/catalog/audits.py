@@ -138,10 +138,10 @@ def missing_years(spark, sf):
     return audit.missing_years(raw_rows(spark, sf).filter(~F.col("file_year").isin(1997, 1999))).select("symbol", "year")
 
 
-@query("clean_rows", with_(RAW, TICKS_SQL, f"n AS (SELECT *, count(*) OVER (PARTITION BY {KEY}, ts) AS c FROM raw)", "t AS (SELECT n.*, CASE WHEN symbol = 'ES' THEN NULL ELSE tick * 1e-3 END AS tick FROM n LEFT JOIN tk USING (symbol))")
+@query("clean_rows", with_(RAW, TICKS_SQL, f"n AS (SELECT *, count(*) OVER (PARTITION BY {KEY}, ts) AS c FROM raw)", "t AS (SELECT n.*, tick * 1e-3 AS tick FROM n LEFT JOIN tk USING (symbol))")
        + f"SELECT {KEY}, {STAMP}, {rs('ln(close)')} AS log_close FROM t WHERE c = 1 AND high >= low AND high >= open AND high >= close AND low <= open AND low <= close AND low > 0 AND volume >= 0 AND NOT ({OFF})")
 def clean_rows(spark, sf):
-    ticks_ = spark.createDataFrame([(s, t * 1e-3) for s, t in AUDIT_TICKS.items() if s != "ES"], "symbol string, tick double")
+    ticks_ = spark.createDataFrame([(s, t * 1e-3) for s, t in AUDIT_TICKS.items()], "symbol string, tick double")
     return audit.clean_rows(raw_rows(spark, sf), ticks_).select("symbol", "file_year", stamp(), r(F.ln("close")).alias("log_close"))
 
 

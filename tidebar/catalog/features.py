@@ -246,7 +246,7 @@ def spread_analysis(spark, sf):
 def expanded_features(spark, sf):
     """Z-scores, regime, quantiles, moments, VWAP and interactions over return features in one pass."""
     df = baseline.add_baseline_features(weekly(spark, sf), ("returns", "momentum"))
-    out_df = expansion.expand_features(df, [*baseline.FAMILIES["returns"], *baseline.FAMILIES["momentum"]], pairwise=10)
+    out_df = expansion.expand_features(df, [*baseline.FAMILIES["returns"], *baseline.FAMILIES["momentum"]], pairwise=None)
     return out_df.select("symbol", stamp(), *[r(f"`{c}`").alias(c.replace(".", "_")) for c in out_df.columns if c not in ("symbol", "ts_event")])
 
 

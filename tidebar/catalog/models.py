@@ -135,8 +135,11 @@ def feature_selection(spark, sf):
 
 @query("discovery", None)
 def discover(spark, sf):
-    df = targets.add_target_15m(baseline.add_baseline_features(minutely(spark, sf), ("returns", "momentum")))
-    return discovery.discover(df, "2024-01-03", "2024-01-25", window_days=20, folds=2, trees=5, depth=3).select("feature_names", "selected_k", "frozen", "manifest_type")
+    """All baseline features at the operator's defaults, the window being the whole date range."""
+    bars = minutely(spark, sf)
+    start, end = bars.agg(F.min(F.to_date("ts_event")).cast("string"), F.date_add(F.max(F.to_date("ts_event")), 1).cast("string")).first()
+    df = targets.add_target_15m(baseline.add_baseline_features(bars))
+    return discovery.discover(df, start, end).select("feature_names", "selected_k", "frozen", "manifest_type")
 
 
 VZ = f"(volume - {roll('mean', 'volume', 20, 5, True)}) / ({roll('std', 'volume', 20, 5, True)} + 1e-9)"
