@@ -31,15 +31,40 @@ def variance_filter(df: DataFrame, features: Sequence[str], threshold: float = 1
     return kept or features
 
 
+#: Up to this many columns the pairs of columns are aggregates of one plan.
+AGGREGATE_COLUMNS = 8
+
+
+def _filled(df: DataFrame, columns: Sequence[str], keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Rows with all keys; the columns as doubles under `names`, null as 0."""
+    return df.filter(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))).select(
+        *keys, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(n) for c, n in zip(columns, names)])
+
+
+def _narrow_gram(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """`gram` by covariance aggregates."""
+    names = [f"_v{i}" for i in range(len(columns))]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = _filled(df, columns, keys, names).groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), *[F.avg(c).alias(f"_mean{c}") for c in names],
+        *[(F.var_pop(a) if a == b else F.covar_pop(a, b)).alias(f"_c{a}{b}") for a, b in pairs])
+    n = F.col("_n")
+    return sums.select(*keys, F.array(n, *[F.lit(0.0) for _ in names], *[F.col(f"_c{a}{b}") * n for a, b in pairs]).alias("gram"),
+                       F.array(*[F.col(f"_mean{c}") for c in names]).alias("centre"))
+
+
 def gram(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Per key the upper triangle of [1, x - c]'[1, x - c] as one array, and the means c as another.
 
-    Tasks reduce their rows as they lie to (count, means, co-moments about those means), one set per key, so the input is read
-    once, nothing is joined and a key with most of the rows is split like its input. Cells of the triangle are then merged by
-    Spark, each about its own mean, so sums of squares stay exact for values far from zero. The result is k*k numbers per key;
-    rows with a null key belong to no model.
+    Few columns are Spark's own covariance aggregates: one hash aggregate for any number of keys, combined in the tasks before
+    the shuffle, so a key with most of the rows is split like its input. For many columns tasks reduce their rows as they lie to
+    (count, means, co-moments about those means), one set per key, and cells of the triangle are merged by Spark, each about its
+    own mean. Either way the input is read once, nothing is joined and sums of squares stay exact for values far from zero. The
+    result is k*k numbers per key; rows with a null key belong to no model.
     """
     keys, columns = list(keys), list(columns)
+    if len(columns) <= AGGREGATE_COLUMNS:
+        return _narrow_gram(df, columns, keys)
     k = len(columns) + 1
     rows, cols = np.triu_indices(k)
     schema = T.StructType([df.schema[c] for c in keys] + [T.StructField("_pos", T.IntegerType())]
@@ -75,8 +100,7 @@ def gram(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFram
         yield from flush()
 
     names = [f"_v{i}" for i in range(len(columns))]
-    values = df.filter(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))).select(
-        *keys, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(n) for c, n in zip(columns, names)])
+    values = _filled(df, columns, keys, names)
     cell = Window.partitionBy(*keys, "_pos")
     near = {f"_near{c}": F.min(c).over(cell) for c in ("_left", "_right")}  # means of parts, taken from a point among them
     left, right = F.col("_left") - F.col("_near_left"), F.col("_right") - F.col("_near_right")
