@@ -19,6 +19,11 @@ def clip(x: Column, lo, hi) -> Column:
     return F.when(x > F.lit(hi), F.when(F.isnan(x), x).otherwise(F.lit(hi))).when(x < F.lit(lo), F.lit(lo)).otherwise(x)
 
 
+def bound(x: Column, lo, hi) -> Column:
+    """Bound x to [lo, hi]; NULL stays NULL and NaN, above all numbers, becomes hi."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
+
+
 def floor_at(x: Column, lo=EPS) -> Column:
     """Raise x to at least lo; NULL stays NULL."""
     return F.when(x < F.lit(lo), F.lit(lo)).otherwise(x)
