@@ -29,7 +29,9 @@ def query(name: str, sql: str | None = None):
 
 
 def r(x: Column | str, digits: int = DIGITS) -> Column:
-    return F.round(F.col(x).cast("double") if isinstance(x, str) else x.cast("double"), digits)
+    """Rounded as SQL does it: the scaled double to a whole number, halves away from zero, and scaled back."""
+    x, scale = (F.col(x) if isinstance(x, str) else x).cast("double"), F.lit(10.0 ** digits)
+    return F.round(x * scale, 0) / scale
 
 
 def stamp(c: str = "ts_event") -> Column:

@@ -104,6 +104,16 @@ def trim(df: DataFrame) -> DataFrame:
     return df.filter("_own").drop("_block", "_own")
 
 
+def coarse(x: Column) -> Column:
+    """The part of a double that is a multiple of 2^-20. Sums of such parts below 2^33 have no rounding, those of the rest next to none."""
+    return F.rint(x * F.lit(2.0 ** 20)) / F.lit(2.0 ** 20)
+
+
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles with one rounding, in any order of rows."""
+    return F.sum(coarse(x)) + F.sum(x - coarse(x))
+
+
 _LOCAL = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
 
 
@@ -120,9 +130,16 @@ def carry(df: DataFrame, blocks: Blocks, specs: dict[str, tuple[str, Column]], o
           ts: str = TS) -> DataFrame:
     """Running aggregates from the start of each key.
 
-    `specs` maps an output name to (how, expression); how is ``sum``, ``max``, ``min`` or ``last`` (last
-    non-null value, i.e. forward fill).
+    `specs` maps an output name to (how, expression); how is ``sum``, ``exact`` (the sum of doubles with one
+    rounding, whatever the blocks), ``max``, ``min`` or ``last`` (last non-null value, i.e. forward fill).
     """
+    exact = {name: x for name, (how, x) in specs.items() if how == "exact"}
+    if exact:
+        parts = {name: spec for name, spec in specs.items() if name not in exact}
+        for name, x in exact.items():
+            parts |= {name: ("sum", coarse(x)), f"_fine{name}": ("sum", x - coarse(x))}
+        return (carry(df, blocks, parts, order, ts).withColumns({name: F.col(name) + F.col(f"_fine{name}") for name in exact})
+                .drop(*[f"_fine{name}" for name in exact]))
     order = tuple(order) or (ts,)
     if blocks.cells is None:
         running = (Window.partitionBy(*blocks.keys).orderBy(*order)
