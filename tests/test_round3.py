@@ -114,3 +114,35 @@ def test_rounding_is_that_of_sql(spark):
     values = [0.0000005, -0.5631895, -0.5631894999999999, 1.0000015, 2.5e-7, -2.5, 1e15 + 0.3, 12345.6789015, math.inf, 0.0, None]
     got = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").select(r("v")).collect()]
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+
+
+def _labelled_rows(spark):
+    n = F.col("id")
+    x = spark.range(900).select(F.concat(F.lit("S"), n % 6).alias("symbol"), F.sin(n * 0.7).alias("a"), F.cos(n * 1.3).alias("b"), n)
+    return x.withColumn("y", ((F.col("a") + F.sin(n * 2.1) > 0.2) & (F.col("symbol") != "S5")).cast("double"))
+
+
+@pytest.mark.parametrize("local_rows", [0, 149, 10_000])
+def test_logistic_of_short_and_long_keys(spark, local_rows):
+    """Short keys take all steps in one task; before, every step of every key was part of a job."""
+    df = _labelled_rows(spark).filter((F.col("symbol") != "S4") | (F.col("id") < 300))
+    want = {r["symbol"]: [*r["coefficients"], r["intercept"]] for r in modelling.logistic_fit(df, ["a", "b"], "y", ["symbol"], local_rows=10_000).collect()}
+    got = {r["symbol"]: [*r["coefficients"], r["intercept"]] for r in modelling.logistic_fit(df, ["a", "b"], "y", ["symbol"], local_rows=local_rows).collect()}
+    assert got.keys() == {f"S{i}" for i in range(6)} and got["S5"] == [0.0, 0.0, math.log(0.05 / 0.95)]
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-8)
+
+
+def test_short_keys_take_no_job_a_step(spark):
+    plan = modelling.logistic_fit(_labelled_rows(spark), ["a", "b"], "y", ["symbol"])._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_robust_statistics_of_small_and_large_keys(spark):
+    df = _labelled_rows(spark).withColumns({"flat": F.lit(1.0), "far": F.when(F.col("id") % 7 > 0, F.col("a") * 40)})
+    columns = ["a", "flat", "far"]
+    small, large = ({r["symbol"]: r for r in modelling.robust_stats(df, columns, ["symbol"], group_rows=n).collect()} for n in (1_000_000, 50))
+    assert small.keys() == large.keys()
+    for k in small:
+        assert small[k]["scales"][1] == 0.0
+        assert small[k]["medians"] == pytest.approx(large[k]["medians"]) and small[k]["scales"] == pytest.approx(large[k]["scales"])

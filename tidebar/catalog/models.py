@@ -8,6 +8,7 @@ from tidebar.catalog.registry import STAMP, lag, lead, out, over, query, r, roll
 from tidebar.catalog.trading import SETTINGS, backtest, markets
 from tidebar.catalog.views import HOURLY, MINUTELY, WEEKLY, hourly, minutely, weekly
 from tidebar.operators import baseline, discovery, modelling, regime, sessions, splits, targets
+from tidebar.plans.checkpoints import checkpointed
 
 COLS = ("open", "high", "low", "close", "volume")
 
@@ -84,7 +85,9 @@ def _labelled(spark, sf):
     """Weekly bars with a few features and the forward label, split in two bar folds per supplier."""
     df = baseline.add_baseline_features(weekly(spark, sf), ("returns", "momentum", "volume"))
     df = targets.drop_incomplete_target(targets.add_target_15m(df))
-    return splits.assign_folds(df, splits.bar_folds(df, 100, 40))
+    folds = splits.assign_folds(df, splits.bar_folds(df, 100, 40))
+    # Several jobs read the folds (statistics, fit, test), so their lineage is cut once.
+    return checkpointed(folds.select("symbol", "split_id", "role", "ts_event", *FEATURES, "target_15m_ret"))
 
 
 FEATURES = ("ret_1", "ret_5", "mom_10", "volume_ratio_15", "volume_log")

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from tidebar.operators.splits import assign_folds, bar_folds, check_predictions,
 from tidebar.operators.targets import add_meta_label
 from tidebar.plans.blocks import Blocks, _small, measure, positions
 from tidebar.plans.checkpoints import checkpointed
-from tidebar.plans.order_stats import exact_quantiles
+from tidebar.plans.order_stats import GROUP_ROWS, exact_quantiles, largest_group
 
 
 def variance_filter(df: DataFrame, features: Sequence[str], threshold: float = 1e-9) -> list[str]:
@@ -167,19 +168,34 @@ def correlation_prune(df: DataFrame, features: Sequence[str], threshold: float =
 def robust_stats(train: DataFrame, features: Sequence[str], keys: Sequence[str], min_variance: float = 1e-8, **limits) -> DataFrame:
     """Per key arrays of feature medians and inverse interquartile ranges (floored at 0.01).
 
-    Features are unpivoted so each (key, feature) is its own group for the exact quantile. A feature with
-    (almost) no variance in a key gets scale 0, which takes it out of that key's model, unless none varies.
+    While the largest key holds few values, counted first, one aggregate per key gives all features. Above that, features are
+    unpivoted so each (key, feature) is its own group for the exact quantile. A feature with (almost) no variance in a key gets
+    scale 0, which takes it out of that key's model, unless none varies.
     """
     keys, features = list(keys), list(features)
+    if largest_group(train, keys) * len(features) <= limits.get("group_rows", GROUP_ROWS):
+        quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        sums = train.filter(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))).groupBy(*keys).agg(
+            *[F.percentile(bounded_input(F.col(f"`{c}`")), quarters).alias(f"_q{i}") for i, c in enumerate(features)],
+            *[F.var_pop(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))).alias(f"_v{i}") for i, c in enumerate(features)])
+        parts = [F.struct(F.col(f"_q{i}")[1].alias("m"), _scale(F.col(f"_q{i}")).alias("s"), F.col(f"_v{i}").alias("v")) for i in range(len(features))]
+        return _kept_scales(sums.select(*keys, F.array(*parts).alias("_f")), keys, min_variance)
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias("raw"),
                                          bounded_input(F.col(f"`{c}`")).alias("v")) for i, c in enumerate(features)]))
     long = train.select(*keys, cells.alias("_c")).select(*keys, F.col("_c.i").alias("_feature"), F.col("_c.v").alias("_x"), F.col("_c.raw").alias("_raw"))
     by = [*keys, "_feature"]
     q = exact_quantiles(long, by, "_x", (0.25, 0.5, 0.75), **limits)
     spread = long.groupBy(*by).agg(F.var_pop("_raw").alias("_var"))
-    scale = 1.0 / F.greatest(F.col("quantiles")[2] - F.col("quantiles")[0], F.lit(0.01))
-    arrays = (q.join(spread, by).select(*keys, "_feature", F.col("quantiles")[1].alias("m"), scale.alias("s"), F.col("_var").alias("v"))
+    arrays = (q.join(spread, by).select(*keys, "_feature", F.col("quantiles")[1].alias("m"), _scale(F.col("quantiles")).alias("s"), F.col("_var").alias("v"))
               .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_feature", "m", "s", "v"))).alias("_f")))
+    return _kept_scales(arrays, keys, min_variance)
+
+
+def _scale(quarters: Column) -> Column:
+    return 1.0 / F.greatest(quarters[2] - quarters[0], F.lit(0.01))
+
+
+def _kept_scales(arrays: DataFrame, keys: Sequence[str], min_variance: float) -> DataFrame:
     none_varies = ~F.exists("_f.v", lambda v: v > min_variance)
     kept = F.transform("_f", lambda f: F.when(none_varies | (f["v"] > min_variance), f["s"]).otherwise(F.lit(0.0)))
     return arrays.select(*keys, F.col("_f.m").alias("medians"), kept.alias("scales"))
@@ -247,21 +263,76 @@ def ridge_probabilities(train: DataFrame, test: DataFrame, features: Sequence[st
     return predicted.withColumn("prediction_prob", probability(F.col("_raw"), scale)).drop("_raw", *names)
 
 
+#: Keys of up to this many rows are fitted in one task each.
+LOCAL_ROWS = 100_000
+#: Intercepts that stand for keys with one class, 0 or 1.
+ONE_CLASS = (math.log(0.05 / 0.95), math.log(0.95 / 0.05))
+
+
+def _logistic_sums(x: np.ndarray, y: np.ndarray, trial: np.ndarray) -> np.ndarray:
+    """Loss, gradient and upper triangle of the curvature at a trial point; the last column of x is one."""
+    z = x @ trial
+    p = np.exp(-np.logaddexp(0.0, -z))
+    return np.concatenate([[np.sum(np.logaddexp(0.0, z) - y * z)], x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x)[np.triu_indices(x.shape[1])]])
+
+
+def _newton_step(sums, trial, best, way, scale: float, before: float, penalty: np.ndarray, tolerance: float) -> tuple:
+    """The next (trial, best, way, scale, loss, done): half the step if the trial raised the loss, else a step from there."""
+    k = len(penalty)
+    now = sums[0] + 0.5 * penalty @ (trial * trial)
+    if now > before + 1e-12 * abs(before):
+        return best + 0.5 * scale * way, best, way, 0.5 * scale, before, 0.5 * scale < 1e-9
+    curvature = _square_of(sums[1 + k:], k) + np.diag(penalty)
+    way = -np.linalg.lstsq(curvature, sums[1:1 + k] + penalty * trial, rcond=None)[0]
+    return trial + way, trial, way, 1.0, now, bool(np.max(np.abs(way)) <= tolerance * (1.0 + np.max(np.abs(trial))))
+
+
+def _logistic_local(rows: DataFrame, keys: list[str], names: list[str], penalty: np.ndarray, max_steps: int, tolerance: float) -> DataFrame:
+    """`logistic_fit` of keys whose rows fit in one task."""
+    k = len(penalty)
+    weights = [f"_w{i}" for i in range(k)]
+
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
+        y = table["_y"].to_numpy()
+        best = np.zeros(k)
+        if y.mean() <= 0 or y.mean() >= 1:
+            best[-1] = ONE_CLASS[int(y.mean() >= 1)]
+        else:
+            x = np.column_stack([*[table[c].to_numpy() for c in names], np.ones(len(y))])
+            trial, way, scale, loss, done, steps = best, best, 1.0, math.inf, False, 0
+            while not done and steps < max_steps:
+                trial, best, way, scale, loss, done = _newton_step(_logistic_sums(x, y, trial), trial, best, way, scale, loss, penalty, tolerance)
+                steps += 1
+        return pa.table({**{c: pa.array([v.as_py()], v.type) for c, v in zip(keys, key)}, **{c: pa.array([v]) for c, v in zip(weights, best)}})
+
+    schema = T.StructType([rows.schema[c] for c in keys] + [T.StructField(c, T.DoubleType()) for c in weights])
+    fitted = rows.groupBy(*keys).applyInArrow(fit, schema)
+    return fitted.select(*keys, F.array(*weights[:-1]).alias("coefficients"), F.col(weights[-1]).alias("intercept"))
+
+
 def logistic_fit(train: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], alpha: float = 1.0,
-                 max_steps: int = 50, tolerance: float = 1e-9) -> DataFrame:
-    """Per key logistic coefficients (penalty alpha / 2 on squared coefficients, intercept free) by Newton steps, all keys at once.
+                 max_steps: int = 50, tolerance: float = 1e-9, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """Per key logistic coefficients (penalty alpha / 2 on squared coefficients, intercept free) by Newton steps.
 
-    A step is one job: tasks sum loss, gradient and curvature of their rows at each key's trial point, Spark adds the parts, and
+    Keys of up to `local_rows` rows, counted first, take all their steps in one task each. The other keys step together, one job
+    a step: tasks sum loss, gradient and curvature of their rows at each key's trial point, Spark adds the parts, and
     every key takes its next step or halves a step that raised its loss. Keys that have converged leave the later steps. The label
     is 0 or 1; null features and labels count as 0. A key with one class has no coefficients, its intercept stands for a
     probability of 0.05 or 0.95. Without a penalty separable classes have no optimum; the best point of the last step is returned.
     """
     keys, k = list(keys), len(features) + 1
-    upper = np.triu_indices(k)
     names = [f"_v{i}" for i in range(k - 1)]
+    penalty = np.append(np.full(k - 1, float(alpha)), 0.0)
     rows = checkpointed(train.filter(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))).select(
         *keys, F.coalesce(F.col(f"`{label}`").cast("double"), F.lit(0.0)).alias("_y"),
         *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(n) for c, n in zip(features, names)]))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > local_rows).select(*keys)
+    n_long = sizes.count()
+    if not n_long:
+        return _logistic_local(rows, keys, names, penalty, max_steps, tolerance)
+    long_keys = _small(sizes, n_long)
+    local = _logistic_local(rows.join(long_keys, keys, "left_anti"), keys, names, penalty, max_steps, tolerance)
+    rows = rows.join(long_keys, keys, "left_semi")
     schema = T.StructType([rows.schema[c] for c in keys] + [T.StructField("_pos", T.IntegerType()), T.StructField("_value", T.DoubleType())])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,9 +346,7 @@ def logistic_fit(train: DataFrame, features: Sequence[str], label: str, keys: Se
         for batch in batches:
             for key, group in batch.groupby(keys, sort=False):
                 x = np.column_stack([group[names].to_numpy(dtype=np.float64), np.ones(len(group))])
-                y, z = group["_y"].to_numpy(dtype=np.float64), x @ np.asarray(group["_trial"].iloc[0], dtype=np.float64)
-                p = np.exp(-np.logaddexp(0.0, -z))
-                part = np.concatenate([[np.sum(np.logaddexp(0.0, z) - y * z)], x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x)[upper]])
+                part = _logistic_sums(x, group["_y"].to_numpy(dtype=np.float64), np.asarray(group["_trial"].iloc[0], dtype=np.float64))
                 sums[key] = sums[key] + part if key in sums else part
             if len(sums) > 256:
                 yield from flush()
@@ -287,23 +356,14 @@ def logistic_fit(train: DataFrame, features: Sequence[str], label: str, keys: Se
 
     @F.pandas_udf(f"_trial {vector}, _best {vector}, _way {vector}, _scale double, _loss double, _done boolean")
     def step(cells: pd.Series, trial: pd.Series, best: pd.Series, way: pd.Series, scale: pd.Series, loss: pd.Series) -> pd.DataFrame:
-        penalty = np.append(np.full(k - 1, float(alpha)), 0.0)
-        out = []
-        for c, t, b, w, s, before in zip(cells, trial, best, way, scale, loss):
-            c, t, b, w = (np.asarray(v, dtype=np.float64) for v in (c, t, b, w))
-            now = c[0] + 0.5 * penalty @ (t * t)
-            if now > before + 1e-12 * abs(before):
-                out.append((b + 0.5 * s * w, b, w, 0.5 * s, before, 0.5 * s < 1e-9))
-                continue
-            curvature = _square_of(c[1 + k:], k) + np.diag(penalty)
-            w = -np.linalg.lstsq(curvature, c[1:1 + k] + penalty * t, rcond=None)[0]
-            out.append((t + w, t, w, 1.0, now, bool(np.max(np.abs(w)) <= tolerance * (1.0 + np.max(np.abs(t))))))
+        out = [_newton_step(*(np.asarray(v, dtype=np.float64) for v in (c, t, b, w)), s, before, penalty, tolerance)
+               for c, t, b, w, s, before in zip(cells, trial, best, way, scale, loss)]
         return pd.DataFrame(out, columns=["_trial", "_best", "_way", "_scale", "_loss", "_done"])
 
     fields = ("_trial", "_best", "_way", "_scale", "_loss")
     zero = F.array(*[F.lit(0.0)] * k)
     share = F.avg("_y")
-    one_class = F.when(share <= 0, math.log(0.05 / 0.95)).when(share >= 1, math.log(0.95 / 0.05))
+    one_class = F.when(share <= 0, ONE_CLASS[0]).when(share >= 1, ONE_CLASS[1])
     state = checkpointed(rows.groupBy(*keys).agg(one_class.alias("_fixed")).select(
         *keys, zero.alias("_trial"), F.concat(F.array(*[F.lit(0.0)] * (k - 1)).cast(vector), F.array(F.coalesce("_fixed", F.lit(0.0)))).alias("_best"), zero.alias("_way"),
         F.lit(1.0).alias("_scale"), F.lit(float("inf")).alias("_loss"), F.col("_fixed").isNotNull().alias("_done")))
@@ -318,7 +378,7 @@ def logistic_fit(train: DataFrame, features: Sequence[str], label: str, keys: Se
                 .select(*keys, F.col("_cells._value").alias("_sums")))
         moved = active.drop("_done").join(_small(sums, n), keys).withColumn("_step", step("_sums", *fields)).select(*keys, "_step.*")
         state = checkpointed(state.filter("_done").unionByName(moved))
-    return state.select(*keys, F.slice("_best", 1, k - 1).alias("coefficients"), F.element_at("_best", k).alias("intercept"))
+    return local.unionByName(state.select(*keys, F.slice("_best", 1, k - 1).alias("coefficients"), F.element_at("_best", k).alias("intercept")))
 
 
 def logistic_probabilities(train: DataFrame, test: DataFrame, features: Sequence[str], target: str,

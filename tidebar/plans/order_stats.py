@@ -19,7 +19,7 @@ from tidebar.plans.checkpoints import checkpointed
 GROUP_ROWS = 1_000_000
 
 
-def _largest(df: DataFrame, keys: Sequence[str]) -> int:
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
@@ -57,7 +57,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     """Linear-interpolated quantiles of the non-null values: (keys, `name` array<double> in the order of qs)."""
     keys = list(keys)
     df = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    largest = _largest(df, keys)
+    largest = largest_group(df, keys)
     if largest <= group_rows:
         return df.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(q) for q in qs])).alias(name))
 
@@ -88,7 +88,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str,
                   group_rows: int = GROUP_ROWS, buckets: int = 256) -> DataFrame:
     """Add the 1-based rank of `value` inside each key; ties share their mean rank."""
     keys = list(keys)
-    largest = _largest(df, keys)
+    largest = largest_group(df, keys)
     if largest <= group_rows:
         ties = Window.partitionBy(*keys, value)
         return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(value))
