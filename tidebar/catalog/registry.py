@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar.functions.columns import half_away
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 DIGITS = 6
@@ -31,7 +33,7 @@ def query(name: str, sql: str | None = None):
 def r(x: Column | str, digits: int = DIGITS) -> Column:
     """Rounded as SQL does it: the scaled double to a whole number, halves away from zero, and scaled back."""
     x, scale = (F.col(x) if isinstance(x, str) else x).cast("double"), F.lit(10.0 ** digits)
-    return F.round(x * scale, 0) / scale
+    return half_away(x * scale) / scale
 
 
 def stamp(c: str = "ts_event") -> Column:

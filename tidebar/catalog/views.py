@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar.functions.columns import half_away
+
 # Which market a group of source rows stands for.
 EVENT_MARKETS = {"click": "ES", "error": "CL", "purchase": "ZC", "signup": "NQ", "view": "GC"}
 ORDER_MARKETS = {"1": "ES", "2": "CL", "3": "ZB", "4": "NQ", "5": "GC"}
@@ -57,7 +59,7 @@ def minutely(spark, sf_dir):
 
 def _day_order(date: str, price: str) -> Column:
     """Day, then price in cents, packed in one integer; a plain integer order keeps hash aggregation."""
-    return F.unix_date(F.to_date(date)) * F.lit(2 ** 32).cast("long") + F.round(F.col(price) * 100).cast("long")
+    return F.unix_date(F.to_date(date)) * F.lit(2 ** 32).cast("long") + half_away(F.col(price) * 100).cast("long")
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:

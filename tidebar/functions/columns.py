@@ -80,6 +80,15 @@ def expit(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
+def half_away(x: Column) -> Column:
+    """The nearest whole number, halves away from zero, zero without a sign: the values of `round`, which goes through decimal text.
+
+    `rint` takes halves to the even side; those that went towards zero get one more.
+    """
+    whole = F.rint(x)
+    return whole + F.when(F.abs(x) - F.abs(whole) == 0.5, F.signum(x)).otherwise(F.lit(0.0))
+
+
 def is_finite(x: Column) -> Column:
     x = x.cast("double")
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))

@@ -8,8 +8,8 @@ rows. Here a symbol longer than ``block_rows`` is cut into consecutive blocks:
 * ``carry`` computes running sums, maxima and last values inside each block and adds what the earlier
   blocks hand over, which takes one summary row per block.
 
-``measure`` counts the rows first (one column-pruned aggregate). While every symbol is short it returns an
-empty plan: no join, no copies, one shuffle. Halo copies amount to lookback / block_rows of a long symbol.
+``measure`` counts the rows per symbol first (one column-pruned aggregate), and per time cell only if a symbol
+is long. While every symbol is short it returns an empty plan: no join, no copies, one shuffle. Halo copies amount to lookback / block_rows of a long symbol.
 """
 
 from __future__ import annotations
@@ -48,17 +48,26 @@ def _cell(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the longest key."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def measure(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS,
             block_rows: int = BLOCK_ROWS, cell_seconds: int = CELL_SECONDS) -> Blocks:
-    """Count rows per key and time cell; plan blocks for the keys above `block_rows`."""
+    """Count rows per key; plan blocks for the keys above `block_rows` from their rows per time cell.
+
+    Tasks combine the counts per key before the shuffle; cells are counted only where a key is long, as short keys may have
+    as many cells as rows.
+    """
     keys = tuple(keys)
+    if largest_group(df, keys) <= block_rows:
+        return Blocks(keys, block_rows, cell_seconds)
     per_cell = df.groupBy(*keys, _cell(ts, cell_seconds).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     long_keys = (per_cell.groupBy(*keys)
                  .agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_cells"), F.max("_n").alias("_max"))
                  .filter(F.col("_rows") > block_rows))
     found = long_keys.agg(F.sum("_cells").alias("cells"), F.max("_max").alias("largest")).first()
-    if found["cells"] is None:
-        return Blocks(keys, block_rows, cell_seconds)
     before = Window.partitionBy(*keys).orderBy("_cell")
     cells = per_cell.join(long_keys.select(*keys), list(keys), "left_semi").withColumn(
         "_before", F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))

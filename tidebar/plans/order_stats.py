@@ -14,15 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.plans.blocks import largest_group
 from tidebar.plans.checkpoints import checkpointed
 
 GROUP_ROWS = 1_000_000
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-
-
 def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join in which nulls are equal; the columns of `on` come from the left."""
     named = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
