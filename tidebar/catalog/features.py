@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidebar.catalog.registry import STAMP, bound, cl, fl, lag, lnq, out, over, query, r, roll, rs, show, stamp, with_
 from tidebar.catalog.views import HOURLY, MINUTELY, NY, SESSION, WEEKLY, hourly, minutely, weekly
 from tidebar.operators import align, baseline, engine, expansion, htf, sessions, volume_profile
+from tidebar.plans.blocks import measure
 
 # Shared first steps of the feature SQL: previous values, one-bar return, bar geometry.
 BASE = f"""p AS (SELECT *, {lag('close')} AS c1, {lag('volume')} AS v1 FROM b),
@@ -245,8 +246,10 @@ def spread_analysis(spark, sf):
 @query("expanded_features", None)
 def expanded_features(spark, sf):
     """Z-scores, regime, quantiles, moments, VWAP and interactions over return features in one pass."""
-    df = baseline.add_baseline_features(weekly(spark, sf), ("returns", "momentum"))
-    out_df = expansion.expand_features(df, [*baseline.FAMILIES["returns"], *baseline.FAMILIES["momentum"]], pairwise=None)
+    bars = weekly(spark, sf)
+    plan = measure(bars)
+    df = baseline.add_baseline_features(bars, ("returns", "momentum"), plan)
+    out_df = expansion.expand_features(df, [*baseline.FAMILIES["returns"], *baseline.FAMILIES["momentum"]], pairwise=None, blocks=plan)
     return out_df.select("symbol", stamp(), *[r(f"`{c}`").alias(c.replace(".", "_")) for c in out_df.columns if c not in ("symbol", "ts_event")])
 
 

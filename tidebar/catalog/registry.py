@@ -12,6 +12,8 @@ from tidebar.functions.columns import half_away
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 DIGITS = 6
+#: Bytecodes of a method above which HotSpot leaves it uncompiled; Spark then projects wide rows by smaller methods.
+HUGE_METHOD = 8000
 
 
 def query(name: str, sql: str | None = None):
@@ -20,6 +22,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(HUGE_METHOD))
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
