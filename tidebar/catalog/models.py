@@ -8,6 +8,7 @@ from tidebar.catalog.registry import STAMP, lag, lead, out, over, query, r, roll
 from tidebar.catalog.trading import SETTINGS, backtest, markets
 from tidebar.catalog.views import HOURLY, MINUTELY, WEEKLY, hourly, minutely, weekly
 from tidebar.operators import baseline, discovery, modelling, regime, sessions, splits, targets
+from tidebar.plans.blocks import measure
 from tidebar.plans.checkpoints import checkpointed
 
 COLS = ("open", "high", "low", "close", "volume")
@@ -81,11 +82,22 @@ def logistic(spark, sf):
     return m.select("symbol", r("intercept").alias("intercept"), *[r(F.col("coefficients")[i]).alias(f"beta_{c}") for i, c in enumerate(("a", "b", "ab"))])
 
 
+def _featured(spark, sf):
+    """Weekly bars with a few features and the forward label, and their block plan.
+
+    Stored once, without unused columns: folds are counted, numbered and cut from them in several passes.
+    """
+    bars = weekly(spark, sf)
+    plan = measure(bars)
+    df = baseline.add_baseline_features(bars, ("returns", "momentum", "volume"), plan)
+    df = targets.drop_incomplete_target(targets.add_target_15m(df, blocks=plan))
+    return checkpointed(df.select(*bars.columns, *FEATURES, "target_15m_ret")), plan
+
+
 def _labelled(spark, sf):
-    """Weekly bars with a few features and the forward label, split in two bar folds per supplier."""
-    df = baseline.add_baseline_features(weekly(spark, sf), ("returns", "momentum", "volume"))
-    df = targets.drop_incomplete_target(targets.add_target_15m(df))
-    folds = splits.assign_folds(df, splits.bar_folds(df, 100, 40))
+    """`_featured` rows split in two bar folds per supplier."""
+    df, plan = _featured(spark, sf)
+    folds = splits.assign_folds(df, splits.bar_folds(df, 100, 40), plan)
     # Several jobs read the folds (statistics, fit, test), so their lineage is cut once.
     return checkpointed(folds.select("symbol", "split_id", "role", "ts_event", *FEATURES, "target_15m_ret"))
 
@@ -115,8 +127,8 @@ def train_test_check(spark, sf):
 @query("walk_forward", None)
 def walk_forward(spark, sf):
     """Purge-free bar folds: prune, scale, fit, predict, simulate, cut warm-up for every supplier."""
-    df = baseline.add_baseline_features(weekly(spark, sf), ("returns", "momentum", "volume"))
-    df = targets.drop_incomplete_target(targets.add_target_15m(df)).withColumn("session_id", F.date_format("ts_event", "yyyy"))
+    df, _ = _featured(spark, sf)
+    df = df.withColumn("session_id", F.date_format("ts_event", "yyyy"))
     dims = df.select("symbol").distinct().select("symbol", F.lit(1.0).alias("multiplier"), F.lit(50.0).alias("max_position"))
     res = modelling.walk_forward(df, FEATURES, "target_15m_ret", dims, SETTINGS, burn_in=5, fold_options={"min_train": 100, "min_test": 40}, smoothing=0.3)
     return res.select("symbol", "split_id", stamp(), r("prediction_prob").alias("prediction_prob"), r("pnl", 4).alias("pnl"))
