@@ -136,9 +136,19 @@ UNUSABLE, USABLE_FROM = 0b11, 8
 NO_DAY = -1_000_000
 
 
-def marked_rows(df: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
-    """Coerced rows with `_day` and `_bits`, one bit per violated rule of `row_tests`."""
-    rows = with_ticks(coerce_bars(df), ticks).withColumn("_numbers", valid_numbers())
+def coerced_rows(df: DataFrame) -> DataFrame:
+    """Coerced rows with `_day` and `_numbers`, whether all numbers are finite."""
+    day = F.coalesce(F.floor(F.unix_micros("ts_event") / F.lit(86_400_000_000)).cast("int"), F.lit(NO_DAY))
+    return coerce_bars(df).select(*FILE_KEYS, "ts_event", *NUMBERS, day.alias("_day"), valid_numbers().alias("_numbers"))
+
+
+def _usable() -> Column:
+    return F.col("ts_event").isNotNull() & F.col("_numbers")
+
+
+def marked_rows(coerced: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """Rows of `coerced_rows` with `_bits`, one bit per violated rule of `row_tests`."""
+    rows = with_ticks(coerced, ticks)
 
     def bits(first: int, last: int) -> Column:
         out = F.lit(0).cast("long")
@@ -146,10 +156,8 @@ def marked_rows(df: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
             out = out + F.when(violated, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
         return out
 
-    usable = F.col("ts_event").isNotNull() & F.col("_numbers")
-    day = F.coalesce(F.floor(F.unix_micros("ts_event") / F.lit(86_400_000_000)).cast("int"), F.lit(NO_DAY))
-    marks = bits(0, USABLE_FROM) + F.when(usable, bits(USABLE_FROM, None)).otherwise(F.lit(0))
-    return rows.select(*FILE_KEYS, "ts_event", *NUMBERS, day.alias("_day"), marks.alias("_bits"))
+    marks = bits(0, USABLE_FROM) + F.when(_usable(), bits(USABLE_FROM, None)).otherwise(F.lit(0))
+    return rows.select(*FILE_KEYS, "ts_event", *NUMBERS, "_day", marks.alias("_bits"))
 
 
 def daily_counts(rows: DataFrame) -> DataFrame:
@@ -168,10 +176,14 @@ def _broken(bits: str = "_bits") -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(len(row_tests()) - 1)), lambda i: F.bit_get(F.col(bits), i) == 1)
 
 
-def timeline(rows: DataFrame) -> DataFrame:
-    """One stored row per file and timestamp of usable rows: copies `_n`, a close, and a bar where there are several."""
-    usable = rows.filter(F.col("_bits").bitwiseAND(F.lit(UNUSABLE)) == 0)
-    per_ts = usable.groupBy(*FILE_KEYS, "ts_event").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in NUMBERS])
+def timeline(coerced: DataFrame) -> DataFrame:
+    """One stored row per file and timestamp of usable rows: copies `_n`, a close, and a bar where there are several.
+
+    Unusable rows become one group without a timestamp, dropped after the aggregate: a filter before it would be pushed
+    down to the scan with every expression it stands on written out, in a method too long to be compiled.
+    """
+    stamped = coerced.withColumn("ts_event", F.when(_usable(), F.col("ts_event")))
+    per_ts = stamped.groupBy(*FILE_KEYS, "ts_event").agg(F.count("ts_event").alias("_n"), *[F.first(c).alias(c) for c in NUMBERS]).filter("_n > 0")
     bar = F.when(F.col("_n") > 1, F.struct("ts_event", *NUMBERS)).alias("_bar")
     return checkpointed(per_ts.select(*FILE_KEYS, "ts_event", "_n", "close", bar))
 
@@ -213,19 +225,32 @@ def _sampled(frame: DataFrame, by: list[str]) -> DataFrame:
             .agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_bar"))), lambda x: x["_bar"])).alias("sample")))
 
 
-def _first_hits(rows: DataFrame, daily: DataFrame) -> DataFrame:
+def of_days(coerced: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the files and days of `wanted`, which is small.
+
+    Equality that knows NULL has no filter on keys inferred, which would be pushed down to the scan.
+    """
+    names = [*FILE_KEYS, "_day"]
+    days = wanted.select(*[F.col(c).alias(f"_w{c}") for c in names])
+    same = [F.col(c).eqNullSafe(F.col(f"_w{c}")) for c in names]
+    return coerced.join(F.broadcast(days), same, "left_semi")
+
+
+def _first_hits(coerced: DataFrame, daily: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
     """(keys, rule, bar) of rows that can be among a file's first SAMPLE of a rule: those up to the day that reaches SAMPLE.
 
     Before that day there are fewer, so a rule that most rows break contributes few rows more than one day's. Rows are found by
-    their day and set of rules, so those that no sample needs are dropped by one hash join.
+    their day and stored, so that rules are computed again for few, and then by day and set of rules; both are hash joins.
     """
     keys = list(FILE_KEYS)
     earlier = Window.partitionBy(*keys, "_rule").orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
     open_ = (daily.select(*keys, "_day", "_bits", "_rows", F.explode(_broken()).alias("_rule"))
              .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).filter(F.col("_before") < SAMPLE))
     wanted = checkpointed(open_.groupBy(*keys, "_day", "_bits").agg(F.collect_list("_rule").alias("_rules")))  # at most all rules
-    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return rows.join(small, [*keys, "_day", "_bits"]).select(*keys, F.explode("_rules").alias("_rule"), F.struct("ts_event", *NUMBERS).alias("_bar"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+        coerced = checkpointed(of_days(coerced, wanted))
+    return marked_rows(coerced, ticks).join(wanted, [*keys, "_day", "_bits"]).select(*keys, F.explode("_rules").alias("_rule"), F.struct("ts_event", *NUMBERS).alias("_bar"))
 
 
 def core_issues(df: DataFrame, ticks: DataFrame | None = None, stale_limit: int = STALE_RUN, blocks: Blocks | None = None) -> DataFrame:
@@ -235,11 +260,11 @@ def core_issues(df: DataFrame, ticks: DataFrame | None = None, stale_limit: int
     to the days that those counts name, for the samples. The sample holds the first five rows of a check.
     """
     keys, by = list(FILE_KEYS), [*FILE_KEYS, "severity", "check"]
-    rows = marked_rows(df, ticks)
-    daily, times = daily_counts(rows), timeline(rows)
+    rows = coerced_rows(df)
+    daily, times = daily_counts(marked_rows(rows, ticks)), timeline(rows)
     rules = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(n).alias("check")) for s, n, _ in row_tests()])
     totals = daily.select(*keys, "_rows", F.explode(_broken()).alias("_rule")).groupBy(*keys, "_rule").agg(F.sum("_rows").alias("n"))
-    samples = _sampled(_first_hits(rows, daily), [*keys, "_rule"])
+    samples = _sampled(_first_hits(rows, daily, ticks), [*keys, "_rule"])
     row_issues = (totals.join(samples, [*keys, "_rule"]).withColumn("_named", F.get(rules, F.col("_rule")))
                   .select(*keys, "_named.severity", "_named.check", "n", "sample"))
     dup = times.filter("_n > 1").withColumns({"severity": F.lit("FAIL"), "check": F.lit("duplicate_ts")})
@@ -285,8 +310,8 @@ def schema_issues(columns: Sequence[str]) -> list[tuple[str, str, str]]:
 def core_summary(df: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """One row per file: rows, bounds, duplicates, gaps, zero volume and range, stale run, price and volume range."""
     keys, at = list(FILE_KEYS), {n: i for i, (_, n, _) in enumerate(row_tests())}
-    rows = marked_rows(df)
-    daily, times = daily_counts(rows), timeline(rows)
+    rows = coerced_rows(df)
+    daily, times = daily_counts(marked_rows(rows)), timeline(rows)
     good = lambda c: F.when(F.col("_usable"), F.col(c))
     broken = lambda rule: F.sum(F.when(F.bit_get("_bits", F.lit(at[rule])) == 1, F.col("_rows")).otherwise(F.lit(0))).alias(rule)
     total = daily.groupBy(*keys).agg(
