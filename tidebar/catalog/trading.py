@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidebar.catalog.registry import STAMP, bound, fl, lag, lead, out, over, query, r, roll, rs, show, stamp, with_
 from tidebar.catalog.views import HOURLY, MINUTELY, NY, daily, hourly, minutely
 from tidebar.operators import execution, metrics, regime, risk
+from tidebar.plans.blocks import measure
 from tidebar.sources.dimensions import EARLY_CLOSES, market_dim
 
 def prob():
@@ -32,13 +33,15 @@ def predicted(spark, sf):
     return minutely(spark, sf).withColumn("prediction_prob", prob())
 
 
-def backtest(spark, sf, settings=SETTINGS):
-    df = metrics_ready(execution.simulate_execution(predicted(spark, sf), markets(spark), settings))
-    return df
+def planned_backtest(spark, sf, settings=SETTINGS):
+    """The backtest and the block plan of its bars, which are measured once."""
+    bars = predicted(spark, sf)
+    plan = measure(bars)
+    return execution.add_benchmark(execution.simulate_execution(bars, markets(spark), settings, blocks=plan), blocks=plan), plan
 
 
-def metrics_ready(df):
-    return execution.add_benchmark(df)
+def backtest(spark, sf, settings=SETTINGS):
+    return planned_backtest(spark, sf, settings)[0]
 
 
 LOD = f"(hour({NY}) * 60 + minute({NY}))"
@@ -53,7 +56,7 @@ SIGNALS = ("g AS (SELECT b.*, mult, maxpos, " + PROB_SQL + " AS prob FROM b JOIN
 
 @query("signals", with_(MINUTELY, MARKETS_SQL, SIGNALS) + out("k", {"raw_signal": "sig", "target_exec": "sized", "vol": "vol", "spread": "least(greatest(spr, 0), 0.05)", "unit_cost": "0.001075"}))
 def signals(spark, sf):
-    from tidebar.plans.blocks import block_window, halo, measure, trim
+    from tidebar.plans.blocks import block_window, halo, trim
     df = predicted(spark, sf)
     priced = df.join(F.broadcast(markets(spark)), "symbol")
     framed = execution.with_target_columns(halo(priced, measure(df), lookback=execution.EXECUTION_LOOKBACK), block_window(), SETTINGS)
@@ -139,9 +142,8 @@ def _agg(source: str, columns: dict, keys: str) -> str:
 
 @query("core_metrics", with_(*BACKTEST, PATHS) + _agg("pc", CORE, "symbol"))
 def core_metrics(spark, sf):
-    from tidebar.plans.blocks import measure
-    df = backtest(spark, sf)
-    m = metrics.core_metrics(metrics.with_path_columns(df, ("symbol",), measure(df)), ("symbol",))
+    df, plan = planned_backtest(spark, sf)
+    m = metrics.core_metrics(metrics.with_path_columns(df, ("symbol",), plan), ("symbol",))
     return m.select("symbol", *[r(c, CORE[c][1] if isinstance(CORE[c], tuple) else 6).alias(c) for c in CORE])
 
 
@@ -153,9 +155,7 @@ TRADES = ("st AS (SELECT symbol, srun, sum(pnl) AS tp FROM pc WHERE side <> 0 GR
 @query("trades", with_(*BACKTEST, PATHS, TRADES) + f"SELECT symbol, {rs('hit')} AS trade_hit_rate, hn AS trade_hit_rate_n, {rs('win')} AS win_rate, {rs('aw', 3)} AS avg_win, {rs('al', 3)} AS avg_loss, "
        f"{rs('pf', 4)} AS profit_factor FROM sa JOIN va USING (symbol)")
 def trades(spark, sf):
-    from tidebar.plans.blocks import measure
-    df = backtest(spark, sf)
-    plan = measure(df)
+    df, plan = planned_backtest(spark, sf)
     t = metrics.trade_metrics(metrics.with_path_columns(df, ("symbol",), plan), ("symbol",), plan)
     return t.select("symbol", r("trade_hit_rate").alias("trade_hit_rate"), "trade_hit_rate_n", r("win_rate").alias("win_rate"),
                     r("avg_win", 3).alias("avg_win"), r("avg_loss", 3).alias("avg_loss"), r("profit_factor", 4).alias("profit_factor"))
@@ -168,7 +168,8 @@ SPEARMAN = (f"sl AS (SELECT symbol, ts, {lag('prob')} AS x, rx AS y FROM f), sk
 
 @query("spearman", with_(*BACKTEST, SPEARMAN) + f"SELECT symbol, count(*) AS spearman_n, {rs('corr(ax, ay)')} AS spearman_ic FROM rk GROUP BY symbol")
 def spearman(spark, sf):
-    ic = metrics.information_coefficient(backtest(spark, sf), pvalue=False)
+    df, plan = planned_backtest(spark, sf)
+    ic = metrics.information_coefficient(df, blocks=plan, pvalue=False)
     return ic.select("symbol", "spearman_n", r("spearman_ic").alias("spearman_ic"))
 
 
@@ -183,7 +184,8 @@ SIMPSON = ("list_sum(list_transform(range(0, 20001), lambda k: (CASE WHEN k IN (
        + f"SELECT symbol, n AS spearman_n, {rs('rho')} AS spearman_ic, {rs(f'2 / sqrt(acos(-1)) * exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) * {SIMPSON}')} AS spearman_ic_pvalue FROM su")
 def spearman_pvalue(spark, sf):
     """Checked against the density integrated by Simpson's rule, its height from the gamma function."""
-    ic = metrics.information_coefficient(backtest(spark, sf))
+    df, plan = planned_backtest(spark, sf)
+    ic = metrics.information_coefficient(df, blocks=plan)
     return ic.select("symbol", "spearman_n", r("spearman_ic").alias("spearman_ic"), r("spearman_ic_pvalue").alias("spearman_ic_pvalue"))
 
 
@@ -191,7 +193,8 @@ def spearman_pvalue(spark, sf):
        f"{rs('stddev_pop(prob)')} AS pred_std, {rs('avg((prob > 0.55)::INT)')} AS pred_gt_0_55_frac, {rs('avg((prob < 0.45)::INT)')} AS pred_lt_0_45_frac, count(*) FILTER (pos > 1e-12) AS long_bars, "
        f"count(*) FILTER (pos < -1e-12) AS short_bars, {rs('max(abs(pos))')} AS max_abs_position FROM pc GROUP BY symbol")
 def metrics_report(spark, sf):
-    m = metrics.metrics_report(backtest(spark, sf))
+    df, plan = planned_backtest(spark, sf)
+    m = metrics.metrics_report(df, blocks=plan)
     return m.select("symbol", r("gross_total_pnl", 3).alias("gross_total_pnl"), r("cost_drag", 3).alias("cost_drag"), r("pred_min").alias("pred_min"), r("pred_mean").alias("pred_mean"),
                     r("pred_std").alias("pred_std"), r("pred_gt_0_55_frac").alias("pred_gt_0_55_frac"), r("pred_lt_0_45_frac").alias("pred_lt_0_45_frac"), "long_bars", "short_bars",
                     r("max_abs_position").alias("max_abs_position"))

@@ -6,7 +6,8 @@ rows. Here a symbol longer than ``block_rows`` is cut into consecutive blocks:
 * ``halo`` copies to each block the rows its bounded windows look back (or ahead) to, so every window over
   ``(symbol, _block)`` sees what it would see over the whole symbol;
 * ``carry`` computes running sums, maxima and last values inside each block and adds what the earlier
-  blocks hand over, which takes one summary row per block.
+  blocks hand over, which takes one summary row per block. Running money is added in fixed nested groups of rows
+  (``grouped``), so its last bits do not depend on the blocks.
 
 ``measure`` counts the rows per symbol first (one column-pruned aggregate), and per time cell only if a symbol
 is long. While every symbol is short it returns an empty plan: no join, no copies, one shuffle. Halo copies amount to lookback / block_rows of a long symbol.
@@ -20,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidebar.plans.checkpoints import checkpointed
+
 KEYS = ("symbol",)
 TS = "ts_event"
 BLOCK_ROWS = 100_000
@@ -123,6 +126,76 @@ def exact_sum(x: Column) -> Column:
     return F.sum(coarse(x)) + F.sum(x - coarse(x))
 
 
+FAN, CHUNK_LEVELS, KEY_LEVELS = 16, 3, 4
+
+
+def _nested(levels: int) -> list[Column]:
+    """Numbers of the groups of FAN ** levels, ..., FAN rows that the row at `_at` lies in."""
+    return [F.floor(F.col("_at") / F.lit(FAN ** k)).alias(f"_g{k}") for k in range(levels, 0, -1)]
+
+
+def _ends(k: int) -> Column:
+    """True on the last row of a group of FAN ** k rows."""
+    return F.col("_at") % FAN ** k == FAN ** k - 1
+
+
+def _within(part: Sequence[str], levels: int, k: int) -> WindowSpec:
+    """From the start of a group of FAN ** k rows to the row; k above `levels`: of the whole part. All levels share one sort."""
+    groups = [f"_g{i}" for i in range(levels, 0, -1)]
+    inside = groups[:max(levels - k + 1, 0)]
+    return Window.partitionBy(*part, *inside).orderBy(*groups[len(inside):], "_at").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _group_sums(df: DataFrame, part: Sequence[str], names: Sequence[str], levels: int) -> DataFrame:
+    """`_s{k}{name}`: the sum of the group of FAN ** k rows so far, complete on its last row; each adds up to FAN sums of the level below."""
+    df = df.select("*", *_nested(levels)).withColumns({f"_s0{n}": F.col(n) for n in names})
+    for k in range(1, levels + 1):
+        df = df.withColumns({f"_s{k}{n}": F.sum(F.when(_ends(k - 1), F.col(f"_s{k - 1}{n}"))).over(_within(part, levels, k)) for n in names})
+    return df
+
+
+def _from_groups(df: DataFrame, part: Sequence[str], names: Sequence[str], levels: int) -> DataFrame:
+    """Replaces `names` by their running sums: `_open{name}`, the complete groups of FAN ** levels rows, then ever smaller ones, then rows."""
+    for k in range(levels - 1, -1, -1):
+        whole_group, first = _ends(k + 1), F.col("_at") % FAN ** (k + 1) == FAN ** k - 1
+        step = {}
+        for n in names:
+            s, opened = F.col(f"_s{k}{n}"), F.col(f"_open{n}")
+            run = F.sum(F.when(_ends(k), F.when(first, opened + F.coalesce(s, F.lit(0.0))).otherwise(s))).over(_within(part, levels, k + 1))
+            step[f"_open{n}"] = F.when(whole_group, opened).otherwise(F.coalesce(run, opened))
+        df = df.withColumns(step)
+    scratch = [f"_s{k}{n}" for k in range(levels + 1) for n in names]
+    return df.withColumns({n: F.col(f"_open{n}") for n in names}).drop(*scratch, *[f"_open{n}" for n in names], *[f"_g{k}" for k in range(1, levels + 1)])
+
+
+def _from_start(df: DataFrame, keys: Sequence[str], names: Sequence[str], levels: int) -> DataFrame:
+    """Running sums of `names` along `_at`, all rows of a key in one partition."""
+    df, top = _group_sums(df, keys, names, levels), _within(keys, levels, levels + 1)
+    total = {f"_open{n}": F.coalesce(F.sum(F.when(_ends(levels), F.col(f"_s{levels}{n}"))).over(top), F.lit(0.0)) for n in names}
+    return _from_groups(df.withColumns(total), keys, names, levels)
+
+
+def _grouped(df: DataFrame, blocks: Blocks, names: Sequence[str]) -> DataFrame:
+    """Running sums of `names` along `_at`, a key's row number from 0, added in nested groups of FAN rows, whatever the blocks.
+
+    Of long keys, chunks of FAN ** CHUNK_LEVELS rows are dealt over the tasks and one row of each, its sum, goes on to the levels above.
+    """
+    keys = list(blocks.keys)
+    if blocks.cells is None:
+        return _from_start(df, keys, names, KEY_LEVELS)
+    part = [*keys, "_chunk"]
+    chunked = _group_sums(df.withColumn("_chunk", F.floor(F.col("_at") / F.lit(FAN ** CHUNK_LEVELS))), part, names, CHUNK_LEVELS)
+    sums = chunked.filter(_ends(CHUNK_LEVELS)).select(*keys, F.col("_chunk").alias("_at"), *[F.col(f"_s{CHUNK_LEVELS}{n}").alias(n) for n in names])
+    # stored, a few thousandths of the rows, so that the plan holds the steps before only once
+    sums = checkpointed(_from_start(sums, keys, names, KEY_LEVELS))
+    # the sum up to a chunk's end is that of its last row, and opens the next chunk
+    handed = (sums.select(*keys, F.col("_at").alias("_chunk"), F.lit(True).alias("_last"), *[F.col(n).alias(f"_open{n}") for n in names])
+              .union(sums.select(*keys, F.col("_at") + 1, F.lit(False), *names)))
+    chunked = chunked.withColumn("_last", _ends(CHUNK_LEVELS)).join(handed, [*part, "_last"], "left").drop("_last")
+    chunked = chunked.withColumns({f"_open{n}": F.coalesce(f"_open{n}", F.lit(0.0)) for n in names})
+    return _from_groups(chunked, part, names, CHUNK_LEVELS).drop("_chunk")
+
+
 _LOCAL = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
 
 
@@ -140,8 +213,17 @@ def carry(df: DataFrame, blocks: Blocks, specs: dict[str, tuple[str, Column]], o
     """Running aggregates from the start of each key.
 
     `specs` maps an output name to (how, expression); how is ``sum``, ``exact`` (the sum of doubles with one
-    rounding, whatever the blocks), ``max``, ``min`` or ``last`` (last non-null value, i.e. forward fill).
+    rounding, whatever the blocks), ``grouped`` (the sum of doubles added in fixed groups of rows, whatever the blocks),
+    ``max``, ``min`` or ``last`` (last non-null value, i.e. forward fill).
     """
+    grouped = {name: x for name, (how, x) in specs.items() if how == "grouped"}
+    if grouped:
+        rest = {name: spec for name, spec in specs.items() if name not in grouped}
+        rows = df.withColumns(grouped)
+        if "_at" in df.columns:
+            return _grouped(carry(rows, blocks, rest, order, ts) if rest else rows, blocks, list(grouped))
+        rows = carry(rows, blocks, rest | {"_at": ("sum", F.lit(1).cast("long"))}, order, ts)
+        return _grouped(rows.withColumn("_at", F.col("_at") - 1), blocks, list(grouped)).drop("_at")
     exact = {name: x for name, (how, x) in specs.items() if how == "exact"}
     if exact:
         parts = {name: spec for name, spec in specs.items() if name not in exact}
@@ -184,6 +266,11 @@ def islands(df: DataFrame, blocks: Blocks, changed: Column, name: str, ts: str =
     return carry(df, blocks, {name: ("sum", F.when(changed, 1).otherwise(0).cast("long"))}, ts=ts)
 
 
+def placed(df: DataFrame, blocks: Blocks) -> DataFrame:
+    """With `_at`, a key's row number from 0, which ``grouped`` sums go by: cheaper on the first rows than after many steps."""
+    return positions(df, blocks, "_at").withColumn("_at", F.col("_at") - 1)
+
+
 def positions(df: DataFrame, blocks: Blocks, name: str = "_rn", ts: str = TS) -> DataFrame:
     """1-based row number inside each key."""
     return carry(df, blocks, {name: ("sum", F.lit(1).cast("long"))}, ts=ts)
