@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebar.catalog.registry import STAMP, bound, cl, fl, lag, lnq, out, over, query, r, roll, rs, show, stamp, with_
-from tidebar.catalog.views import HOURLY, MINUTELY, NY, SESSION, WEEKLY, hourly, minutely, weekly
+from tidebar.catalog.views import HOURLY, MINUTELY, NY, SESSION, WEEKLY, hourly, minutely, planned_weekly, weekly
 from tidebar.operators import align, baseline, engine, expansion, htf, sessions, volume_profile
 from tidebar.plans.blocks import measure
 
@@ -91,7 +91,8 @@ _register_families()
 @query("baseline_features", None)
 def baseline_features(spark, sf):
     """All 91 features in one pass; each family has its own SQL-checked query above."""
-    return show(baseline.add_baseline_features(weekly(spark, sf)), *baseline.BASELINE_FEATURES)
+    bars, plan = planned_weekly(spark, sf, measure)
+    return show(baseline.add_baseline_features(bars, blocks=plan), *baseline.BASELINE_FEATURES)
 
 
 RET = f"p AS (SELECT *, ln(close / {lag('close')}) AS ret FROM b)"

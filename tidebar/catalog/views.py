@@ -6,10 +6,13 @@ series grows with the data; orders give several years of daily bars.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.functions.columns import half_away
+from tidebar.plans.blocks import Blocks
 
 # Which market a group of source rows stands for.
 EVENT_MARKETS = {"click": "ES", "error": "CL", "purchase": "ZC", "signup": "NQ", "view": "GC"}
@@ -57,17 +60,39 @@ def minutely(spark, sf_dir):
     return event_bars(spark, sf_dir, "minute")
 
 
-def _day_order(date: str, price: str) -> Column:
+def _day_order(day: Column, price: Column) -> Column:
     """Day, then price in cents, packed in one integer; a plain integer order keeps hash aggregation."""
-    return F.unix_date(F.to_date(date)) * F.lit(2 ** 32).cast("long") + half_away(F.col(price) * 100).cast("long")
+    return F.unix_date(day) * F.lit(2 ** 32).cast("long") + half_away(price * 100).cast("long")
+
+
+def weekly_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One narrow row per lineitem: symbol, day, price, l_quantity."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("price"), "l_quantity")
+
+
+def _weekly_bars(ticks: DataFrame) -> DataFrame:
+    ticks = ticks.withColumn("o", _day_order(F.col("day"), F.col("price")))
+    return _ohlcv(ticks, F.date_trunc("week", F.col("day").cast("timestamp")), "o", F.sum("l_quantity"))
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars per supplier; inside a day ticks are ordered by price."""
-    li = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("t"),
-        F.col("l_extendedprice").alias("price"), "l_quantity", _day_order("l_shipdate", "l_extendedprice").alias("o"))
-    return _ohlcv(li, F.date_trunc("week", "t"), "o", F.sum("l_quantity"))
+    return _weekly_bars(weekly_ticks(spark, sf_dir))
+
+
+def planned_weekly(spark: SparkSession, sf_dir: str, measure: Callable[..., Blocks]) -> tuple[DataFrame, Blocks]:
+    """Weekly bars and their block plan.
+
+    A series has no more bars than ticks, so while all have few ticks nothing else is measured, and the ticks are dealt by series:
+    that one shuffle of narrow rows serves the bars and all windows over them.
+    """
+    ticks = weekly_ticks(spark, sf_dir)
+    plan = measure(ticks.select("symbol", F.col("day").cast("timestamp").alias("ts_event")))
+    if plan.cells is None:
+        return _weekly_bars(ticks.repartition("symbol")), plan
+    bars = _weekly_bars(ticks)
+    return bars, measure(bars)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
