@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebar.catalog.registry import STAMP, lag, lead, out, over, query, r, roll, rs, show, stamp, with_
 from tidebar.catalog.trading import SETTINGS, backtest, markets
-from tidebar.catalog.views import HOURLY, MINUTELY, WEEKLY, hourly, minutely, weekly
+from tidebar.catalog.views import HOURLY, MINUTELY, WEEKLY, hourly, minutely, planned_weekly, weekly
 from tidebar.operators import baseline, discovery, modelling, regime, sessions, splits, targets
 from tidebar.plans.blocks import measure
 from tidebar.plans.checkpoints import checkpointed
@@ -87,8 +87,7 @@ def _featured(spark, sf):
 
     Stored once, without unused columns: folds are counted, numbered and cut from them in several passes.
     """
-    bars = weekly(spark, sf)
-    plan = measure(bars)
+    bars, plan = planned_weekly(spark, sf, measure)
     df = baseline.add_baseline_features(bars, ("returns", "momentum", "volume"), plan)
     df = targets.drop_incomplete_target(targets.add_target_15m(df, blocks=plan))
     return checkpointed(df.select(*bars.columns, *FEATURES, "target_15m_ret")), plan
